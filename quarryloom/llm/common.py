@@ -13,18 +13,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: bytes of text that a kernel looks at in one go
 SLICE_BYTES = 1_500_000
 U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint_ready(spark: SparkSession) -> None:
+    """checkpoint() writes to the folder that the cluster names; only where it names none, to one of our own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
 
 
 def broadcast_value(spark: SparkSession, value):
     """A broadcast of something whose size does not grow with the data (a vocabulary, a fitted model)."""
-    return spark.sparkContext.broadcast(value)
+    return ship(spark).sparkContext.broadcast(value)
 
 
 def as_string_array(column) -> pa.Array:
