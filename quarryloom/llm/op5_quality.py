@@ -207,6 +207,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose text scores the threshold at least."""
+    shared = broadcast_value(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, off in text_slices(batch):
+                yield part.filter(pa.array(shared.value.score(statistics(raw, off)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on labels outside the held-out fifth of the ids."""
     return fit(labelled(docs, labels.where(f"{crc32_of_id('doc_id')} % 5 <> 0"), sample))

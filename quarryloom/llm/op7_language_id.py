@@ -175,6 +175,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def keep(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
+    """The rows, with all their columns, that have a language with that score at least."""
+    shared = broadcast_value(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, off in text_slices(batch, limit=3_000_000):
+                best, score = shared.value.predict(raw, off)
+                yield part.filter(pa.array((best >= 0) & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(f"{crc32_of_id('doc_id')} % 3 <> 1 and lang is not null").select("text", "lang")
 
