@@ -11,7 +11,7 @@ in it. Consecutive windows with the same minimiser form a super-k-mer. Equal win
    (pre-aggregated before the shuffle) and joined back;
 4. the ranges of words to remove are gathered for each document and taken out of its text.
 
-Documents are shuffled once (both joins use the same exchange). A word is a maximal run of bytes other than 0x20 and
+Documents are shuffled once (both joins read the same exchange). A word is a maximal run of bytes other than 0x20 and
 0x09-0x0D. Null text has no words; a document with fewer words than a window stays as it is; kept words are joined by
 one space. A null doc_id is neither smaller nor larger than another: such a row stays whole and removes nothing.
 Rows with the same doc_id don't remove each other's words. Extra columns are carried along if asked for.
@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, span_hashes, spread, table, text_slices, word_hashes, word_spans
+from .common import as_string_array, buffer_of, mix, span_hashes, spread, table, text_slices, word_hashes, word_spans
 
 WINDOW, MINIMISER, HOT = 50, 10, 1000
 #: words of packed strings that a bucket task sorts at once (whole buckets; a bucket has at most ``hot`` strings)
@@ -80,13 +81,19 @@ def packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 part = batch.slice(b, 64)
                 rows = []
                 for doc_id, version, text, kmers in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
+                    if not kmers:
+                        continue
                     words = text.encode().split()
                     rows += [(k["minimiser"], k["hot"], doc_id, version, k["start"], b" ".join(words[k["start"] : k["start"] + k["windows"] + window - 1])) for k in kmers]
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["minimiser", "hot", "doc_id", "version", "start", "packed"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["minimiser", "hot", "doc_id", "version", "start", "packed"])
 
-    both = docs.join(of_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "kmers")
-    return both.mapInArrow(run, "minimiser long, hot boolean, doc_id long, version long, start int, packed string")
+    # a left join, so that the exchange of documents is the one that remove_repeats() reads again
+    both = docs.join(of_doc, ["doc_id", "version"], "left").select("doc_id", "version", "text", "kmers")
+    strings = both.mapInArrow(run, "minimiser long, hot boolean, doc_id long, version long, start int, packed string")
+    # buckets meet; strings of hot minimisers are dealt out. Both readers choose their rows after this exchange
+    return strings.repartition(F.when(F.col("hot"), F.xxhash64("packed")).otherwise(F.col("minimiser")))
 
 
 def windows_of(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +116,9 @@ def bucket_ranges(minimiser: np.ndarray, doc: np.ndarray, version: np.ndarray, s
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     least = doc[row[new]][np.cumsum(new) - 1] if len(row) else row
     hit = np.flatnonzero(doc[row] > least)
+    if not len(hit):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
     row, place = row[hit], place[hit]
     order = np.lexsort((place, row))
     row, place = row[order], place[order]
@@ -129,14 +139,12 @@ def ranges_by_bucket(strings: DataFrame, window: int) -> DataFrame:
         size = 0
 
         def work(t: pa.Table) -> pa.RecordBatch:
-            column = t.column("packed").combine_chunks()
-            from .common import as_string_array, buffer_of
-
-            raw, off = buffer_of(as_string_array(column))
+            raw, off = buffer_of(as_string_array(t.column("packed")))
             out = bucket_ranges(*(t.column(c).to_numpy() for c in ("minimiser", "doc_id", "version", "start")), raw, off, window)
             return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(out, (np.int64, np.int64, np.int32, np.int32), strict=True)], names=names)
 
         for batch in batches:
+            batch = batch.filter(pc.invert(batch.column("hot")))
             for i in range(0, len(batch), 2000):
                 part = batch.slice(i, 2000)
                 held.append(part)
@@ -151,9 +159,7 @@ def ranges_by_bucket(strings: DataFrame, window: int) -> DataFrame:
         if held:
             yield work(pa.Table.from_batches(held))
 
-    dealt = strings.where("not hot").select("minimiser", "doc_id", "version", "start", "packed")
-    dealt = dealt.repartition("minimiser").sortWithinPartitions("minimiser")
-    return dealt.mapInArrow(run, "doc_id long, version long, from int, to int")
+    return strings.sortWithinPartitions("minimiser").mapInArrow(run, "doc_id long, version long, from int, to int")
 
 
 def ranges_by_window(strings: DataFrame, window: int) -> DataFrame:
@@ -161,12 +167,12 @@ def ranges_by_window(strings: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, off in text_slices(batch, "packed"):
+            for part, raw, off in text_slices(batch.filter(batch.column("hot")), "packed"):
                 row, place, a, b = windows_of(raw, off, window)
                 of = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column("doc_id").take(of), part.column("version").take(of), pa.array((part.column("start").to_numpy()[row] + place).astype(np.int32))], names=["a", "b", "doc_id", "version", "from"])
 
-    each = strings.where("hot").select("doc_id", "version", "start", "packed").mapInArrow(run, "a long, b long, doc_id long, version long, from int")
+    each = strings.mapInArrow(run, "a long, b long, doc_id long, version long, from int")
     least = each.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("a", "b", "least")
     return each.join(least, ["a", "b"]).where("doc_id > least").select("doc_id", "version", "from", (F.col("from") + window).cast("int").alias("to"))
 
