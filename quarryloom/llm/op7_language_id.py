@@ -69,7 +69,7 @@ class Frequencies:
 
     def __init__(self, counts: dict[bytes, np.ndarray], smooth: float, k: int):
         words = list(counts)
-        n = np.array([counts[w] for w in words]).reshape(-1, k)
+        n = np.array([counts[w] for w in words], float).reshape(len(words), k)
         ends = np.cumsum([len(w) for w in words]).astype(np.int64)
         keys = span_hashes(BYTE_VALUES[np.frombuffer(b"".join(words), np.uint8)], np.concatenate([[0], ends])[:-1].astype(np.int64), ends)
         order = np.argsort(keys)
