@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 HOME = Path(__file__).resolve().parent
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -17,6 +18,9 @@ def ship(spark: SparkSession) -> SparkSession:
 
     Spark's own file server takes the archive to the executors, so nothing has to be installed or shared there.
     """
+    # texts are long: batches of Spark's ten thousand rows would hold hundreds of MB in each task
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)

@@ -30,16 +30,13 @@ def stream_rate_limit(stream: DataFrame, per_minute: int = 30, watermark: str =
     return rate_limit(stream.withWatermark("at", watermark), per_minute)
 
 
-def stream_throttle(stream: DataFrame, interval: float, idle: str = "1 day") -> DataFrame:
+def stream_throttle(stream: DataFrame, interval: float) -> DataFrame:
     """Requests (origin, at double seconds, seq) with their grants: the state of an origin is its last grant.
 
-    Requests of a micro-batch are granted in order of (at, seq); an idle origin's state is dropped.
+    Requests of a micro-batch are granted in order of (at, seq); the state is one number per origin.
     """
 
     def grant(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         # the rows of one origin in one micro-batch, which the source's rate bounds
         frame = pd.concat(list(frames)).sort_values(["at", "seq"])
@@ -48,9 +45,8 @@ def stream_throttle(stream: DataFrame, interval: float, idle: str = "1 day") ->
             last = at if last is None else max(at, last + interval)
             granted.append(last)
         state.update((last,))
-        state.setTimeoutDuration(idle)
         yield frame.assign(granted=granted, delay=[g - a for g, a in zip(granted, frame["at"], strict=True)])[["origin", "at", "seq", "granted", "delay"]]
 
     kinds = dict(stream.dtypes)
     schema = f"origin {kinds['origin']}, at double, seq {kinds['seq']}, granted double, delay double"
-    return stream.select("origin", "at", "seq").groupBy("origin").applyInPandasWithState(grant, schema, "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.select("origin", "at", "seq").groupBy("origin").applyInPandasWithState(grant, schema, "last double", "append", GroupStateTimeout.NoTimeout)
