@@ -84,8 +84,8 @@ def assign_templates(pages: DataFrame, threshold: float = THRESHOLD, exact: bool
 
     kinds = dict(pages.dtypes)
     empty, full = few.where(F.size("fingerprint") == 0), few.where(F.size("fingerprint") > 0)
-    done = full.groupBy("site", "shape").applyInPandas(cluster, f"site {kinds['site']}, shape string, key string, cluster int, common array<string>")
-    alone = empty.select("site", "shape", "key", F.lit(-1).alias("cluster"), "fingerprint")
+    done = full.groupBy("site", "shape").applyInPandas(cluster, f"site {kinds['site']}, shape string, key string, cluster long, common array<string>")
+    alone = empty.select("site", "shape", "key", (-1 - F.col("seq")).cast("long").alias("cluster"), "fingerprint")
     placed = done.union(alone).withColumn("template_id", template_id(F.col("shape"), F.col("common")))
     if exact:
         return pages.withColumn("key", F.col("seq").cast("string")).join(placed, ["site", "shape", "key"]).drop("key")
