@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 
 #: bytes of text that a kernel looks at in one go
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 600_000
 U64 = np.uint64
 
 

@@ -47,7 +47,7 @@ def language_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, off in text_slices(batch, limit=6_000_000):
+            for part, raw, off in text_slices(batch, limit=2_000_000):
                 c = letters(raw, off)
                 if not len(c.starts):
                     continue
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*shared.value.languages, "und"])
         for batch in batches:
-            for part, raw, off in text_slices(batch, limit=3_000_000):
+            for part, raw, off in text_slices(batch, limit=1_000_000):
                 best, score = shared.value.predict(raw, off)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), names.take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -181,7 +181,7 @@ def keep(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, off in text_slices(batch, limit=3_000_000):
+            for part, raw, off in text_slices(batch, limit=1_000_000):
                 best, score = shared.value.predict(raw, off)
                 yield part.filter(pa.array((best >= 0) & (score >= min_score)))
 

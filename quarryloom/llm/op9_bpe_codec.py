@@ -33,7 +33,7 @@ def word_counts(docs: DataFrame, spaced: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, raw, off in text_slices(batch, limit=6_000_000):
+            for _, raw, off in text_slices(batch, limit=2_000_000):
                 c = cut(raw, off, spaced)
                 if not len(c.starts):
                     continue
