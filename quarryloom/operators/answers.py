@@ -63,12 +63,16 @@ def append_cases(path: str, trial: DataFrame) -> None:
     trial.withColumn("origin", F.lit("human")).write.mode("append").parquet(path)
 
 
-def context_recall(cases: DataFrame, hits: DataFrame) -> DataFrame:
-    """(case_id, recall): share of the expected sources among the hits (case_id, source); null if none is expected."""
-    found = hits.groupBy("case_id").agg(F.collect_set("source").alias("found"))
-    empty = F.array().cast(dict(cases.dtypes)["expected_sources"])
-    want = F.array_distinct(F.coalesce("expected_sources", empty))
-    return cases.join(found, "case_id", "left").select("case_id", (F.when(F.size(want) > 0, F.size(F.array_intersect(want, F.coalesce("found", empty))) / F.size(want))).alias("recall"))
+def context_recall(cases: DataFrame, sources: DataFrame, hits: DataFrame) -> DataFrame:
+    """(case_id, recall): share of the expected sources among the hits (case_id, source); null if none is expected.
+
+    A case (case_id, label) expects the sources (source, label) of its label. These are counted and joined to the
+    hits, never listed.
+    """
+    own = sources.select("label", "source").distinct()
+    n = own.groupBy("label").agg(F.count("*").alias("n"))
+    found = hits.select("case_id", "source").distinct().join(cases, "case_id").join(own, ["label", "source"]).groupBy("case_id").agg(F.count("*").alias("found"))
+    return cases.join(n, "label", "left").join(found, "case_id", "left").select("case_id", F.when(F.col("n") > 0, F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall"))
 
 
 def attachment_hits(cases: DataFrame, answers: DataFrame) -> DataFrame:

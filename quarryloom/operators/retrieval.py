@@ -52,45 +52,51 @@ def bm25_search(queries: DataFrame, postings: DataFrame, stats: DataFrame, token
     return hit.groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(idf * weight).alias("score"))
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 512) -> DataFrame:
-    """(query_id, chunk_id, score): cosine similarity, the k best of (query_id, v) against (chunk_id, v).
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 4096) -> DataFrame:
+    """(query_id, chunk_id, score): cosine similarity to nine places, the k best of (query_id, v) against (chunk_id, v).
 
-    The query set is dealt in blocks of at most ``block``; each batch of vectors keeps its own k best, so k rows a
-    query and batch are shuffled. Vectors must have one dimension; zero vectors have no direction and take no part.
+    Both sides are dealt in blocks of about ``block``; a task holds one block of each, and each pair of blocks keeps its
+    own k best, so k rows a query and block are shuffled. Scores are rounded before they are ranked, so that equal
+    vectors tie. Vectors must have one dimension; zero vectors have no direction and take no part.
     """
     sizes = [r.n for r in vectors.select(F.size("v").alias("n")).union(queries.select(F.size("v"))).distinct().limit(2).collect()]
     if len(sizes) > 1:
         raise ValueError(f"one collection has vectors of dimensions {sorted(sizes)}")
-    n_blocks = max(1, -(-queries.count() // block))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    packed = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("v").cast("array<double>").alias("v"))).alias("queries"))
+    n_asked, n_held = (max(1, -(-x.count() // block)) for x in (queries, vectors))
     kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), 4096):
-                part = frame.iloc[i : i + 4096]
-                for _, own in part.groupby("block"):
-                    held = own.queries.iloc[0]
-                    ids, q = np.array([h["query_id"] for h in held]), np.array([h["v"] for h in held], float)
-                    v = np.array(own.v.tolist(), float)
-                    qn, vn = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
-                    score = (q @ v.T) / np.where(qn > 0, qn, 1)[:, None] / np.where(vn > 0, vn, 1)
-                    score[:, vn == 0] = -np.inf
-                    score[qn == 0] = -np.inf
-                    chunk = own.chunk_id.to_numpy()
-                    order = np.lexsort((np.broadcast_to(chunk, score.shape), -score), axis=1)[:, :k]
-                    row = np.arange(len(ids))[:, None]
-                    ok = np.isfinite(score[row, order])
-                    yield pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], order.shape)[ok], "chunk_id": chunk[order][ok], "score": score[row, order][ok]})
-
-    best = vectors.select("chunk_id", F.col("v").cast("array<double>").alias("v")).crossJoin(packed).mapInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double")
-    return top_k(best, k)
-
-
-def top_k(scored: DataFrame, k: int = TOP_K, threshold: float | None = None) -> DataFrame:
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, others: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
+        return df.select(key, F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), every)
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": asked.query_id[:0], "chunk_id": held.chunk_id[:0], "score": np.zeros(0)})]
+        if len(asked) and len(held):
+            held = held.sort_values("chunk_id")
+            v, chunk = np.array(held.v.tolist(), float), held.chunk_id.to_numpy()
+            vn = np.linalg.norm(v, axis=1)
+            best = min(k, len(chunk))
+            for i in range(0, len(asked), 256):
+                ids, q = asked.query_id.to_numpy()[i : i + 256], np.array(asked.v.iloc[i : i + 256].tolist(), float)
+                qn = np.linalg.norm(q, axis=1)
+                score = np.round((q @ v.T) / np.where(qn > 0, qn, 1)[:, None] / np.where(vn > 0, vn, 1), 9)
+                score[:, vn == 0] = -np.inf
+                score[qn == 0] = -np.inf
+                last = np.partition(score, len(chunk) - best, axis=1)[:, len(chunk) - best, None]
+                tied = score == last  # of equal scores the least chunks, as many as there is room for
+                room = best - (score > last).sum(1, keepdims=True)
+                row, col = np.nonzero(((score > last) | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(score))
+                out.append(pd.DataFrame({"query_id": ids[row], "chunk_id": chunk[col], "score": score[row, col]}))
+        return pd.concat(out, ignore_index=True)
+
+    left = dealt(queries, "query_id", "asked", n_asked, "held", n_held).groupBy("asked", "held")
+    right = dealt(vectors, "chunk_id", "held", n_held, "asked", n_asked).groupBy("asked", "held")
+    return top_k(left.cogroup(right).applyInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double"), k)
+
+
+def top_k(scored: DataFrame, k: int = TOP_K, threshold: float | None = None, per: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Adds ``rank``: per query the k best by score, ties by chunk, none below the threshold."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    rank = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("score"), "chunk_id"))
     own = scored if threshold is None else scored.where(F.col("score") >= threshold)
     return own.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -244,62 +244,88 @@ def _(spark, sf):
 VECTOR = "v as (select a.vec_id as query_id, b.vec_id as chunk_id, a.label as q_label, b.label as c_label, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as score from embeddings a, embeddings b where a.vec_id < 20), vtop as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from v qualify rank <= 20)"
 
 
-def vectors(spark, sf, k=20):
+#: the queries that the SQL of a search asks
+FEW = "vec_id < 20"
+
+
+def search(name, sql):
+    """Registers a search of the few vectors that its SQL asks, and as NAME_all that of every vector, without SQL."""
+
+    def add(f):
+        query(name, sql)(lambda spark, sf: f(spark, sf, FEW))
+        query(f"{name}_all")(lambda spark, sf: f(spark, sf, "true"))
+        return f
+
+    return add
+
+
+def vectors(spark, sf, k=20, asked=FEW):
     e = table(spark, sf, "embeddings")
     v = F.transform("embedding", lambda x: x.cast("double")).alias("v")
-    own = retrieval.vector_search(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), v), e.select(F.col("vec_id").alias("chunk_id"), v), k)
+    own = retrieval.vector_search(e.where(asked).select(F.col("vec_id").alias("query_id"), v), e.select(F.col("vec_id").alias("chunk_id"), v), k)
     return own.withColumn("score", F.round("score", 9))
 
 
-@query("ret_vector", f"with {VECTOR} select query_id, chunk_id, rank from vtop where rank <= 5")
-def _(spark, sf):
-    return vectors(spark, sf, 5).select("query_id", "chunk_id", F.col("rank").cast("long"))
+@search("ret_vector", f"with {VECTOR} select query_id, chunk_id, rank from vtop where rank <= 5")
+def _(spark, sf, asked):
+    return vectors(spark, sf, 5, asked).select("query_id", "chunk_id", F.col("rank").cast("long"))
 
 
-@query("udf_kernel", f"with {VECTOR} select query_id, chunk_id, rank from vtop where rank <= 5 and score >= 0.3")
-def _(spark, sf):
-    return retrieval.get_kernel("vector")(vector=vectors(spark, sf).drop("rank")).select("query_id", "chunk_id", F.col("rank").cast("long"))
+@search("udf_kernel", f"with {VECTOR} select query_id, chunk_id, rank from vtop where rank <= 5 and score >= 0.3")
+def _(spark, sf, asked):
+    return retrieval.get_kernel("vector")(vector=vectors(spark, sf, asked=asked).drop("rank")).select("query_id", "chunk_id", F.col("rank").cast("long"))
 
 
-@query("win_topk", f"with {VECTOR} select query_id, chunk_id from v where score >= 0.2 qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 5")
-def _(spark, sf):
-    return retrieval.top_k(vectors(spark, sf, 50).drop("rank"), 5, 0.2).select("query_id", "chunk_id")
+@search("win_topk", f"with {VECTOR} select query_id, chunk_id from v where score >= 0.2 qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 5")
+def _(spark, sf, asked):
+    return retrieval.top_k(vectors(spark, sf, 50, asked).drop("rank"), 5, 0.2).select("query_id", "chunk_id")
 
 
 HYBRID = f"{VECTOR}, k as (select query_id, chunk_id, (chunk_id % 7 + 1) / 7.0::double as score from v where chunk_id % 11 = query_id % 11), ktop as (select * from k qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 20), b as (select query_id, chunk_id, score / max(score) over (partition by query_id) as b from ktop), fused as (select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.chunk_id, b.chunk_id) as chunk_id, round(0.5 * greatest(least(coalesce(a.score, 0), 1), 0) + 0.5 * coalesce(b, 0), 9) as score from vtop a full join b on a.query_id = b.query_id and a.chunk_id = b.chunk_id), hits as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from fused where score >= 0.3 qualify rank <= 5)"
 
-
-def hybrid(spark, sf):
-    v = vectors(spark, sf).drop("rank")
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"))
-    k = v.select("query_id").distinct().join(e, F.expr("chunk_id % 11 = query_id % 11")).select("query_id", "chunk_id", ((F.col("chunk_id") % 7 + 1) / 7.0).alias("score"))
+def hybrid(spark, sf, asked=FEW):
+    """The keyword side is made up, and the same for all queries of a remainder: its candidates are ranked once a remainder."""
+    v = vectors(spark, sf, asked=asked).drop("rank")
+    e = table(spark, sf, "embeddings")
+    held = e.select((F.col("vec_id") % 11).alias("query_id"), F.col("vec_id").alias("chunk_id"), ((F.col("vec_id") % 7 + 1) / 7.0).alias("score"))
+    best = retrieval.top_k(held, retrieval.CANDIDATE_K).select(F.col("query_id").alias("turn"), "chunk_id", "score")
+    k = e.where(asked).select(F.col("vec_id").alias("query_id")).join(best, F.expr("turn = query_id % 11")).select("query_id", "chunk_id", "score")
     return retrieval.retrieve("hybrid", v, k)
 
 
-@query("ret_hybrid", f"with {HYBRID} select query_id, chunk_id, round(score, 6) as score, rank from hits")
-def _(spark, sf):
-    return hybrid(spark, sf).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+@search("ret_hybrid", f"with {HYBRID} select query_id, chunk_id, round(score, 6) as score, rank from hits")
+def _(spark, sf, asked):
+    return hybrid(spark, sf, asked).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
-@query("rerank_apply", f"with {VECTOR}, r as (select query_id, chunk_id, (chunk_id * 7919 % 1009) / 1009.0::double as score from vtop) select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from r qualify rank <= 5")
-def _(spark, sf):
-    v = vectors(spark, sf)
+@search("rerank_apply", f"with {VECTOR}, r as (select query_id, chunk_id, (chunk_id * 7919 % 1009) / 1009.0::double as score from vtop) select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from r qualify rank <= 5")
+def _(spark, sf, asked):
+    v = vectors(spark, sf, asked=asked)
     return retrieval.rerank(v, v.select("query_id", "chunk_id", (F.col("chunk_id") * 7919 % 1009 / 1009.0).alias("score"))).select("query_id", "chunk_id", F.col("rank").cast("long"))
 
 
-@query("ret_reach", f"with {VECTOR}, h as (select query_id, max(score) as best, arg_min(chunk_id, (-score, chunk_id)) as best_chunk from v where chunk_id <> query_id and query_id % 5 <> 0 group by query_id) select q.query_id as question_id, case when best is null then 'no_candidate' when best < 0.33 then 'low_score' else 'hit' end as outcome, best_chunk from (select distinct query_id from v) q left join h using (query_id)")
-def _(spark, sf):
-    v = vectors(spark, sf)
-    return retrieval.reachability(v.select("query_id").distinct(), v.where("chunk_id <> query_id and query_id % 5 <> 0"), 0.33).select("question_id", "outcome", "best_chunk")
+@search("ret_reach", f"with {VECTOR}, h as (select query_id, max(score) as best, arg_min(chunk_id, (-score, chunk_id)) as best_chunk from v where chunk_id <> query_id and query_id % 5 <> 0 group by query_id) select q.query_id as question_id, case when best is null then 'no_candidate' when best < 0.33 then 'low_score' else 'hit' end as outcome, best_chunk from (select distinct query_id from v) q left join h using (query_id)")
+def _(spark, sf, asked):
+    v = vectors(spark, sf, asked=asked)
+    made_up = " and query_id % 5 <> 0" if asked == FEW else ""  # the SQL has questions without a candidate
+    return retrieval.reachability(v.select("query_id").distinct(), v.where(f"chunk_id <> query_id{made_up}"), 0.33).select("question_id", "outcome", "best_chunk")
 
 
 @query("eval_recall", f"with {VECTOR}, want as (select distinct a.vec_id as case_id, b.vec_id as s from embeddings a join embeddings b on a.label = b.label and b.vec_id % 10 = 3 where a.vec_id < 20), found as (select query_id as case_id, chunk_id as s from vtop), n as (select case_id, count(*) as n from want group by case_id), f as (select case_id, count(*) as f from want join found using (case_id, s) group by case_id) select vec_id as case_id, case when n > 0 then round(coalesce(f, 0) / n, 6) end as recall from (select vec_id from embeddings where vec_id < 20) left join n on case_id = vec_id left join f on f.case_id = vec_id")
 def _(spark, sf):
+    return recall(spark, sf, FEW, "vec_id % 10 = 3")
+
+
+@query("eval_recall_all")
+def _(spark, sf):
+    return recall(spark, sf, "true", "true")
+
+
+def recall(spark, sf, asked, expected):
     e = table(spark, sf, "embeddings")
-    want = e.where("vec_id % 10 = 3").groupBy("label").agg(F.collect_list("vec_id").alias("expected_sources"))
-    cases = e.where("vec_id < 20").join(want, "label", "left").select(F.col("vec_id").alias("case_id"), "expected_sources")
-    hits = vectors(spark, sf).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("source"))
-    return answers.context_recall(cases, hits).select("case_id", F.round("recall", 6).alias("recall"))
+    hits = vectors(spark, sf, asked=asked).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("source"))
+    own = answers.context_recall(e.where(asked).select(F.col("vec_id").alias("case_id"), "label"), e.where(expected).select(F.col("vec_id").alias("source"), "label"), hits)
+    return own.select("case_id", F.round("recall", 6).alias("recall"))
 
 
 def lengths_and_as(batch: list[str]) -> list[list[float]]:

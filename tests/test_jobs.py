@@ -1,5 +1,6 @@
 """Robots, schedules, stores, retrieval, answers, streams."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,28 @@ def test_every_query_has_a_stable_schema(spark, name):
         pytest.skip("compared with SQL by the driver")
     df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(set(df.columns)) == len(df.columns) and all(t != "void" for _, t in df.dtypes)
+
+
+def test_searches_ask_every_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    e = catalog.table(spark, sf, "embeddings").orderBy("vec_id").toPandas()
+    v = np.array(e.embedding.tolist(), float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    score, ids, label = np.round(v @ v.T, 9), e.vec_id.to_numpy(), e.label.to_numpy()
+    order = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    got = catalog.QUERIES["ret_vector_all"](spark, sf).collect()
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in got} == {(ids[i], j + 1): ids[order[i, j]] for i in range(len(ids)) for j in range(5)}
+    recall = {r.case_id: r.recall for r in catalog.QUERIES["eval_recall_all"](spark, sf).collect()}
+    want = {ids[i]: (label[order[i]] == label[i]).sum() / (label == label[i]).sum() for i in range(len(ids))}
+    assert recall == pytest.approx(want, abs=1e-6)
+    for name in ("udf_kernel", "win_topk", "ret_hybrid", "rerank_apply"):
+        assert catalog.QUERIES[f"{name}_all"](spark, sf).select("query_id").distinct().count() == len(ids), name
+    assert catalog.QUERIES["ret_reach_all"](spark, sf).count() == len(ids)
+
+
+def test_blocks_do_not_change_a_search(spark):
+    rows = [(i, [float(i % 3), 1.0, float(i % 2)]) for i in range(60)] + [(60, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "chunk_id long, v array<double>")
+    q = v.withColumnRenamed("chunk_id", "query_id")
+    one, many = ({tuple(r) for r in retrieval.vector_search(q, v, 7, n).collect()} for n in (100, 9))
+    assert one == many and len(one) == 60 * 7
