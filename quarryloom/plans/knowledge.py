@@ -241,6 +241,15 @@ def _(spark, sf):
     return retrieval.top_k(own).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query("ret_bm25_all")
+def _(spark, sf):
+    """Every benchmark row asked of every kb_id, which the SQL of ret_bm25 doesn't."""
+    c = chunks(spark, sf)
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").crossJoin(c.select("kb_id").distinct()).select("query_id", "kb_id", "text")
+    own = retrieval.bm25_search(q, *retrieval.build_bm25(c)).withColumn("score", F.round("score", 9))
+    return retrieval.top_k(own, per=("query_id", "kb_id")).select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 VECTOR = "v as (select a.vec_id as query_id, b.vec_id as chunk_id, a.label as q_label, b.label as c_label, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as score from embeddings a, embeddings b where a.vec_id < 20), vtop as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from v qualify rank <= 20)"
 
 

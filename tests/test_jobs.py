@@ -1,5 +1,8 @@
 """Robots, schedules, stores, retrieval, answers, streams."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +158,23 @@ def test_blocks_do_not_change_a_search(spark):
     q = v.withColumnRenamed("chunk_id", "query_id")
     one, many = ({tuple(r) for r in retrieval.vector_search(q, v, 7, n).collect()} for n in (100, 9))
     assert one == many and len(one) == 60 * 7
+
+
+def test_keyword_search_asks_every_row_of_every_kb(spark):
+    sf, n, tf, df = "/root/testdata/sf0.001", {}, {}, Counter()
+    for r in catalog.table(spark, sf, "documents").select("lang", "doc_id", retrieval.words(F.col("text")).alias("t")).collect():
+        n.setdefault(r.lang, {})[r.doc_id] = len(r.t or [])
+        tf[r.doc_id] = Counter(r.t or [])
+        df.update((r.lang, w) for w in tf[r.doc_id])
+    want = {}
+    for q in catalog.table(spark, sf, "benchmark").select("item_id", retrieval.words(F.col("text")).alias("t")).collect():
+        for kb, held in n.items():
+            mean, scores = sum(held.values()) / len(held), {}
+            for d, size in held.items():
+                terms = [w for w in set(q.t) if tf[d][w]]
+                if terms:
+                    scores[d] = round(sum(math.log(1 + (len(held) - df[kb, w] + 0.5) / (df[kb, w] + 0.5)) * tf[d][w] * 2.5 / (tf[d][w] + 1.5 * (0.25 + 0.75 * size / mean)) for w in terms), 9)
+            for d in sorted(scores, key=lambda d: (-scores[d], d))[:5]:
+                want[q.item_id, kb, d] = scores[d]
+    got = {(r.query_id, r.kb_id, r.chunk_id): r.score for r in catalog.QUERIES["ret_bm25_all"](spark, sf).collect()}
+    assert len({k[1] for k in want}) > 1 and got == pytest.approx(want, abs=2e-6)
