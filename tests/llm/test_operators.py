@@ -184,6 +184,45 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near.near_classes(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_short_texts_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for n in [*range(1, 23)] * 3:
+        base = random_words(rng, n, 60)
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(int(rng.integers(1, 2 + n // 6))):
+                at = int(rng.integers(0, len(w)))
+                w[at : at + int(rng.integers(0, 2))] = [f"new{rng.integers(0, 10**6)}"] * int(rng.integers(0, 2))
+                w = w or ["new"]
+            texts.append(" ".join(w))
+    texts += ["a b c d e f g h i j", "a b c d X f g h i j", "p q r s t", "p q r s t u", "k l m n o", "k l Y n o"]
+    words, up = [t.split() for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):  # all pairs, whether or not they share a k-mer
+        for j in range(i):
+            if near.matched(words[i], words[j], near.needed(len(words[i]) + len(words[j]), 0.8)) is not None:
+                x, y = sorted((up[i], up[j]))
+                up = [x if u == y else u for u in up]
+    got = {r.doc_id: r.class_id for r in near.near_classes(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == up
+
+
+def test_near_duplicates_near_the_threshold(spark):
+    rng = np.random.default_rng(10)
+    texts, cases = [], [(n, share) for n in (30, 60, 150) for share in (0.1, 0.15, 0.2)] * 20
+    for n, share in cases:
+        base = random_words(rng, n, 10**6)
+        w = list(base)
+        for k in rng.permutation(n)[: round(n * share - 1e-9)]:
+            w[k] = f"new{rng.integers(0, 10**9)}"
+        texts += [" ".join(base), " ".join(w)]
+    got = {r.doc_id: r.class_id for r in near.near_classes(frame(spark, texts)).collect()}
+    for share in (0.1, 0.15, 0.2):
+        found = [got[2 * i] == got[2 * i + 1] for i, c in enumerate(cases) if c[1] == share]
+        assert sum(found) / len(found) >= 0.97, (share, sum(found), len(found))
+
+
 def test_nearest_has_high_recall_and_exact_scores(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(0, 1, (400, 16))
