@@ -2,9 +2,11 @@
 
 A page is read as text blocks, each with its root-to-leaf tag path. For each path the page's text length and
 punctuation are added up; the ratios to the number of its blocks are fused (product), smoothed over the blocks in page
-order, and blocks of paths above a threshold are content. The smallest element around the content (weighted by
-text) is the article; short blocks in it, such as headings, belong to it as well. Subtrees whose tag, class, id or
-role names a menu, header, footer, sidebar, notice, advert, form or comment never count.
+order, and blocks of paths above a threshold are content. The smallest element around most of the content (weighted by
+text) is the article; short blocks in it, such as headings, belong to it as well. Content outside it is kept, with the
+headings right before it. Subtrees whose tag, class, id or role names a menu, header, footer, sidebar, notice, advert,
+form or comment by a whole word never count, but classes and ids of an article or main element, or of one that holds
+most of the page's text, don't set it apart.
 
 Null and empty html, and pages without text, give the empty text. Each page is worked on by itself, so repeated pages
 give equal rows, and nothing is shuffled. Other columns are not read.
@@ -28,7 +30,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # fixed values of the markup language
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = set("script style textarea title noscript template iframe svg xmp noembed noframes annotation annotation-xml".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -41,9 +43,13 @@ WORDS = set("""ad ads adv advert adverts advertisement advertising adsense banne
 nav navbar navigation menu menubar breadcrumb breadcrumbs crumbs pager pagination toolbar topbar header masthead
 footer colophon copyright sidebar side aside rail widget related recommended recommendations
 notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup login paywall
-comment comments reply replies respond disqus discussion form search share sharing social skip hidden banner contentinfo complementary""".split())
+comment comments reply replies respond disqus discussion form search share sharing social skip hidden banner contentinfo complementary
+commentlist commentform cookiebar cookiebanner leftsidebar rightsidebar breadcrumblist""".split())
 IN_ARTICLE_HEADINGS = {"header", "masthead"}
-COMMENTS = re.compile(r"comment|disqus|sidebar|advert|cookie|newsletter|breadcrumb|navbar")
+#: names that say what an element has, not what it is
+HAS = re.compile(r"(?<![\w-])(?:has|with|without|no)[-_][\w-]*", re.I)
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 CUT_OFF = re.compile(r"<(?:/?[a-zA-Z]|!)[^>]*\Z", re.S)
@@ -56,6 +62,7 @@ class Node:
     tag: str
     parent: Node | None
     apart: bool
+    named: bool  # apart by class or id, unless it holds most of the page
     path: str
     depth: int
     weight: float = 0.0
@@ -68,30 +75,32 @@ class Block:
     text: str
 
 
-def is_apart(tag: str, attributes: str, parent: Node | None) -> bool:
+def is_apart(tag: str, attributes: str, parent: Node | None) -> tuple[bool, bool]:
+    """Whether an element is set apart for sure, and whether the class or id of a block does so."""
     if tag in APART:
-        return True
+        return True, False
     inside = parent is not None and "/article" in parent.path + "/" or parent is not None and "/main" in parent.path
     if tag == "header" and not inside:
-        return True
-    if not attributes:
-        return False
+        return True, False
+    named = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value, name = (a or b or c).lower(), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name in ("class", "id", "role"):
-            found = set(re.split(r"[^a-z0-9]+", value)) & WORDS
+        value, name = a or b or c, name.lower()
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            return True, False
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            value = HAS.sub(" ", value)
+            found = set(re.split(r"[^a-z0-9]+", value.lower() + " " + HUMP.sub(" ", value).lower())) & WORDS
             if inside and tag not in ("ul", "ol"):
                 found -= IN_ARTICLE_HEADINGS
-            if found and tag not in ("html", "body", "article", "main") or COMMENTS.search(value) and tag not in ("html", "body"):
-                return True
-    return False
+            if found and (name == "role" or tag not in BLOCKS):
+                return True, False
+            named = named or bool(found)
+    return False, named
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, without those apart."""
-    root = Node("", None, False, "", 0)
+    root = Node("", None, False, False, "", 0)
     at, out, pending = root, [], []
     home = root
 
@@ -131,7 +140,7 @@ def blocks_of(page: str) -> list[Block]:
             while n is not root and n.tag != tag:
                 n = n.parent
             if n is not root:
-                if tag in BLOCKS or n.apart:
+                if tag in BLOCKS or n.apart or any(x.named for x in chain(at)):
                     flush()
                 pop_to(n.parent)
             continue
@@ -162,9 +171,26 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in ("html", "body") and any(n.tag == tag for n in chain(at)):
             continue
-        at = Node(tag, at, at.apart or is_apart(tag, m[3], at), f"{at.path}/{tag}", at.depth + 1)
+        apart, named = is_apart(tag, m[3], at)
+        at = Node(tag, at, at.apart or apart, named, f"{at.path}/{tag}", at.depth + 1)
     flush()
-    return out
+    return without_named(out)
+
+
+def without_named(blocks: list[Block]) -> list[Block]:
+    """Without what a class or id sets apart; one that holds most of the text doesn't, if no article or main is elsewhere."""
+    if not any(n.named for b in blocks for n in chain(b.node)):
+        return blocks
+    held: dict[int, int] = {}
+    for b in blocks:
+        for n in chain(b.node):
+            if n.named:
+                held[id(n)] = held.get(id(n), 0) + len(b.text)
+    left = [b for b in blocks if not any(n.named for n in chain(b.node))]
+    if any(n.tag in ("article", "main") for b in left for n in chain(b.node)):
+        return left
+    most = sum(len(b.text) for b in blocks) / 2
+    return [b for b in blocks if not any(n.named and held[id(n)] <= most for n in chain(b.node))]
 
 
 def chain(node: Node | None) -> Iterator[Node]:
@@ -216,7 +242,13 @@ def main_text(page: str) -> str:
     while around is not None and around.tag in ("p", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li", "td", "tr") and around.parent is not None and around.parent.tag not in ("", "html", "body"):
         around = around.parent
     article = next((n for n in chain(around) if n.tag == "article"), None) or around
-    return "\n".join(b.text for b in blocks if any(n is article for n in chain(b.node)))
+    kept = [any(n is article for n in chain(b.node)) for b in blocks]
+    if article is None or not any(n.tag in ("article", "main") for n in chain(article)):
+        picked = {id(b) for b in chosen}
+        kept = [k or id(b) in picked for k, b in zip(kept, blocks, strict=True)]
+        for i in range(len(blocks) - 2, -1, -1):  # headings right before what is kept
+            kept[i] = kept[i] or kept[i + 1] and any(n.tag in HEADINGS for n in chain(blocks[i].node))
+    return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

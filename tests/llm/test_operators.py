@@ -312,3 +312,17 @@ def test_main_text_of_a_page(spark):
     got = {r.page_id: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i].text for i in (2, 3, 4, 5, 6)] == ["", "", "only", "plain, text", "cut off, here"]
     assert got[1].text == got[7].text and got[1].n_chars == len(want)
+
+
+def test_main_text_without_article_and_with_telling_classes():
+    intro = "The intro says, in short, what follows; it has 1 mark, or 2, too."
+    body = [f"Body paragraph {i} goes on, with commas, for a while; it ends here. " * 2 for i in range(4)]
+    clean = [" ".join(b.split()) for b in body]
+    paragraphs = "".join(f"<p>{b}</p>" for b in body)
+    page = f"<body><div class=menu><a>Home</a></div><h1>Title</h1><div class=intro><p>{intro}</p></div><h2>Part</h2><div class=body>{paragraphs}</div><div class=comments><p>I like it, a lot.</p></div></body>"
+    assert pages.main_text(page) == "\n".join(["Title", intro, "Part", *clean])
+    for tag, name in (("article", "post has-comments"), ("main", "content with-sidebar"), ("article", "comment"), ("div", "post has-comments"), ("div", "main sidebar-left")):
+        assert pages.main_text(f"<body><{tag} class='{name}'>{paragraphs}</{tag}></body>") == "\n".join(clean), (tag, name)
+    # comments longer than the article stay apart
+    assert pages.main_text(f"<body><article><p>{clean[0]}</p></article><div id=comments>{paragraphs}</div></body>") == clean[0]
+    assert pages.main_text("<article><p>So, <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p></article>") == "So, x=1 holds."
