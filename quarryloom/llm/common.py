@@ -7,7 +7,10 @@ slice is a slice by itself (whole texts, never prefixes).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """checkpoint() writes to the folder that the cluster names; only where it names none, to one of our own."""
+    """checkpoint() writes to the folder that the cluster names; a session on one machine gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local\b(?!-cluster)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
 
 
 def broadcast_value(spark: SparkSession, value):
@@ -75,9 +79,23 @@ def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BY
         yield batch.slice(i, j - i), raw[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
+def rows_where(docs: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows, with all their columns, for which keep(bytes, offsets of the texts) holds. Names may be any, also with dots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, off in text_slices(batch, limit=limit):
+                yield part.filter(pa.array(keep(raw, off)))
+
+    plain = docs.toDF(*["text" if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 # --- rolling polynomial hashes, modulo 2**64 -------------------------------------------------------------
 
 _ODD = U64(0x9E3779B97F4A7C15)
+#: the low n bytes of eight
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -149,8 +167,57 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
+def span_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a key of each byte span: equal spans, equal keys, and the other way round.
+
+    Spans of up to 15 bytes are their own key, with their length; longer ones have 120 bits of a cryptographic digest.
+    """
+    n = ends - starts
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(raw) + 9, "<u8", padded, strides=(1,))
+    low, high = eight[starts] & _MASKS[np.minimum(n, 8)], eight[np.minimum(starts + 8, len(raw))] & _MASKS[np.clip(n - 8, 0, 7)]
+    high |= np.minimum(n, 16).astype(np.uint64) << U64(56)
+    for i in np.flatnonzero(n > 15):
+        d = hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=15).digest()
+        low[i], high[i] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little") | 16 << 56
+    return low, high
+
+
+def key_hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of keys."""
+    with np.errstate(over="ignore"):
+        return mix(low ^ mix(high + _ODD))
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(BYTE_VALUES[raw], starts, ends)
+    return key_hashes(*span_keys(raw, starts, ends))
+
+
+def two_hashes(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of keys that don't meet together: what maps to the same pair has, for all that is known, the same key."""
+    with np.errstate(over="ignore"):
+        return key_hashes(low, high), mix(high ^ mix(low * U64(0xA0761D6478BD642F) + _ODD))
+
+
+def distinct_spans(low: np.ndarray, high: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the place of one of each distinct key, the number of each item's key). Spans whose hashes meet stay two."""
+    coded = pa.array(hashes).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    example = np.empty(len(coded.dictionary), np.int64)
+    example[codes] = np.arange(len(codes))
+    of = example[codes]
+    if (low[of] != low).any() or (high[of] != high).any():
+        both = np.empty(len(low), [("low", np.uint64), ("high", np.uint64)])
+        both["low"], both["high"] = low, high
+        _, example, codes = np.unique(both, return_index=True, return_inverse=True)
+    return example, codes
+
+
+def take_spans(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans end to end and their bounds (len + 1)."""
+    n = e - s
+    ends = np.cumsum(n)
+    return raw[np.repeat(s - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate([[0], ends]).astype(np.int64)
 
 
 def spread(first: np.ndarray) -> np.ndarray:
