@@ -3,12 +3,13 @@ isotonic calibration.
 
 The cosine features approximate a Gaussian kernel over standardised statistics of a text. Each partition of the
 training rows adds up its part of the normal equations; Spark sums the parts; the driver solves one system whose size
-is the number of features. Calibration pools adjacent violators over binned training scores.
+is the number of features. Calibration pools adjacent violators over binned scores: those of each half of the training
+rows by the weights of the other half.
 
 At most ``sample`` labelled rows train (those of least hash of their id; the bound of what is broadcast); every row is
-scored over its whole text. Null and empty texts have the statistics of an empty text and get a score too. Equal texts
-get equal scores. Without any usable label every score is 0.5. A document labelled more than once counts once, with
-its highest label. Other columns are not read.
+scored over its whole text, however long. Null and empty texts have the statistics of an empty text and get a score
+too; an empty table gives no rows. Equal texts get equal scores. Without any usable label every score is 0.5. A
+document labelled more than once counts once, with its highest label. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import distinct
-from .common import broadcast_value, crc32_of_id, mix, span_hashes, table, text_slices, word_hashes, word_spans
+from .common import broadcast_value, checkpoint_ready, crc32_of_id, mix, rows_where, span_hashes, table, text_slices, word_hashes, word_spans
 
 SAMPLE, FEATURES, WIDTH, RIDGE, BINS, SEED = 20_000, 256, 4.0, 1.0, 1000, 7
 THRESHOLD = 0.3
-STATISTICS = 21
+NAMES = [f"s{i}" for i in range(21)]
+#: tasks that add up normal equations
+SUMMANDS = 16
 
 UPPER, LOWER, DIGIT, STOP, QUOTE, SYMBOL, NEWLINE, GAP, HIGH, TAIL = range(10)
 
@@ -99,7 +101,9 @@ def pair_counts(doc: np.ndarray, h: np.ndarray, texts: int) -> np.ndarray:
     if not len(doc):
         return np.zeros(texts)
     with np.errstate(over="ignore"):
-        _, example, _ = distinct(h ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+        coded = pa.array(h ^ mix(doc.astype(np.uint64) + np.uint64(1))).dictionary_encode()
+    example = np.empty(len(coded.dictionary), np.int64)
+    example[coded.indices.to_numpy()] = np.arange(len(doc))
     return np.bincount(doc[example], minlength=texts).astype(float)
 
 
@@ -118,7 +122,10 @@ class Kernel:
 
 
 def isotonic(score: np.ndarray, label_sum: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over bins in order of score: (score, probability) knots."""
+    """Pool adjacent violators over bins in order of score: (score, probability) knots, both never falling.
+
+    No probability is nearer to 0 or 1 than half a row of all would bring it.
+    """
     blocks: list[list[float]] = []  # weight, sum of labels, sum of scores
     for s, y, w in zip(score, label_sum, n, strict=True):
         blocks.append([w, y, s * w])
@@ -126,7 +133,8 @@ def isotonic(score: np.ndarray, label_sum: np.ndarray, n: np.ndarray) -> tuple[n
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
     w, y, s = np.array(blocks).T
-    return s / w, (y + 0.5) / (w + 1)
+    least = 0.5 / (w.sum() + 1)
+    return s / w, np.clip(y / w, least, 1 - least)
 
 
 class Model:
@@ -148,51 +156,63 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def fit(training: DataFrame, ridge: float = RIDGE) -> Model:
-    """A model of rows (text, label)."""
-    spark = training.sparkSession
-    names = [f"s{i}" for i in range(STATISTICS)]
+def measured(training: DataFrame) -> DataFrame:
+    """The statistics s0, s1, ... and the label of each row (text, label), with the half that it belongs to."""
 
-    def measured(batches):
+    def run(batches):
         for batch in batches:
             for part, raw, off in text_slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in statistics(raw, off).T] + [part.column("label").cast(pa.float64())], names=[*names, "label"])
+                x = statistics(raw, off)
+                half = part.column("half").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [part.column("label").cast(pa.float64()), pa.array(half)], names=[*NAMES, "label", "half"])
+
+    halves = training.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+    return halves.mapInArrow(run, ", ".join(f"{n} double" for n in [*NAMES, "label"]) + ", half int")
+
 
-    rows = training.mapInArrow(measured, ", ".join(f"{n} double" for n in [*names, "label"]))
-    m = rows.agg(*[F.avg(n).alias(f"m{n}") for n in names], *[F.stddev_pop(n).alias(f"d{n}") for n in names], F.count("*").alias("n"), F.avg("label").alias("label")).first()
+def solve(gram: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights of the features from sums of products of (features, constant, label)."""
+    penalty = np.eye(len(gram) - 1) * ridge
+    penalty[-1, -1] = 1e-6
+    return np.linalg.solve(gram[:-1, :-1] + penalty, gram[:-1, -1])
+
+
+def fit(training: DataFrame, ridge: float = RIDGE) -> Model:
+    """A model of rows (text, label). Texts are measured once; each half is calibrated on the ridge of the other."""
+    spark = training.sparkSession
+    checkpoint_ready(spark)
+    rows = measured(training).checkpoint()
+    m = rows.agg(*[F.avg(n).alias(f"m{n}") for n in NAMES], *[F.stddev_pop(n).alias(f"d{n}") for n in NAMES], F.count("*").alias("n"), F.avg("label").alias("label")).first()
     if not m.n or m.label in (0.0, 1.0):
         return Model(None, None)
-    kernel = broadcast_value(spark, Kernel(np.array([m[f"m{n}"] for n in names]), np.array([m[f"d{n}"] for n in names])))
-    matrix = lambda batch: np.stack([c.to_numpy() for c in batch.columns], 1)
+    kernel = broadcast_value(spark, Kernel(np.array([m[f"m{n}"] for n in NAMES]), np.array([m[f"d{n}"] for n in NAMES])))
+    matrix = lambda batch: np.stack([c.to_numpy() for c in batch.columns[:-1]], 1)
+    d = FEATURES + 2
 
     def normal(batches):
-        total = None
+        total = np.zeros((2, d, d))
         for batch in batches:
-            x = matrix(batch)
+            x, half = matrix(batch), batch.column("half").to_numpy()
             phi = np.hstack([kernel.value(x[:, :-1]), x[:, -1:]])
-            total = phi.T @ phi if total is None else total + phi.T @ phi
-        if total is not None:
+            for i in range(2):
+                total[i] += phi[half == i].T @ phi[half == i]
+        if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "part"])
 
-    cells = rows.mapInArrow(normal, "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part")).toPandas()
-    d = FEATURES + 2
-    gram = np.zeros(d * d)
+    cells = rows.coalesce(SUMMANDS).mapInArrow(normal, "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part")).toPandas()
+    gram = np.zeros(2 * d * d)
     gram[cells.cell.to_numpy()] = cells.part.to_numpy()
-    gram = gram.reshape(d, d)
-    penalty = np.eye(d - 1) * ridge
-    penalty[-1, -1] = 1e-6
-    model = Model(kernel.value, np.linalg.solve(gram[:-1, :-1] + penalty, gram[:-1, -1]))
-    fitted = broadcast_value(spark, model)
+    gram = gram.reshape(2, d, d)
+    others = broadcast_value(spark, [Model(kernel.value, solve(gram[1 - i], ridge)) for i in range(2)])
 
     def scored(batches):
         for batch in batches:
-            x = matrix(batch)
-            r = fitted.value.raw(x[:, :-1])
+            x, half = matrix(batch), batch.column("half").to_numpy()
+            r = np.where(half == 0, others.value[0].raw(x[:, :-1]), others.value[1].raw(x[:, :-1]))
             yield pa.RecordBatch.from_arrays([pa.array(np.round(np.clip(r, -1, 2) * BINS).astype(np.int64)), pa.array(x[:, -1])], names=["bin", "label"])
 
     bins = rows.mapInArrow(scored, "bin long, label double").groupBy("bin").agg(F.sum("label").alias("y"), F.count("*").alias("n")).orderBy("bin").toPandas()
-    model.knots = isotonic(bins.bin.to_numpy() / BINS, bins.y.to_numpy(), bins.n.to_numpy())
-    return model
+    return Model(kernel.value, solve(gram.sum(0), ridge), isotonic(bins.bin.to_numpy() / BINS, bins.y.to_numpy(), bins.n.to_numpy()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -210,13 +230,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, whose text scores the threshold at least."""
     shared = broadcast_value(docs.sparkSession, model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, off in text_slices(batch):
-                yield part.filter(pa.array(shared.value.score(statistics(raw, off)) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, lambda raw, off: shared.value.score(statistics(raw, off)) >= threshold)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
