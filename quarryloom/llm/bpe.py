@@ -13,9 +13,8 @@ import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 
-from .common import BYTE_VALUES, span_hashes
+from .common import distinct_spans, key_hashes, span_keys
 
 #: fixed values: code points with the Unicode property White_Space
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -289,52 +288,46 @@ class VectorBPE:
 
     def merge_long(self, word: np.ndarray) -> np.ndarray:
         """A very long word: the same merges with a heap of (rank, place) over a linked list."""
-        ids = self.first_ids[word].astype(int).tolist()
+        if "merges" not in self._memory:
+            some = np.flatnonzero(self.slots >= 0)
+            self._memory["merges"] = dict(zip(self.slots[some].tolist(), zip(self.ranks[some].tolist(), self.news[some].tolist(), strict=True), strict=True))
+        merges = self._memory["merges"]
+        ids = self.first_ids[word].tolist()
         ids[-1] = int(self.last_ids[word[-1]])
         n = len(ids)
         right, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank, at = self.pairs(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)) if n > 1 else (np.zeros(0), np.zeros(0))
-        heap = [(int(r), i, ids[i], ids[i + 1], int(p)) for i, (r, p) in enumerate(zip(rank, at, strict=True)) if r < 1 << 30]
+        heap = [(m[0], i, a, b, m[1]) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := merges.get(a << 20 | b))]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, p = heapq.heappop(heap)
+            _, i, a, b, new = heapq.heappop(heap)
             j = right[i]
             if not alive[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i] = int(self.news[p])
+            ids[i] = new
             alive[j] = False
             right[i] = right[j]
             if right[j] < n:
                 left[right[j]] = i
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n:
-                    r, q = self.pairs(np.array([ids[x]], np.int32), np.array([ids[y]], np.int32))
-                    if r[0] < 1 << 30:
-                        heapq.heappush(heap, (int(r[0]), x, ids[x], ids[y], int(q[0])))
+                if x >= 0 and y < n and (m := merges.get(ids[x] << 20 | ids[y])):
+                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
         return np.array([x for x, ok in zip(ids, alive, strict=True) if ok], np.int32)
 
 
-def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct values, the place of one of each, the number of each item's value)."""
-    coded = pa.array(hashes).dictionary_encode()
-    codes, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-    example = np.empty(len(keys), np.int64)
-    example[codes] = np.arange(len(codes))
-    order = np.argsort(keys)
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.arange(len(keys))
-    return keys[order], example[order], rank[codes]
-
-
 class WordIds:
-    """Ids of pre-tokens by hash, remembered within a Python worker. ``resolve`` gives ids of unseen words."""
+    """Ids of pre-tokens, remembered within a Python worker. ``resolve`` gives ids of unseen words.
+
+    Words are found by hash and then compared by their whole keys; a word whose hash another one has already taken is
+    resolved anew each time.
+    """
 
     def __init__(self, resolve):
         self.resolve = resolve
         self.clear()
 
     def clear(self):
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of the words seen, and their slots
+        self.hashes = np.zeros(0, np.uint64)  # sorted hashes of the words seen, their keys and slots
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
@@ -344,20 +337,32 @@ class WordIds:
         """The slot of each pre-token of a slice."""
         if not len(c.starts):
             return np.zeros(0, np.int64)
-        if len(self.keys) > REMEMBERED:
+        if len(self.count) > REMEMBERED:
             self.clear()
-        keys, example, codes = distinct(span_hashes(BYTE_VALUES[c.raw], c.starts, c.ends))
-        at = np.searchsorted(self.keys, keys)
-        hit = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        hit[inside] = self.keys[at[inside]] == keys[inside]
-        slot = np.empty(len(keys), np.int64)
-        slot[hit] = self.slot[at[hit]]
+        low, high = span_keys(c.raw, c.starts, c.ends)
+        hashes = key_hashes(low, high)
+        example, codes = distinct_spans(low, high, hashes)
+        example_hashes = hashes[example]
+        order = np.argsort(example_hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        example, codes = example[order], rank[codes]
+        hashes, low, high = hashes[example], low[example], high[example]
+        at = np.searchsorted(self.hashes, hashes)
+        near = np.minimum(at, max(len(self.hashes) - 1, 0))
+        taken = (self.hashes[near] == hashes) & (at < len(self.hashes)) if len(self.hashes) else np.zeros(len(hashes), bool)
+        hit = taken.copy()
+        hit[taken] = (self.low[near[taken]] == low[taken]) & (self.high[near[taken]] == high[taken])
+        slot = np.empty(len(hashes), np.int64)
+        slot[hit] = self.slot[near[hit]]
         new = np.flatnonzero(~hit)
         if len(new):
             ids, counts = self.resolve(c.raw, c.starts[example[new]], c.ends[example[new]])
             slot[new] = len(self.count) + np.arange(len(new))
-            self.keys, self.slot = np.insert(self.keys, at[new], keys[new]), np.insert(self.slot, at[new], slot[new])
+            keep = ~taken[new]
+            keep[1:] &= hashes[new][1:] != hashes[new][:-1]
+            kept = new[keep]
+            self.hashes, self.slot, self.low, self.high = (np.insert(x, at[kept], y[kept]) for x, y in ((self.hashes, hashes), (self.slot, slot), (self.low, low), (self.high, high)))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
             self.ids = np.concatenate([self.ids, ids])

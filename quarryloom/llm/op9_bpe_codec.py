@@ -1,12 +1,14 @@
 """BPE encoding and decoding with a minimal acyclic lexicon of frequent words.
 
-Spark counts the pre-tokens of all documents; the most frequent (``lexicon_size``, the bound of what is broadcast) are
-compiled on the driver into the least acyclic automaton: suffixes are shared, and the numbers along a word's path sum
-to its place in a list of id outputs. Workers memory-map that block. Distinct words of a slice walk it in lockstep;
-words that it doesn't hold are merged exactly. The result doesn't depend on the lexicon.
-
-Null text counts as empty: no ids, decoded to the empty text. Repeated rows get equal values; other columns are not
-read. Texts that hold the string of a special token go through the library, which finds those before anything else.
+Spark counts the pre-tokens of all documents; those above the least count that leaves ``lexicon_size`` of them (the
+bound of what reaches the driver and is broadcast; a histogram of counts finds it) are compiled on the driver into the
+least acyclic automaton: suffixes are shared, and the numbers along a word's path sum to its place in a list of id
+outputs. Workers memory-map that block. Distinct words of a slice walk it in lockstep; words that it doesn't hold are
+merged exactly. The result doesn't depend on the lexicon.
+
+Null text counts as empty: no ids, decoded to the empty text; an empty table gives no rows. A text of any length is
+one slice. Repeated rows get equal values; other columns are not read. Texts that hold the string of a special token
+go through the library, which finds those before anything else.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import Automaton, minimal
-from .bpe import VectorBPE, WordIds, cut, distinct, encode_slice
-from .common import BYTE_VALUES, broadcast_value, buffer_of, span_hashes, table, text_slices
+from .bpe import VectorBPE, WordIds, cut, encode_slice
+from .common import broadcast_value, buffer_of, checkpoint_ready, distinct_spans, key_hashes, span_keys, table, take_spans, text_slices
 
 LEXICON_SIZE = 30_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -37,19 +39,31 @@ def word_counts(docs: DataFrame, spaced: bool) -> DataFrame:
                 c = cut(raw, off, spaced)
                 if not len(c.starts):
                     continue
-                _, example, codes = distinct(span_hashes(BYTE_VALUES[c.raw], c.starts, c.ends))
-                s, e = c.starts[example], c.ends[example]
-                ends = np.cumsum(e - s)
-                at = np.repeat(s - (ends - (e - s)), e - s) + np.arange(ends[-1])
-                words = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(c.raw[at].tobytes())])
+                low, high = span_keys(c.raw, c.starts, c.ends)
+                example, codes = distinct_spans(low, high, key_hashes(low, high))
+                data, ends = take_spans(c.raw, c.starts[example], c.ends[example])
+                words = pa.Array.from_buffers(pa.binary(), len(example), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(codes), pa.int64())], names=["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The rows of (word, n) above the least grade of n, in quarters of an octave, that leaves ``size`` rows at most."""
+    grade = F.floor(4 * F.log2("n"))
+    rows, least = 0, None
+    for r in counts.groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():  # some two hundred at most
+        rows += r["count"]
+        if rows > size:
+            break
+        least = r.grade
+    return counts.where(F.lit(False) if least is None else grade >= least)
+
+
 def lexicon(docs: DataFrame, model: VectorBPE, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
     """(automaton block, ids end to end, first id of each word and the end) of the most frequent words."""
-    top = word_counts(docs, model.spaced).orderBy(F.desc("n"), "word").limit(size).collect()
+    checkpoint_ready(docs.sparkSession)
+    top = frequent(word_counts(docs, model.spaced).checkpoint(), size).select("word").collect()
     words = sorted(bytes(r.word) for r in top)
     ends = np.cumsum([len(w) for w in words]).astype(np.int64)
     ids, n = model.merge(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends])[:-1].astype(np.int64), ends)
