@@ -5,16 +5,19 @@ in it. Consecutive windows with the same minimiser form a super-k-mer. Equal win
 
 1. every super-k-mer's minimiser and document are added up (two-phase aggregation, no text in the shuffle); only those
    whose minimiser stands in two documents at least can hold a repeated window, and only those go on;
-2. they travel, each packed as one string, to their minimiser's bucket, where windows are sorted by a 128-bit hash of
-   their words, and each run of equal windows gives the least document it starts in;
-3. a minimiser with more than ``hot`` super-k-mers isn't one task's work: its windows are aggregated by their own hash
-   (pre-aggregated before the shuffle) and joined back;
+2. they travel, each packed as one string, to their minimiser's bucket, where windows are sorted by 128 bits of hashes,
+   neighbours with equal hashes are compared word by word, and each run of equal windows gives the least document it
+   starts in;
+3. a minimiser with more than ``hot`` super-k-mers isn't one task's work: its strings are dealt out by document, its
+   windows are aggregated by their own 128 bits (pre-aggregated before the shuffle) and joined back in up to ``PARTS``
+   parts, so that a window held by very many documents isn't one task's work either;
 4. the ranges of words to remove are gathered for each document and taken out of its text.
 
 Documents are shuffled once (both joins read the same exchange). A word is a maximal run of bytes other than 0x20 and
 0x09-0x0D. Null text has no words; a document with fewer words than a window stays as it is; kept words are joined by
-one space. A null doc_id is neither smaller nor larger than another: such a row stays whole and removes nothing.
-Rows with the same doc_id don't remove each other's words. Extra columns are carried along if asked for.
+one space; a text of any length is worked on whole; an empty table gives no rows. A null doc_id is neither smaller nor
+larger than another: such a row stays whole and removes nothing. Rows with the same doc_id don't remove each other's
+words. Extra columns, whatever their names, are carried along if asked for.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import as_string_array, buffer_of, mix, span_hashes, spread, table, text_slices, word_hashes, word_spans
+from .common import as_string_array, buffer_of, span_hashes, span_keys, spread, table, text_slices, two_hashes, word_hashes, word_spans
 
-WINDOW, MINIMISER, HOT = 50, 10, 1000
+WINDOW, MINIMISER, HOT, PARTS = 50, 10, 1000, 16
 #: words of packed strings that a bucket task sorts at once (whole buckets; a bucket has at most ``hot`` strings)
 AT_ONCE = 400_000
 
@@ -73,7 +77,7 @@ def skeleton(docs: DataFrame, window: int, m: int) -> DataFrame:
 
 def packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The wanted super-k-mers with their words as one string."""
-    of_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "windows", "minimiser", "hot")).alias("kmers"))
+    of_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "windows", "minimiser", "parts")).alias("kmers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,36 +88,48 @@ def packed(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     if not kmers:
                         continue
                     words = text.encode().split()
-                    rows += [(k["minimiser"], k["hot"], doc_id, version, k["start"], b" ".join(words[k["start"] : k["start"] + k["windows"] + window - 1])) for k in kmers]
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+                    rows += [(k["minimiser"], k["parts"], doc_id, version, k["start"], b" ".join(words[k["start"] : k["start"] + k["windows"] + window - 1])) for k in kmers]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["minimiser", "hot", "doc_id", "version", "start", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["minimiser", "parts", "doc_id", "version", "start", "packed"])
 
     # a left join, so that the exchange of documents is the one that remove_repeats() reads again
     both = docs.join(of_doc, ["doc_id", "version"], "left").select("doc_id", "version", "text", "kmers")
-    strings = both.mapInArrow(run, "minimiser long, hot boolean, doc_id long, version long, start int, packed string")
+    strings = both.mapInArrow(run, "minimiser long, parts int, doc_id long, version long, start int, packed string")
     # buckets meet; strings of hot minimisers are dealt out. Both readers choose their rows after this exchange
-    return strings.repartition(F.when(F.col("hot"), F.xxhash64("packed")).otherwise(F.col("minimiser")))
+    return strings.repartition(F.when(F.col("parts") > 0, F.xxhash64("packed", "doc_id")).otherwise(F.col("minimiser")))
 
 
-def windows_of(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(string, place in it, two 64-bit hashes) of every window of packed strings."""
+def windows_of(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(string, place in it, two 64-bit hashes) of every window of packed strings, its first word, the keys of words."""
     s, e, first = word_spans(raw, off)
-    h = word_hashes(raw, s, e)
+    keys = span_keys(raw, s, e)
     n = np.maximum(np.diff(first) - window + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     i = first[row] + place
-    return row, place, span_hashes(h, i, i + window), span_hashes(mix(h ^ np.uint64(0x5851F42D4C957F2D)), i, i + window)
+    a, b = (span_hashes(h, i, i + window) for h in two_hashes(*keys))
+    return row, place, a, b, i, keys
+
+
+def runs(a: np.ndarray, b: np.ndarray, at: np.ndarray, keys: tuple[np.ndarray, np.ndarray], window: int) -> np.ndarray:
+    """Where another window begins among windows sorted by hashes; words of neighbours with equal hashes are compared."""
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    same = np.flatnonzero(~new)
+    for k in range(window):
+        x, y = at[same] + k, at[same - 1] + k
+        if any((key[x] != key[y]).any() for key in keys):
+            raise ArithmeticError("two windows with the same 128 bits of hashes")
+    return new
 
 
 def bucket_ranges(minimiser: np.ndarray, doc: np.ndarray, version: np.ndarray, start: np.ndarray, raw: np.ndarray, off: np.ndarray, window: int):
     """Ranges of words (doc, version, from, to) that repeat a window of a smaller document, for whole buckets."""
-    row, place, a, b = windows_of(raw, off, window)
+    row, place, a, b, at, keys = windows_of(raw, off, window)
     order = np.lexsort((doc[row], b, a))
-    row, place, a, b = row[order], place[order], a[order], b[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    row, place, a, b, at = row[order], place[order], a[order], b[order], at[order]
+    new = runs(a, b, at, keys, window)
     least = doc[row[new]][np.cumsum(new) - 1] if len(row) else row
     hit = np.flatnonzero(doc[row] > least)
     if not len(hit):
@@ -144,7 +160,7 @@ def ranges_by_bucket(strings: DataFrame, window: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(out, (np.int64, np.int64, np.int32, np.int32), strict=True)], names=names)
 
         for batch in batches:
-            batch = batch.filter(pc.invert(batch.column("hot")))
+            batch = batch.filter(pc.equal(batch.column("parts"), 0))
             for i in range(0, len(batch), 2000):
                 part = batch.slice(i, 2000)
                 held.append(part)
@@ -163,31 +179,39 @@ def ranges_by_bucket(strings: DataFrame, window: int) -> DataFrame:
 
 
 def ranges_by_window(strings: DataFrame, window: int) -> DataFrame:
-    """The same for hot minimisers: each window by its own hash."""
+    """The same for hot minimisers: each window by its own hashes."""
+    fields = "a long, b long, part int, parts int, doc_id long, version long, from int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, off in text_slices(batch.filter(batch.column("hot")), "packed"):
-                row, place, a, b = windows_of(raw, off, window)
-                of = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), part.column("doc_id").take(of), part.column("version").take(of), pa.array((part.column("start").to_numpy()[row] + place).astype(np.int32))], names=["a", "b", "doc_id", "version", "from"])
+            for own, raw, off in text_slices(batch.filter(pc.greater(batch.column("parts"), 0)), "packed"):
+                row, place, a, b, _, _ = windows_of(raw, off, window)
+                parts = own.column("parts").to_numpy()
+                part = own.column("doc_id").to_numpy() % np.maximum(parts, 1)
+                columns = [a.view(np.int64), b.view(np.int64), part[row].astype(np.int32), parts[row], own.column("doc_id").to_numpy()[row], own.column("version").to_numpy()[row], (own.column("start").to_numpy()[row] + place).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in fields.split(", ")])
 
-    each = strings.mapInArrow(run, "a long, b long, doc_id long, version long, from int")
-    least = each.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("a", "b", "least")
-    return each.join(least, ["a", "b"]).where("doc_id > least").select("doc_id", "version", "from", (F.col("from") + window).cast("int").alias("to"))
+    each = strings.mapInArrow(run, fields)
+    # a window has one minimiser, so all its rows have the same number of parts
+    least = each.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("parts").alias("parts")).where("least < most")
+    least = least.select("a", "b", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return each.join(least, ["a", "b", "part"]).where("doc_id > least").select("doc_id", "version", "from", (F.col("from") + window).cast("int").alias("to"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text) for each row of (doc_id, text); ``carry`` adds a struct ``carried``."""
-    extra = [F.struct(*carry).alias("carried")] if carry else []
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    extra = [F.struct(*[F.col(quoted(c)).alias(c) for c in carry]).alias("carried")] if carry else []
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     marks = skeleton(docs, window, m)
     shared = marks.groupBy("minimiser").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most")
-    wanted = marks.join(shared, "minimiser").select("doc_id", "version", "start", "windows", "minimiser", (F.col("n") > hot).alias("hot"))
+    wanted = marks.join(shared, "minimiser").select("doc_id", "version", "start", "windows", "minimiser", F.when(F.col("n") > hot, F.least(F.lit(PARTS), F.ceil(F.col("n") / max(hot, 1)))).otherwise(0).cast("int").alias("parts"))
     strings = packed(docs, wanted, window)
     ranges = ranges_by_bucket(strings, window).unionByName(ranges_by_window(strings, window))
     of_doc = ranges.groupBy("doc_id", "version").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
-    fields = "doc_id long, n_words long, n_removed long, kept string" + (f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else "")
+    fields = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    if carry:
+        fields.add("carried", docs.schema["carried"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
