@@ -1,15 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as text blocks, each with its root-to-leaf tag path. For each path the page's text length and
-punctuation are added up; the ratios to the number of its blocks are fused (product), smoothed over the blocks in page
-order, and blocks of paths above a threshold are content. The smallest element around most of the content (weighted by
-text) is the article; short blocks in it, such as headings, belong to it as well. Content outside it is kept, with the
-headings right before it. Subtrees whose tag, class, id or role names a menu, header, footer, sidebar, notice, advert,
-form or comment by a whole word never count, but classes and ids of an article or main element, or of one that holds
-most of the page's text, don't set it apart.
+punctuation are added up and set against the number of its blocks. Both ratios are smoothed over the paths in page
+order, a neighbour counting the more the longer the part of the path that is common, and fused by multiplication; the
+blocks of paths above a threshold are content. The smallest element around most of the content (weighted by text) is
+the article; what stands between the content nodes in it, such as headings and short lists, belongs to it as well.
+Content outside it is kept if it is in no article or main element, with the headings right before it.
 
+A prior (which can be switched off) takes subtrees out before: those whose tag, class, id or role names a menu, header,
+footer, sidebar, notice, advert, form or comment by a whole word; but classes and ids of an article or main element, or
+of one that holds most of the page's text, don't count. Scripts, styles and what is hidden are never text.
+
+Time and memory grow in proportion to a page, also for deeply nested, cut off or hostile ones; pages are read whole.
 Null and empty html, and pages without text, give the empty text. Each page is worked on by itself, so repeated pages
-give equal rows, and nothing is shuffled. Other columns are not read.
+give equal rows, and nothing is shuffled; an empty table gives no rows. Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +39,12 @@ RAW = set("script style textarea title noscript template iframe svg xmp noembed
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ITEMS = set(CLOSES) | {x for own in CLOSES.values() for x in own}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
+#: where the search for an open p ends
+ENDS_SEARCH = set("td th li div article section body".split())
+
 #: what is never main text, by tag
 APART = set("nav footer aside form button select option input label fieldset dialog menu head".split())
 #: by a whole word of class, id or role
@@ -49,45 +58,46 @@ IN_ARTICLE_HEADINGS = {"header", "masthead"}
 #: names that say what an element has, not what it is
 HAS = re.compile(r"(?<![\w-])(?:has|with|without|no)[-_][\w-]*", re.I)
 HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+INLINE = set("p b i em strong span a h1 h2 h3 h4 h5 h6 blockquote li td tr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
-CUT_OFF = re.compile(r"<(?:/?[a-zA-Z]|!)[^>]*\Z", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: Node | None
-    apart: bool
-    named: bool  # apart by class or id, unless it holds most of the page
-    path: str
+    path: int  # the number of its tag path on this page
     depth: int
-    weight: float = 0.0
-    children: list = field(default_factory=list)
+    apart: bool  # it or something around it is no main text for sure
+    named: bool  # apart by its own class or id, unless it holds most of the page
+    under_named: bool  # it or something around it is named
+    inside: bool  # in an article or main element
+    paragraph: Node | None  # the open p that a new block ends
+    items: dict  # the open list items, rows, cells that a new one ends
+    text: int = 0  # characters of text in it
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     node: Node
     text: str
 
 
-def is_apart(tag: str, attributes: str, parent: Node | None) -> tuple[bool, bool]:
+def is_apart(tag: str, attributes: str, inside: bool, prior: bool) -> tuple[bool, bool]:
     """Whether an element is set apart for sure, and whether the class or id of a block does so."""
-    if tag in APART:
-        return True, False
-    inside = parent is not None and "/article" in parent.path + "/" or parent is not None and "/main" in parent.path
-    if tag == "header" and not inside:
+    if prior and (tag in APART or tag == "header" and not inside):
         return True, False
     named = False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value, name = a or b or c, name.lower()
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True, False
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+        if prior and name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
             value = HAS.sub(" ", value)
             found = set(re.split(r"[^a-z0-9]+", value.lower() + " " + HUMP.sub(" ", value).lower())) & WORDS
             if inside and tag not in ("ul", "ol"):
@@ -98,11 +108,57 @@ def is_apart(tag: str, attributes: str, parent: Node | None) -> tuple[bool, bool
     return False, named
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order, without those apart."""
-    root = Node("", None, False, False, "", 0)
-    at, out, pending = root, [], []
-    home = root
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag, attributes or text) in order; kinds: text, open, close. One pass; a tag that is cut off ends the page."""
+    i, n, quotes = 0, len(page), True
+    last = page.rfind(">")
+    while i < n:
+        at = page.find("<", i)
+        if at < 0:
+            at = n
+        if at > i:
+            yield "text", "", page[i:at]
+        if at == n:
+            return
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            i = n if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            i = n if end < 0 else end + 3
+            continue
+        name = NAME.match(page, at + 1)
+        if name is None and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            yield "text", "", "<"
+            i = at + 1
+            continue
+        if last < at:
+            return
+        begin = name.end() if name else at + 1
+        whole = REST.match(page, begin) if quotes and name else None
+        quotes = quotes and (whole is not None or name is None)  # quotes that don't match end tags nowhere from here on
+        i = whole.end() if whole else page.find(">", begin) + 1
+        if name is None:
+            continue
+        tag = name[0].lower()
+        if tag[0] == "/":
+            yield "close", tag[1:], ""
+            continue
+        yield "open", tag, page[begin : i - 1]
+        if tag in RAW and page[i - 2] != "/":
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, i)
+            close = page.find(">", end.end()) if end else -1
+            i = n if close < 0 else close + 1
+
+
+def blocks_of(page: str, prior: bool = True) -> tuple[list[Block], list[Node], list[tuple[int, ...]]]:
+    """The text blocks of a page in order, without those apart; its elements, each after its parent; (parent, depth) of its paths."""
+    root = Node("", None, 0, 0, False, False, False, False, None, {})
+    at = home = root
+    nodes, out, pending, open_tags = [root], [], [], {}
+    paths: dict[tuple[int, str], int] = {}
+    shape = [(0, 0)]
 
     def flush():
         nonlocal pending
@@ -111,143 +167,156 @@ def blocks_of(page: str) -> list[Block]:
             out.append(Block(home, text))
         pending = []
 
-    def pop_to(node: Node) -> None:
+    def leave(node: Node) -> None:
+        """Closes the open elements down to this one."""
         nonlocal at
-        at = node
-
-    def say(piece: str) -> None:
-        nonlocal home
-        if piece and not at.apart:
-            if not pending:
-                home = at
-            pending.append(piece)
-
-    page = CUT_OFF.sub("", page)
-    i = 0
-    while True:
-        m = TOKEN.search(page, i)
-        if m is None:
-            say(page[i:])
-            break
-        say(page[i : m.start()])
-        i = m.end()
-        tag = m[2]
-        if tag is None:
+        while at is not node:
+            open_tags[at.tag] -= 1
+            at = at.parent
+
+    for kind, tag, more in tokens(page):
+        if kind == "text" or tag == "br" or tag in RAW:
+            piece = more if kind == "text" else " " if kind == "open" else ""
+            if piece and not at.apart:
+                if not pending:
+                    home = at
+                pending.append(piece)
             continue
-        tag = tag.lower()
-        if m[1]:
-            n = at
-            while n is not root and n.tag != tag:
-                n = n.parent
-            if n is not root:
-                if tag in BLOCKS or n.apart or any(x.named for x in chain(at)):
+        if kind == "close":
+            if open_tags.get(tag):
+                n = at
+                while n.tag != tag:
+                    n = n.parent
+                if tag in BLOCKS or n.apart or at.under_named:
                     flush()
-                pop_to(n.parent)
-            continue
-        if tag == "br":
-            say(" ")
-            continue
-        if tag in RAW:
-            if not m[4]:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, i)
-                i = end.end() if end else len(page)
-            say(" " if tag not in BLOCKS else "")
+                leave(n.parent)
             continue
         if tag in BLOCKS:
             flush()
-        if tag in ENDS_P:
-            n = at
-            while n is not root and n.tag not in ("p", "td", "th", "li", "div", "article", "section", "body"):
-                n = n.parent
-            if n.tag == "p":
-                pop_to(n.parent)
+        if tag in ENDS_P and at.paragraph:
+            leave(at.paragraph.parent)
         if tag in CLOSES:
-            n = at
-            while n is not root and n.tag not in CLOSES[tag] and n.tag not in BARRIER[tag]:
-                n = n.parent
-            if n.tag in CLOSES[tag]:
-                pop_to(n.parent)
-        if tag in VOID:
+            ends = [n for t in CLOSES[tag] if (n := at.items.get(t))]
+            if ends:
+                leave(min(ends, key=lambda n: n.depth).parent)
+        if tag in VOID or (tag in ("html", "body") and open_tags.get(tag)):
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in chain(at)):
-            continue
-        apart, named = is_apart(tag, m[3], at)
-        at = Node(tag, at, at.apart or apart, named, f"{at.path}/{tag}", at.depth + 1)
+        apart, named = is_apart(tag, more, at.inside, prior)
+        items = at.items
+        if any(tag in b for b in BARRIER.values()) or tag in ITEMS:
+            items = {t: n for t, n in items.items() if tag not in BARRIER[t]}
+        key = (at.path, tag)
+        if key not in paths:
+            paths[key] = len(shape)
+            shape.append((at.path, at.depth + 1))
+        node = Node(tag, at, paths[key], at.depth + 1, at.apart or apart, named, at.under_named or named, at.inside or tag in ("article", "main"), None, items)
+        node.paragraph = node if tag == "p" else None if tag in ENDS_SEARCH else at.paragraph
+        if tag in ITEMS:
+            node.items = items | {tag: node}
+        nodes.append(node)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        at = node
     flush()
-    return without_named(out)
+    return without_named(out, nodes), nodes, shape
 
 
-def without_named(blocks: list[Block]) -> list[Block]:
+def add_up(blocks: list[Block], nodes: list[Node]) -> None:
+    """How much text of these blocks each element holds."""
+    for n in nodes:
+        n.text = 0
+    for b in blocks:
+        b.node.text += len(b.text)
+    for n in reversed(nodes[1:]):
+        n.parent.text += n.text
+
+
+def without_named(blocks: list[Block], nodes: list[Node]) -> list[Block]:
     """Without what a class or id sets apart; one that holds most of the text doesn't, if no article or main is elsewhere."""
-    if not any(n.named for b in blocks for n in chain(b.node)):
+    if not any(b.node.under_named for b in blocks):
         return blocks
-    held: dict[int, int] = {}
-    for b in blocks:
-        for n in chain(b.node):
-            if n.named:
-                held[id(n)] = held.get(id(n), 0) + len(b.text)
-    left = [b for b in blocks if not any(n.named for n in chain(b.node))]
-    if any(n.tag in ("article", "main") for b in left for n in chain(b.node)):
+    left = [b for b in blocks if not b.node.under_named]
+    if any(b.node.inside for b in left):
         return left
-    most = sum(len(b.text) for b in blocks) / 2
-    return [b for b in blocks if not any(n.named and held[id(n)] <= most for n in chain(b.node))]
+    add_up(blocks, nodes)
+    gone = {id(nodes[0]): False}
+    for n in nodes[1:]:
+        gone[id(n)] = gone[id(n.parent)] or n.named and 2 * n.text <= nodes[0].text
+    return [b for b in blocks if not gone[id(b.node)]]
 
 
-def chain(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+def common_depth(a: int, b: int, shape: list[tuple[int, ...]]) -> int:
+    """How many elements two paths have in common from the root on."""
+    while a != b:
+        if shape[a][1] >= shape[b][1]:
+            a = shape[a][0]
+        else:
+            b = shape[b][0]
+    return shape[a][1]
 
 
-def smoothed(x: list[float]) -> list[float]:
-    """Gaussian smoothing over neighbours in page order, normalised at the ends."""
-    kernel = [math.exp(-(d * d) / 2) for d in range(3)]
+def smoothed(x: list[float], own: list[int], shape: list[tuple[int, ...]]) -> list[float]:
+    """Values of paths, smoothed over the two before and after in page order, weighted by distance and common path."""
     out = []
-    for i in range(len(x)):
+    for i, a in enumerate(own):
         total = weight = 0.0
-        for d in range(-2, 3):
-            if 0 <= i + d < len(x):
-                total += kernel[abs(d)] * x[i + d]
-                weight += kernel[abs(d)]
+        for j in range(max(0, i - 2), min(len(x), i + 3)):
+            w = math.exp(-((i - j) ** 2) / 2) * ((1 + common_depth(a, own[j], shape)) / (1 + max(shape[a][1], shape[own[j]][1]))) ** 4
+            total, weight = total + w * x[j], weight + w
         out.append(total / weight)
     return out
 
 
-def main_text(page: str) -> str:
-    """The main text of one page."""
-    blocks = blocks_of(page)
-    if not blocks:
-        return ""
-    length: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    count: dict[str, int] = {}
+def content_paths(blocks: list[Block], shape: list[tuple[int, ...]]) -> set[int]:
+    """The tag paths whose smoothed and fused ratios of text and punctuation reach the threshold."""
+    length: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
     for b in blocks:
         p = b.node.path
         length[p] = length.get(p, 0) + len(b.text)
         marks[p] = marks.get(p, 0) + len(PUNCTUATION.findall(b.text))
         count[p] = count.get(p, 0) + 1
-    fused = [(length[p] / count[p]) * (1 + marks[p] / count[p]) for p in (b.node.path for b in blocks)]
-    smooth = smoothed(fused)
-    mean = sum(smooth) / len(smooth)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    top = max(smooth)
-    threshold = min(spread, 0.5 * top)
-    chosen = [b for b, s, f in zip(blocks, smooth, fused, strict=True) if s >= threshold and f > 0]
-    total = 0
-    for b in chosen:
-        total += len(b.text)
-        for n in chain(b.node):
-            n.weight += len(b.text)
-    around = next((n for n in chain(max(chosen, key=lambda b: len(b.text)).node) if n.weight >= 0.8 * total), None)
-    while around is not None and around.tag in ("p", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li", "td", "tr") and around.parent is not None and around.parent.tag not in ("", "html", "body"):
+    own = list(count)  # in page order
+    text = smoothed([length[p] / count[p] for p in own], own, shape)
+    stops = smoothed([marks[p] / count[p] for p in own], own, shape)
+    fused = [t * (1 + m) for t, m in zip(text, stops, strict=True)]
+    each = [(f, count[p]) for f, p in zip(fused, own, strict=True)]
+    n = sum(c for _, c in each)
+    mean = sum(f * c for f, c in each) / n
+    spread = math.sqrt(sum(c * (f - mean) ** 2 for f, c in each) / n)
+    threshold = min(spread, 0.5 * max(fused))
+    return {p for p, f in zip(own, fused, strict=True) if f >= threshold}
+
+
+def main_text(page: str, prior: bool = True) -> str:
+    """The main text of one page."""
+    blocks, nodes, shape = blocks_of(page, prior)
+    if not blocks:
+        return ""
+    paths = content_paths(blocks, shape)
+    chosen = [b for b in blocks if b.node.path in paths]
+    add_up(chosen, nodes)
+    around = max(chosen, key=lambda b: len(b.text)).node
+    while around.parent is not None and around.text < 0.8 * nodes[0].text:
+        around = around.parent
+    while around.tag in INLINE and around.parent is not None and around.parent.tag not in ("", "html", "body"):
         around = around.parent
-    article = next((n for n in chain(around) if n.tag == "article"), None) or around
-    kept = [any(n is article for n in chain(b.node)) for b in blocks]
-    if article is None or not any(n.tag in ("article", "main") for n in chain(article)):
+    top = around
+    while top is not None and top.tag != "article":
+        top = top.parent
+    article = top or around
+    within = {id(nodes[0]): article is nodes[0]}
+    for n in nodes[1:]:
+        within[id(n)] = within[id(n.parent)] or n is article
+    kept = [within[id(b.node)] for b in blocks]
+    if not article.inside:
         picked = {id(b) for b in chosen}
         kept = [k or id(b) in picked for k, b in zip(kept, blocks, strict=True)]
+        headed = {id(nodes[0]): False}
+        for n in nodes[1:]:
+            headed[id(n)] = headed[id(n.parent)] or n.tag in HEADINGS
         for i in range(len(blocks) - 2, -1, -1):  # headings right before what is kept
-            kept[i] = kept[i] or kept[i + 1] and any(n.tag in HEADINGS for n in chain(blocks[i].node))
+            kept[i] = kept[i] or kept[i + 1] and headed[id(blocks[i].node)]
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 

@@ -7,7 +7,8 @@ returns the payload, the time stamps and the random-access points. Both work row
 (no shuffle) on arrays of whole 188-byte packets.
 
 Null text counts as empty (a payload of 192 spaces). Equal texts give equal streams. Rows keep no other columns.
-A stream that doesn't parse gives a null payload and the reason.
+A stream that doesn't parse, whatever is damaged in it, gives a null payload and the reason. A text of any length is one
+stream; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -112,9 +113,11 @@ class Broken(ValueError):
 
 def read_section(packet: np.ndarray, table_id: int) -> bytes:
     at = 5 + int(packet[4])
+    if at + 3 > PACKET or packet[3] & 0x30 != 0x10:
+        raise Broken("bad table")
     size = 3 + ((int(packet[at + 1]) & 0x0F) << 8 | int(packet[at + 2]))
     sec = packet[at : at + size].tobytes()
-    if not sec or sec[0] != table_id or len(sec) != size:
+    if sec[0] != table_id or len(sec) != size or size < 12:
         raise Broken("bad table")
     return sec
 
@@ -148,6 +151,8 @@ def demux(media: bytes) -> tuple[bytes, dict]:
         sec = checked(read_section(p[i], 0))
         for j in range(8, len(sec) - 4, 4):
             programs[int.from_bytes(sec[j : j + 2], "big")] = int.from_bytes(sec[j + 2 : j + 4], "big") & 0x1FFF
+    if not programs:
+        raise Broken("no program")
     program, map_pid = min(programs.items())
     streams = {}
     for i in np.flatnonzero(pid == map_pid):
@@ -167,6 +172,8 @@ def demux(media: bytes) -> tuple[bytes, dict]:
     extra = (q[:, 3] & 0x20) > 0
     start = np.where(extra, 5 + q[:, 4].astype(np.int64), 4)
     flags = np.where(extra & (q[:, 4] > 0), q[:, 5], 0)
+    if (start > PACKET).any() or not (q[:, 3] & 0x10).all():
+        raise Broken("adaptation field")
     held = PACKET - start
     data = q[np.arange(PACKET) >= start[:, None]]
     first = np.flatnonzero(q[:, 1] & 0x40)
@@ -179,6 +186,8 @@ def demux(media: bytes) -> tuple[bytes, dict]:
         head = data[a : a + 14]
         if len(head) < 14 or head[:3].tolist() != [0, 0, 1] or (int(head[4]) << 8 | int(head[5])) != b - a - 6 or not head[7] & 0x80:
             raise Broken("elementary packet")
+        if 9 + int(head[8]) > b - a or head[8] < 5:
+            raise Broken("elementary packet")
         stamps.append(unstamp(head[9:14]))
         if flags[i] & 0x40:
             points.append((stamps[-1], int(own[i])))
