@@ -3,11 +3,13 @@
 A vector is approximated by a sum of full-dimensional codewords, one from each codebook; the codebooks are fitted to
 the residuals of a bounded sample, and encoding keeps a beam of the best partial sums. Each code is stored with a
 norm: the ratio of the vector's length to its approximation's. A query's inner products with all codewords are looked
-up and added, times that ratio; the best of each block of candidates are reranked by exact inner products in double
-precision.
+up and added, times that ratio.
 
-Every row is encoded and every row is scored for every query, in tiles of at most about BLOCK candidates and TILE
-queries, so a task holds one tile of each whatever the table's size; of each tile k rows a query go on.
+Every row is encoded and every row is scored for every query, in tiles of about BLOCK candidates and TILE queries, so a
+task holds one tile whatever the table's size. Only codes and norms (some 30 bytes a row) are dealt to the tiles; vectors
+aren't. Of all tiles the ``rerank`` best estimates of a query go on (rows are dealt by hash, so a tile among many gives
+four times its share and 20 more); they meet the original vectors in blocks of PART rows, each with the queries that
+have candidates there, and are ranked by exact inner products in double precision.
 
 Vectors that are null, zero, of another length than the commonest, or that hold null or non-finite components take no
 part; nor do null ids. Ties go to the smaller id, also among equal vectors. Repeated query ids count once (the least
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import broadcast_value, table
 
 SAMPLE, BOOKS, WORDS, BEAM, ROUNDS, SEED = 8192, 16, 128, 4, 4, 11
-BLOCK, TILE, RERANK = 8192, 1024, 384
+BLOCK, PART, TILE, RERANK = 65_536, 8192, 1024, 400
 K = 20
-FOUND = "query_id long, vec_id long, score double"
+ESTIMATE, FOUND = "query_id long, vec_id long, estimate float", "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -108,63 +110,92 @@ def best_of(scores: np.ndarray, r: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(scores), r)
 
 
-def search_tile(model: Quantizer, queries: pa.Table, rows: pa.Table, k: int, rerank: int) -> pa.Table:
-    """The k best rows of a tile for each of its queries, by exact inner products of the candidates."""
+def estimate_tile(model: Quantizer, queries: pa.Table, rows: pa.Table, most: int) -> pa.Table:
+    """The rows of a tile with the best estimates for each of its queries."""
     rows = rows.sort_by("vec_id")
     qid, q = queries.column("vec_id").to_numpy(), matrix(queries.column("v"))
-    vid, v = rows.column("vec_id").to_numpy(), matrix(rows.column("v"))
+    vid, norms = rows.column("vec_id").to_numpy(), rows.column("norm").to_numpy()
     codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(vid), -1)
-    norms = rows.column("norm").to_numpy()
     out = []
-    for i in range(0, len(qid), 128):
-        ids, block = qid[i : i + 128], q[i : i + 128]
-        near = model.estimate(block, codes, norms)
+    for i in range(0, len(qid), 64):
+        ids = qid[i : i + 64]
+        near = model.estimate(q[i : i + 64], codes, norms)
         near[ids[:, None] == vid] = -np.inf
-        cand = best_of(near, rerank)
-        score = np.einsum("qd,qcd->qc", block, v[cand]) if len(vid) else np.zeros((len(ids), 0))
-        score[ids[:, None] == vid[cand]] = -np.inf
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        row = np.arange(len(ids))[:, None]
-        ok = score[row, top] > -np.inf
-        out.append((np.broadcast_to(ids[:, None], top.shape)[ok], vid[cand[row, top]][ok], score[row, top][ok]))
+        best = best_of(near, most)
+        value = near[np.arange(len(ids))[:, None], best]
+        ok = value > -np.inf
+        out.append((np.broadcast_to(ids[:, None], best.shape)[ok], vid[best][ok], value[ok]))
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "estimate"])
+
+
+def rank_part(wanted: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    """The k best rows of a part for each query with candidates in it, by exact inner products."""
+    rows = rows.sort_by("vec_id")
+    vid, v = rows.column("vec_id").to_numpy(), matrix(rows.column("v"))
+    q, lists = matrix(wanted.column("v")), wanted.column("candidates").combine_chunks()
+    bounds, ids = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+    out = []
+    for i, query_id in enumerate(wanted.column("query_id").to_pylist()):
+        own = np.sort(ids[bounds[i] - bounds[0] : bounds[i + 1] - bounds[0]])
+        a, b = np.searchsorted(vid, own), np.searchsorted(vid, own, "right")
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
+        score = (v[at] * q[i]).sum(1)  # the same for equal vectors, wherever they stand
+        top = np.argsort(-score, kind="stable")[:k]
+        out.append((np.full(len(top), query_id), vid[at[top]], score[top]))
     return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE) -> Quantizer:
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
-    return Quantizer.fit(np.array(rows.v.tolist()))
+def fit(vectors: DataFrame, rows: int, sample: int = SAMPLE) -> Quantizer:
+    """Codebooks of some ``sample`` of the ``rows`` vectors, chosen by hash: the bound of what reaches the driver."""
+    chosen = vectors.where((F.shiftrightunsigned(F.xxhash64("vec_id"), 11) * F.lit(2.0**-53)) < min(1.0, sample / rows)).orderBy(F.xxhash64("vec_id"), "vec_id")
+    x = matrix(chosen.select("v").toArrow().column("v"))
+    return Quantizer.fit(x if len(x) else matrix(vectors.limit(1).toArrow().column("v")))
+
+
+def none_of(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "float": pa.float32(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array([], kinds[k]) for _, k in fields], names=[n for n, _ in fields])
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row for which ``is_query`` (a column of vec_id) holds."""
     spark = vectors.sparkSession
     sizes = usable(vectors).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = usable(vectors, sizes.d)
+    x, rows = usable(vectors, sizes.d), sizes["count"]
     asked = x.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks = math.ceil(sizes["count"] / BLOCK)
+    n_blocks, n_parts = math.ceil(rows / block), math.ceil(rows / PART)
     n_tiles = max(1, math.ceil(asked.count() / TILE))
-    model = broadcast_value(spark, fit(x, sample))
+    model = broadcast_value(spark, fit(x, rows, sample))
+    of_tile = min(rerank, 4 * math.ceil(rerank / n_blocks) + 20)
 
     def encode(batches):
         for batch in batches:
             for i in range(0, len(batch), 1024):
                 part = batch.slice(i, 1024)
                 codes, norms = model.value.encode(matrix(part.column("v")))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "v", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "codes", "norm"])
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    coded = x.mapInArrow(encode, "vec_id long, v array<double>, codes binary, norm float")
-    coded = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).withColumn("tile", every(n_tiles))
-    asked = asked.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(n_tiles)).cast("int")).withColumn("block", every(n_blocks))
+    dealt = lambda n, of="vec_id": F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+    coded = x.mapInArrow(encode, "vec_id long, codes binary, norm float").withColumn("block", dealt(n_blocks)).withColumn("tile", every(n_tiles))
+    queries = asked.withColumn("tile", dealt(n_tiles)).withColumn("block", every(n_blocks))
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        if not len(queries) or not len(rows):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
-        return search_tile(model.value, queries, rows, k, rerank)
+        return estimate_tile(model.value, queries, rows, of_tile) if len(queries) and len(rows) else none_of(ESTIMATE)
+
+    near = queries.groupBy("block", "tile").cogroup(coded.groupBy("block", "tile")).applyInArrow(search, ESTIMATE)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id"))
+    near = near.withColumn("place", place).where(F.col("place") <= rerank)
+    wanted = near.groupBy("query_id", dealt(n_parts).alias("part")).agg(F.collect_set("vec_id").alias("candidates"))
+    wanted = wanted.join(asked.withColumnRenamed("vec_id", "query_id"), "query_id").select("part", "query_id", "v", "candidates")
+
+    def exact(wanted: pa.Table, rows: pa.Table) -> pa.Table:
+        return rank_part(wanted, rows, k) if len(wanted) and len(rows) else none_of(FOUND)
 
-    found = asked.groupBy("block", "tile").cogroup(coded.groupBy("block", "tile")).applyInArrow(search, FOUND)
+    found = wanted.groupBy("part").cogroup(x.withColumn("part", dealt(n_parts)).groupBy("part")).applyInArrow(exact, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
