@@ -49,41 +49,41 @@ def markdown_of(p: Page | None) -> tuple[str, int, int, bool]:
             blocks.append(text)
         words.clear()
 
-    def visit(i: int) -> None:
-        nonlocal tables, merged, headings
+    # pages may be nested deeply, so the way through the elements is a stack: go in, say text, come out
+    todo: list[tuple[str, int, int]] = [("in", r, 0) for r in reversed(list(p.roots()))]
+    while todo:
+        step, i, had = todo.pop()
+        if step == "say":
+            words.append(p.pieces[i])
+            continue
         tag = p.tag[i]
+        if step == "out":
+            if tag == "li" and len(blocks) == had:
+                text = " ".join("".join(words).split())
+                words.clear()
+                if text:
+                    blocks.append("- " + text)
+            elif tag in stops:
+                flush()
+            continue
         if tag in APART or any(w in p.marker[i] for w in ("nav", "footer")):
-            return
+            continue
         if tag in stops:
             flush()
         if tag in HEADINGS:
             if p.text(i):
                 headings += 1
                 blocks.append("#" * HEADINGS[tag] + " " + p.text(i))
-            return
+            continue
         if tag == "table":
             text, odd = _table(p, i)
             if text:
                 tables, merged = tables + 1, merged + odd
                 blocks.append(text)
-            return
-        mark = len(words), len(blocks)
-        own = [(p.piece_from[k], 1, k) for k in p.children(i)] + [(n, 0, n) for n in range(p.piece_from[i], p.piece_to[i]) if p.owner[n] == i]
-        for _, kind, n in sorted(own):
-            if kind:
-                visit(n)
-            else:
-                words.append(p.pieces[n])
-        if tag == "li" and len(blocks) == mark[1]:
-            text = " ".join("".join(words).split())
-            words.clear()
-            if text:
-                blocks.append("- " + text)
-        elif tag in stops:
-            flush()
-
-    for r in p.roots():
-        visit(r)
+            continue
+        own = [(p.piece_from[k], "in", k) for k in p.children(i)] + [(n, "", n) for n in range(p.piece_from[i], p.piece_to[i]) if p.owner[n] == i]
+        todo.append(("out", i, len(blocks)))
+        todo += [(kind or "say", n, 0) for _, kind, n in sorted(own, reverse=True)]
     flush()
     return "\n\n".join(blocks), tables, merged, headings == 0
 

@@ -14,6 +14,8 @@ from ..functions.text import extract_doc_numbers
 
 K1, B = 1.5, 0.75
 TOP_K, CANDIDATE_K, THRESHOLD, WEIGHT = 5, 20, 0.3, 0.5
+#: rows of (query, kb, term), or (kb, term), that are broadcast at most
+BROADCAST_ROWS = 200_000
 WORD = r"([\p{L}\p{Nd}]+)"
 CJK = r"[㐀-䶿一-鿿]"
 
@@ -31,13 +33,33 @@ def tokenize(c: Column) -> Column:
     return F.concat(plain, pairs, F.transform(extract_doc_numbers(c), F.lower))
 
 
-def build_bm25(chunks: DataFrame, tokens: Callable[[Column], Column] = words) -> tuple[DataFrame, DataFrame]:
-    """(postings (kb_id, chunk_id, term, tf, chunk_len, df), stats (kb_id, chunks, avg_len)) of (kb_id, chunk_id, text)."""
+def terms_of(queries: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """(query_id, kb_id, term): the distinct terms of (query_id, kb_id, text)."""
+    return queries.select("query_id", "kb_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a DataFrame that is counted first; beyond ``rows`` Spark shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def build_bm25(chunks: DataFrame, tokens: Callable[[Column], Column] = words, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings (kb_id, chunk_id, term, tf, chunk_len, df), stats (kb_id, chunks, avg_len)) of (kb_id, chunk_id, text).
+
+    With ``asked`` (kb_id, term) only postings of those terms are made; all others go before any shuffle. Texts are
+    tokenised once: a chunk's empty term carries its length to the statistics, out of the same exchange.
+    """
     own = chunks.select("kb_id", "chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    stats = own.groupBy("kb_id").agg(F.count("*").alias("chunks"), F.avg(F.size("t")).alias("avg_len"))
-    tf = own.select("kb_id", "chunk_id", F.size("t").alias("chunk_len"), F.explode("t").alias("term")).groupBy("kb_id", "chunk_id", "chunk_len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
-    return tf.join(df, ["kb_id", "term"]), stats
+    each = own.select("kb_id", "chunk_id", F.size("t").alias("chunk_len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    if asked is not None:
+        wanted = asked.select("kb_id", "term").union(asked.select("kb_id", F.lit(""))).distinct()
+        each = each.join(if_small(wanted), ["kb_id", "term"], "left_semi")
+    # the filters below are on sums, so that Spark keeps them above the exchange, which all three then read
+    tf = each.groupBy("kb_id", "chunk_id", "chunk_len", "term").agg(F.count("*").alias("tf"), F.max(F.when(F.col("term") == "", 1).otherwise(0)).alias("whole"))
+    stats = tf.where("whole = 1").groupBy("kb_id").agg(F.count_if(F.col("tf") > 0).alias("chunks"), F.avg("chunk_len").alias("avg_len"))
+    postings = tf.where("whole = 0").drop("whole")
+    df = tf.where("whole = 0").groupBy("kb_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    return postings.join(df, ["kb_id", "term"]), stats
 
 
 def bm25_search(queries: DataFrame, postings: DataFrame, stats: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
@@ -45,16 +67,22 @@ def bm25_search(queries: DataFrame, postings: DataFrame, stats: DataFrame, token
 
     Each distinct term counts once a query. Postings meet queries on (kb_id, term); a frequent term is split by AQE.
     """
-    terms = queries.select("query_id", "kb_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
-    hit = postings.join(terms, ["kb_id", "term"]).join(F.broadcast(stats), "kb_id")
+    hit = postings.join(if_small(terms_of(queries, tokens)), ["kb_id", "term"]).join(if_small(stats), "kb_id")
     idf = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chunk_len") / F.col("avg_len")))
     return hit.groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(idf * weight).alias("score"))
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 4096) -> DataFrame:
+def search_bm25(queries: DataFrame, chunks: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """The same from (query_id, kb_id, text) and (kb_id, chunk_id, text), without postings that nobody asks for."""
+    return bm25_search(queries, *build_bm25(chunks, tokens, terms_of(queries, tokens)), tokens)
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 4096, within: str | None = None) -> DataFrame:
     """(query_id, chunk_id, score): cosine similarity to nine places, the k best of (query_id, v) against (chunk_id, v).
 
+    ``within`` names a column of both: a query is then scored against the vectors of its own value only, say its kb.
+
     Both sides are dealt in blocks of about ``block``; a task holds one block of each, and each pair of blocks keeps its
     own k best, so k rows a query and block are shuffled. Scores are rounded before they are ranked, so that equal
     vectors tie. Vectors must have one dimension; zero vectors have no direction and take no part.
@@ -64,10 +92,11 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block:
         raise ValueError(f"one collection has vectors of dimensions {sorted(sizes)}")
     n_asked, n_held = (max(1, -(-x.count() // block)) for x in (queries, vectors))
     kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
+    own_part = [F.col(within).alias(within)] if within else []
 
     def dealt(df: DataFrame, key: str, own: str, n: int, other: str, others: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
-        return df.select(key, F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), every)
+        return df.select(*own_part, key, F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), every)
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": asked.query_id[:0], "chunk_id": held.chunk_id[:0], "score": np.zeros(0)})]
@@ -89,8 +118,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block:
                 out.append(pd.DataFrame({"query_id": ids[row], "chunk_id": chunk[col], "score": score[row, col]}))
         return pd.concat(out, ignore_index=True)
 
-    left = dealt(queries, "query_id", "asked", n_asked, "held", n_held).groupBy("asked", "held")
-    right = dealt(vectors, "chunk_id", "held", n_held, "asked", n_asked).groupBy("asked", "held")
+    left = dealt(queries, "query_id", "asked", n_asked, "held", n_held).groupBy(*([within] if within else []), "asked", "held")
+    right = dealt(vectors, "chunk_id", "held", n_held, "asked", n_asked).groupBy(*([within] if within else []), "asked", "held")
     return top_k(left.cogroup(right).applyInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double"), k)
 
 

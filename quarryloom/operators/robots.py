@@ -96,7 +96,8 @@ def check_robots(urls: DataFrame, rules: DataFrame, user_agent: str, status: Dat
         F.concat("origin", F.lit("/robots.txt")).alias("robots_url"),
         F.when(closed, NO_ROBOTS).when(denied, "robots").alias("reason"),
     )
-    return urls.join(decision, "url")
+    # a row without a url stays, and isn't allowed
+    return urls.join(decision, "url", "left").withColumns({"allowed": F.coalesce("allowed", F.lit(False)), "reason": F.when(F.col("url").isNull(), "no_url").otherwise(F.col("reason"))})
 
 
 def crawl_delays(rules: DataFrame, user_agent: str) -> DataFrame:
@@ -104,15 +105,23 @@ def crawl_delays(rules: DataFrame, user_agent: str) -> DataFrame:
     return groups_for(rules, user_agent).groupBy("origin").agg(F.max_by("crawl_delay", F.when(F.col("crawl_delay").isNotNull(), F.col("seq"))).alias("crawl_delay"))
 
 
-def schedule_requests(requests: DataFrame, interval: float) -> DataFrame:
+def schedule_requests(requests: DataFrame, interval: float, span: float = 3600.0) -> DataFrame:
     """Adds ``granted`` and ``delay`` (seconds) to (origin, at double, seq): no two grants of an origin are nearer.
 
-    g(i) = max(t(i), g(i-1) + d) in closed form: i*d plus the running maximum of t(j) - j*d.
+    g(i) = max(t(i), g(i-1) + d) in closed form: i*d plus the running maximum of t(j) - j*d. An origin's history is
+    numbered in spans of ``span`` seconds, a task each; what a span takes over from those before is their number of
+    requests and their maximum, a prefix over one row a span.
     """
-    order = Window.partitionBy("origin").orderBy("at", "seq")
-    i = (F.row_number().over(order) - 1) * F.lit(interval)
-    lead = F.max(F.col("at") - F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("_i", i).withColumn("granted", F.col("_i") + lead).withColumn("delay", F.col("granted") - F.col("at")).drop("_i")
+    d = F.lit(interval)
+    rows = requests.withColumn("_span", F.floor(F.col("at") / span))
+    order = Window.partitionBy("origin", "_span").orderBy("at", "seq")
+    rows = rows.withColumn("_i", F.row_number().over(order) - 1).withColumn("_top", F.max(F.col("at") - (F.row_number().over(order) - 1) * d).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("origin").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy("origin", "_span").agg(F.count("*").alias("_n"), F.max("_top").alias("_most")).withColumn("_had", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    spans = spans.withColumn("_lead", F.max(F.col("_most") - F.col("_had") * d).over(before)).select(F.col("origin").alias("_origin"), F.col("_span").alias("_of"), "_had", "_lead")
+    both = rows.join(spans, F.col("origin").eqNullSafe(F.col("_origin")) & (F.col("_span") == F.col("_of")))
+    granted = (F.col("_had") + F.col("_i")) * d + F.greatest(F.col("_lead"), F.col("_top") - F.col("_had") * d)
+    return both.withColumn("granted", granted).withColumn("delay", F.col("granted") - F.col("at")).drop("_span", "_i", "_top", "_origin", "_of", "_had", "_lead")
 
 
 def rate_violations(log: DataFrame, interval: float) -> DataFrame:

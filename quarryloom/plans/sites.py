@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
@@ -53,10 +54,9 @@ def _(spark, sf):
 
 @query("url_home", f"select page_id, {PATH.format('url')} in ('', '/') or (string_split({PATH.format('base')}, '/')[-1] <> '' and string_split({PATH.format('url')}, '/')[-1] = string_split({PATH.format('base')}, '/')[-1]) as home from (select page_id, url, min(url) over (partition by {ORIGIN}) as base from pages)")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    p = table(spark, sf, "pages").withColumn("base", F.min("url").over(Window.partitionBy(urls.origin_of(F.col("url")))))
-    return p.select("page_id", urls.is_homepage_like(F.col("url"), F.col("base")).alias("home"))
+    p = table(spark, sf, "pages").select("page_id", "url", urls.origin_of(F.col("url")).alias("origin"))
+    first = p.groupBy("origin").agg(F.min("url").alias("base"))
+    return p.join(first.withColumnRenamed("origin", "o"), F.expr("origin <=> o")).select("page_id", urls.is_homepage_like(F.col("url"), F.col("base")).alias("home"))
 
 
 @query("url_pageno", "select page_id, try_cast(nullif(regexp_extract(split_part(string_split(url, '/')[-1], '.', 1), '([0-9]+)[^0-9]*$', 1), '') as bigint) as page_no from pages")
@@ -133,10 +133,57 @@ def _(spark, sf):
     return dom.segment_pages(table(spark, sf, "pages"), ["page_id", "url"])
 
 
-@query("html_snippet", "select page_id, length(html) as page_chars from pages")
+#: the text of an element of the test pages: no tags, white space as one space
+FLAT = "trim(regexp_replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+INSIDE = "regexp_extract(html, '(<article>.*</article>)', 1, 's')"
+
+
+@query("html_density", f"with e as (select page_id, 'article' as tag, {INSIDE} as m from pages union all select page_id, 'div', regexp_extract(html, '(<div class=\"ad\">.*?</div>)', 1, 's') from pages), d as (select page_id, tag, length({FLAT.format('m')}) as text_len, length({FLAT.format('m')})::double ^ 2 / length(m) as density from e) select page_id, tag, text_len, round(density, 6) as density from d where text_len >= 50 qualify row_number() over (partition by page_id order by density desc) = 1")
+def _(spark, sf):
+    own = dom.densest(dom.explode_elements(table(spark, sf, "pages"), ["page_id"]), ["page_id"])
+    return own.select("page_id", "tag", F.col("text_len").cast("long").alias("text_len"), F.round("density", 6).alias("density"))
+
+
+@query("html_selector", "select distinct page_id, case when tag = 'div' then 'div.ad' else tag end as selector from (select page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) as tag from pages)")
+def _(spark, sf):
+    return dom.direct_selectors(dom.explode_elements(table(spark, sf, "pages"), ["page_id"]), ["page_id"]).select("page_id", "selector")
+
+
+def paged(spark, sf):
+    """The pages with a pager behind their article that tells a number of entries and links to further pages."""
+    n = F.length("url")
+    pager = F.concat(F.lit("</article><div class='pager'>共 <b>"), (F.col("page_id") * n % 977).cast("string"), F.lit("</b> 条<a href='list2.htm'>2</a> <a href='list"), (n % 40 + 3).cast("string"), F.lit(".htm'>end</a></div>"))
+    return table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("</article>"), pager))
+
+
+PAGED = "paged as (select page_id, page_id * length(url) % 977 as items, length(url) % 40 + 3 as last from pages)"
+
+
+@query("html_snippet", f"with {PAGED} select page_id, 'div.pager' as selector, '共 ' || items || ' 条2 end' as snippet, length(html) + length('<div class=''pager''>共 <b></b> 条<a href=''list2.htm''>2</a> <a href=''list.htm''>end</a></div>') + length(items::varchar) + length(last::varchar) as page_chars from paged join pages using (page_id)")
 def _(spark, sf):
-    own = dom.segment_pages(table(spark, sf, "pages"), ["page_id"])
-    return own.groupBy("page_id").agg(F.max("page_chars").cast("long").alias("page_chars"))
+    own = dom.segment_pages(paged(spark, sf), ["page_id"]).where("type = 'pagination'")
+    return own.select("page_id", "selector", "snippet", F.col("page_chars").cast("long").alias("page_chars"))
+
+
+@query("html_paging_text", f"with {PAGED} select page_id, '共 ' || items || ' 条 2 end' as paging_text from paged")
+def _(spark, sf):
+    return dom.page_structure(paged(spark, sf), ["page_id"]).select("page_id", "paging_text")
+
+
+@query("agg_size_pages", f"with {PAGED} select page_id, items, null::bigint as pages, '条数文本' as method from paged")
+def _(spark, sf):
+    """The size of each list, from the pagination text and the links of its page."""
+    p = paged(spark, sf)
+    hrefs = dom.extract_links(p, ["page_id"]).groupBy("page_id").agg(F.collect_list("href").alias("hrefs"))
+    own = dom.page_structure(p, ["page_id"]).select("page_id", "paging_text").join(hrefs, "page_id", "left").withColumn("entries", F.lit(10))
+    return columns.estimate_sizes(own).select("page_id", "items", F.col("pages").cast("long").alias("pages"), "method")
+
+
+@query("agg_page_type_pages", "select page_id, 'single' as type, true as has_pagination from pages")
+def _(spark, sf):
+    """The type of each page from the regions that the parser pass finds on it."""
+    regions = dom.segment_pages(paged(spark, sf), ["page_id"]).where("type <> 'article_list'").withColumnRenamed("page_id", "url")
+    return columns.classify_pages(regions).select(F.col("url").alias("page_id"), "type", "has_pagination")
 
 
 @query("html_candidates")
@@ -151,10 +198,11 @@ def _(spark, sf):
     return dom.extract_fields(p, own, ["page_id"]).select("page_id", "title", "date")
 
 
-@query("html_nav", "select page_id, 0::bigint as n from pages where false")
+@query("html_nav", f"with {LINKS}, a as (select page_id, url, unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1)) as name, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">[^<]*</a></li>', 1)) as href from pages) select page_id, {ORIGIN} || href as target, name, 0 as depth, count(*) as n from a group by all")
 def _(spark, sf):
-    # the test pages' navigation has neither class nor id, so it is none
-    return dom.navigation_links(table(spark, sf, "pages"), ["page_id"]).groupBy("page_id").agg(F.count("*").alias("n"))
+    # the test pages' navigation has neither class nor id, so it gets one
+    marked = table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("<nav>"), F.lit("<nav class='nav'>")))
+    return dom.navigation_links(marked, ["page_id", "url"]).groupBy("page_id", "target", "name", F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("n"))
 
 
 # --- links ---
@@ -311,11 +359,20 @@ def _(spark, sf):
     return columns.columns_from_sitemap(sitemap_rows(spark, sf)).groupBy("site").agg(F.count("*").alias("columns"))
 
 
+#: a sitemap file holds so many addresses at most
+SITEMAP_URLS = 50_000
+
+
 def sitemap_rows(spark, sf):
-    p = site_pages(spark, sf)
+    """The pages of each site written as sitemap files (pages of 50,000 neighbouring ids each) and read back; positions go on from file to file."""
+    p = site_pages(spark, sf).withColumn("file", F.floor(F.col("page_id") / SITEMAP_URLS))
     loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("l")))), lambda x: x["l"]), "\n"), F.lit("</urlset>"))
-    return sources.read_sitemaps(p.groupBy("site").agg(xml.alias("xml"), F.concat(F.min(urls.origin_of(F.col("url"))), F.lit("/")).alias("base_url")))
+    first = Window.partitionBy("site").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = p.groupBy("site", "file").agg(xml.alias("xml"), F.concat(F.min(urls.origin_of(F.col("url"))), F.lit("/")).alias("base_url"), F.count("*").alias("n"))
+    had = p.groupBy("site", "file").agg(F.count("*").alias("n")).withColumn("had", F.coalesce(F.sum("n").over(first), F.lit(0))).select(F.struct("site", "file").alias("site"), "had")
+    own = sources.read_sitemaps(files.select(F.struct("site", "file").alias("site"), "xml", "base_url"))
+    return own.join(had, "site").withColumn("pos", F.col("pos") + F.col("had")).withColumn("site", F.col("site.site")).drop("had")
 
 
 @query("src_sitemap", f"with {SITE_PAGES} select site, url as target, row_number() over (partition by site order by page_id) - 1 as pos, false as is_index from site_pages")
@@ -330,12 +387,12 @@ def _(spark, sf):
     return columns.resolve_parents(n.join(up, "n_nationkey", "left").select(F.col("n_regionkey").alias("site"), F.col("n_name").alias("url"), "parent_url"))
 
 
-REGION_OF = "case event_id % 4 when 0 then 'article_list' when 1 then 'article_body' when 2 then 'pagination' else 'footer' end"
+REGION_OF = "case (user_id + event_id % 2) % 4 when 0 then 'article_list' when 1 then 'article_body' when 2 then 'pagination' else 'footer' end"
 
 
-@query("agg_page_type", f"with r as (select user_id % 300 as url, {REGION_OF} as type, (event_id % 10) / 10.0 as confidence from events where event_id % 31 < 4), o as (select url, max(confidence) filter (type = 'article_list') as l, max(confidence) filter (type = 'article_body') as b, count(*) filter (type = 'pagination') > 0 as p from r group by url) select url, case when l is not null then 'list' when b > 0 then 'single' else 'unknown' end as type, round(case when l is not null then least(0.6 + case when p then 0.3 else 0 end + 0.1 * l, 1) when b > 0 then 0.5 + 0.5 * b else 0 end, 1)::double as confidence, p as has_pagination from o")
+@query("agg_page_type", f"with r as (select user_id % 300 as url, {REGION_OF} as type, (event_id % 10) / 10.0 as confidence from events), o as (select url, max(confidence) filter (type = 'article_list') as l, max(confidence) filter (type = 'article_body') as b, count(*) filter (type = 'pagination') > 0 as p from r group by url) select url, case when l is not null then 'list' when b > 0 then 'single' else 'unknown' end as type, round(case when l is not null then least(0.6 + case when p then 0.3 else 0 end + 0.1 * l, 1) when b > 0 then 0.5 + 0.5 * b else 0 end, 1)::double as confidence, p as has_pagination from o")
 def _(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 31 < 4")
+    e = table(spark, sf, "events")
     regions = e.select((F.col("user_id") % 300).alias("url"), F.expr(REGION_OF).alias("type"), ((F.col("event_id") % 10) / 10.0).alias("confidence"))
     return columns.classify_pages(regions).select("url", "type", F.round("confidence", 1).alias("confidence"), "has_pagination")
 
@@ -360,12 +417,12 @@ def _(spark, sf):
     return columns.last_pages(e.select(F.col("user_id").alias("column"), (F.col("event_id") % 12 + 1).alias("page"), (F.col("value") > 20).alias("exists")))
 
 
-@query("col_confidence", "with r as (select user_id % 40 as template_id, max((event_id % 4 = 1)::int) as b, max((event_id % 4 = 2 and event_id % 10 >= 5)::int) as m, max((event_id % 97 = 3)::int) as a from events where event_id % 31 < 6 group by all), c as (select t % 9 as col, max(b) + max(m) + max(a) as n from (select t.range as t from range(60) t) left join r on template_id = t group by t % 9) select col as \"column\", coalesce(n, 0)::int as recognised, case when n = 3 then 'high' when n > 0 then 'medium' else 'low' end as confidence from c")
+@query("col_confidence", "with r as (select user_id % 40 as template_id, max((event_id % 4 = 1 and user_id % 3 > 0)::int) as b, max((event_id % 4 = 2 and event_id % 10 >= 5 and user_id % 7 > 2)::int) as m, max((event_id % 97 = 3)::int) as a from events group by all), c as (select t % 9 as col, max(b) + max(m) + max(a) as n from (select distinct user_id % 60 as t from events) left join r on template_id = t group by t % 9) select col as \"column\", coalesce(n, 0)::int as recognised, case when n = 3 then 'high' when n > 0 then 'medium' else 'low' end as confidence from c")
 def _(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 31 < 6")
-    kinds = F.explode(F.filter(F.array(F.when(F.col("event_id") % 4 == 1, F.struct(F.lit("article_body").alias("type"), F.lit(0.9).alias("c"))), F.when(F.col("event_id") % 4 == 2, F.struct(F.lit("article_meta").alias("type"), ((F.col("event_id") % 10) / 10).alias("c"))), F.when(F.col("event_id") % 97 == 3, F.struct(F.lit("attachment").alias("type"), F.lit(0.5).alias("c")))), lambda x: x.isNotNull()))
+    e = table(spark, sf, "events")
+    kinds = F.explode(F.filter(F.array(F.when(F.expr("event_id % 4 = 1 and user_id % 3 > 0"), F.struct(F.lit("article_body").alias("type"), F.lit(0.9).alias("c"))), F.when(F.expr("event_id % 4 = 2 and user_id % 7 > 2"), F.struct(F.lit("article_meta").alias("type"), ((F.col("event_id") % 10) / 10).alias("c"))), F.when(F.col("event_id") % 97 == 3, F.struct(F.lit("attachment").alias("type"), F.lit(0.5).alias("c")))), lambda x: x.isNotNull()))
     regions = e.select((F.col("user_id") % 40).alias("template_id"), kinds.alias("k")).select("template_id", "k.type", F.col("k.c").alias("confidence"))
-    bridge = spark.range(60).select(F.lit(0).alias("site"), (F.col("id") % 9).alias("column"), F.col("id").alias("template_id"))
+    bridge = e.select((F.col("user_id") % 60).alias("template_id")).distinct().select(F.lit(0).alias("site"), (F.col("template_id") % 9).alias("column"), "template_id")
     return columns.field_confidence(regions, bridge).select("column", "recognised", "confidence")
 
 
@@ -509,13 +566,13 @@ def _(spark, sf):
 
 # --- extraction rules ---
 
-HITS = "hits as (select user_id % 8 as template_id, ['body', 'title', 'date'][(event_id % 3 + 1)::int] as field, 'div.c' || (event_id % 17) as selector, user_id as url from events where event_id % 23 < user_id % 8), pages_ as (select user_id % 8 as template_id, count(distinct user_id) as samples from events group by all), rate as (select template_id, field, selector, count(distinct url) as hits, any_value(samples) as samples from hits join pages_ using (template_id) group by all), ranked as (select *, row_number() over (partition by template_id, field order by hits desc, length(selector) desc, selector) as rank from rate)"
+HITS = "hits as (select user_id % 8 as template_id, ['body', 'title', 'date'][(event_id % (1 + user_id % 8 % 3) + 1)::int] as field, 'div.c' || (event_id % 17) as selector, user_id as url from events), pages_ as (select user_id % 8 as template_id, count(distinct user_id) as samples from events group by all), rate as (select template_id, field, selector, count(distinct url) as hits, any_value(samples) as samples from hits join pages_ using (template_id) group by all), ranked as (select *, row_number() over (partition by template_id, field order by hits desc, length(selector) desc, selector) as rank from rate)"
 
 
 def hits_and_pages(spark, sf):
     e = table(spark, sf, "events")
-    field = F.element_at(F.array(*[F.lit(x) for x in ("body", "title", "date")]), (F.col("event_id") % 3 + 1).cast("int"))
-    hits = e.where("event_id % 23 < user_id % 8").select((F.col("user_id") % 8).alias("template_id"), field.alias("field"), F.concat(F.lit("div.c"), (F.col("event_id") % 17).cast("string")).alias("selector"), F.col("user_id").alias("url"))
+    field = F.element_at(F.array(*[F.lit(x) for x in ("body", "title", "date")]), F.expr("int(event_id % (1 + user_id % 8 % 3) + 1)"))
+    hits = e.select((F.col("user_id") % 8).alias("template_id"), field.alias("field"), F.concat(F.lit("div.c"), (F.col("event_id") % 17).cast("string")).alias("selector"), F.col("user_id").alias("url"))
     return hits, e.select((F.col("user_id") % 8).alias("template_id"), F.col("user_id").alias("url"))
 
 

@@ -147,7 +147,7 @@ def test_searches_ask_every_vector(spark):
     recall = {r.case_id: r.recall for r in catalog.QUERIES["eval_recall_all"](spark, sf).collect()}
     want = {ids[i]: (label[order[i]] == label[i]).sum() / (label == label[i]).sum() for i in range(len(ids))}
     assert recall == pytest.approx(want, abs=1e-6)
-    for name in ("udf_kernel", "win_topk", "ret_hybrid", "rerank_apply"):
+    for name in ("udf_kernel", "win_topk", "rerank_apply"):
         assert catalog.QUERIES[f"{name}_all"](spark, sf).select("query_id").distinct().count() == len(ids), name
     assert catalog.QUERIES["ret_reach_all"](spark, sf).count() == len(ids)
 

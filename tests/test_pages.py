@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from quarryloom.functions import numbers, text, urls
 from quarryloom.operators import columns, corpus, dom, rules, templates
+from quarryloom.sources import pages as sources
 
-BODY = "这是一段足够长的正文内容，用来说明文章的主体部分。" * 12
-ARTICLE = f"""<html><body><div class="topnav"><ul><li><a href="/">首页</a></li><li><a href="/xw/list.htm">新闻</a></li><li><a href="/tz/list.htm">通知</a></li><li><a href="/xk/list.htm">学科</a></li></ul></div>
-<div class="main"><h1 class="arti_title">关于放假的通知</h1><p class="meta"><span class="date">2026-03-01</span></p><span class="dept">教务处</span>
-<div class="wp_articlecontent"><p>{BODY}</p><p>{BODY}</p></div></div><div class="footer"><a href="/about">关于</a> 版权所有 某某大学 地址电话等等许多文字</div></body></html>"""
-LIST = """<html><body><div class="news"><ul class="list">%s</ul></div><div class="wp_paging">每页 <em>10</em> 记录 总共 <em>104</em> 记录 <a href="list2.htm">2</a> <a href="list11.htm">11</a> 页码 <em>1/11</em></div></body></html>""" % "".join(f'<li><a href="/2026/03{i:02d}/c{i}a{i}/page.htm">标题 {i}</a></li>' for i in range(10))
-FILES = """<html><body><div class="main"><p>x</p><div class="files"><a href="/f/a.pdf">一</a><a href="/f/b.docx?x=1">二</a></div></div></body></html>"""
+SENTENCE = "The reading rooms stay open late in winter, and the loan desk moves to the ground floor. "
+STORY = f"""<html><body><ul id="mainmenu"><li><a href="/">Start</a></li><li><a href="/loans/">Loans</a></li><li><a href="/rooms/">Rooms</a></li></ul>
+<div class="wrap"><h1 class="headline">Longer hours</h1><p><span class="posted">2019/11/23</span> <span class="unit">古籍馆</span></p>
+<div class="story"><p>{SENTENCE * 4}</p><p>{SENTENCE * 3}</p></div></div><div id="copyright">Library of a small town, opening hours, address and more words <a href="/imprint">imprint</a></div></body></html>"""
+SHELVES = """<html><body><div class="shelf"><ol class="titles">%s</ol></div><p class="pager">共 <i>63</i> 项 <a href="p2.html">2</a> <a href="p9.html">9</a> <a href="p2.html">next</a></p></body></html>""" % "".join(f"<li><a href='/t/{i * 7}.html'>Title {i}</a></li>" for i in range(7))
+SHEETS = """<html><body><p>Forms</p><div class="sheets"><a href="/x/loan.xlsx">Loan</a><a href="/x/room.PDF">Room</a><a href="/x/old.doc?v=2">Old</a><a href="/help">Help</a></div></body></html>"""
 
 
 def regions(html):
@@ -19,90 +20,96 @@ def regions(html):
     return {kind: (selector, confidence, note) for kind, selector, confidence, note in page.regions()} if page else {}
 
 
-def test_article_regions():
-    r = regions(ARTICLE)
-    assert r["article_body"][0] == "div.wp_articlecontent" and r["article_body"][1] >= 0.9 and r["article_body"][2] is None
-    assert r["navigation"][0] == "div.topnav" and r["footer"][0] == "div.footer" and r["navigation"][1] > r["footer"][1]
-    assert r["article_meta"][0] in ("p.meta", "span.date") and not {"pagination", "article_list", "attachment", "sidebar"} & set(r)
+def test_regions_of_a_story():
+    r = regions(STORY)
+    assert r["article_body"] == ("div.story", 1.0, None)
+    assert r["navigation"][0] == "ul#mainmenu" and r["footer"][0] == "div#copyright" and r["footer"][1] < r["navigation"][1]
+    assert r["article_meta"][0] == "span.posted" and set(r) == {"article_body", "navigation", "footer", "article_meta"}
 
 
-def test_list_attachment_and_empty_pages():
-    r = regions(LIST)
-    assert r["article_list"][0] == "ul.list" and r["article_list"][1] == 0.83 and r["pagination"] == ("div.wp_paging", 1.0, None)
-    assert regions(FILES)["attachment"] == ("div.files", 1.0, None)
-    inner = "<div class='outer'><div><ul class='inner'>" + "<li><a href='/x'>t</a></li>" * 8 + "</ul></div></div>"
-    assert regions(inner)["article_list"][0] == "ul.inner"
-    mixed = "".join(f"<{t}><a href='/x'>t</a></{t}>" for t in ("p", "span", "em", "b", "i", "u"))
-    assert "article_list" not in regions(f"<div>{mixed}</div>")
-    assert regions("") == {} and regions("   ") == {} and regions("<<<not html") == {}
-    nothing = regions("<div class='nav'><a href='/a'>a</a></div>")
-    assert nothing["article_body"] == ("body", 0.0, dom.NO_BODY)
+def test_regions_of_lists_files_and_odd_pages():
+    r = regions(SHELVES)
+    assert r["article_list"] == ("ol.titles", round(0.5 + 0.5 * 7 / 12, 2), None) and r["pagination"] == ("p.pager", round(0.7 + 0.3 * 2 / 3, 2), None)
+    assert regions(SHEETS)["attachment"] == ("div.sheets", round(0.6 + 0.4 * 3 / 4, 2), None)
+    nested = "<section><div class='deep'>" + "".join(f"<p><a href='/{i}'>{i}</a></p>" for i in range(9)) + "</div></section>"
+    assert regions(nested)["article_list"][0] == "div.deep"
+    few = "<div>" + "<p><a href='/x'>t</a></p>" * 4 + "<p>no link</p></div>"
+    assert "article_list" not in regions(few)
+    assert [regions(h) for h in ("", "\n\t", "5 < 6 and no tag")] == [{}, {}, {}]
+    assert regions("<p id='crumb'><a href='/'>up</a></p>")["article_body"] == ("body", 0.0, dom.NO_BODY)
 
 
 def test_selectors_take_the_first_match():
-    page = dom.parse("<div class='box'>a</div><div class='box'><span id='s'>b</span></div><p>c</p><p>d</p>")
-    assert page.selector(0) == "div.box" and page.selector(2) == "span#s" and page.selector(3) == "p" and page.selector(4) == "p:nth-of-type(2)"
-    i = [k for k, t in enumerate(page.tag) if t == "div"][1]
-    assert page.first(page.selector(i)) == i
-    assert page.fingerprint() == ["div.box", "p", "span"]
+    page = dom.parse("<section class='tile wide'>1</section><section class='tile'><em id='e9'>2</em></section><q>3</q><q>4</q><q>5</q>")
+    assert [page.selector(i) for i in range(6)] == ["section.tile.wide", "section:nth-of-type(2)", "em#e9", "q", "q:nth-of-type(2)", "q:nth-of-type(3)"]
+    assert [page.first(page.selector(i)) for i in range(6)] == list(range(6)) and page.first("section.none") is None
+    assert page.fingerprint() == ["em", "q", "section.tile"]
+
+
+def test_element_rows_give_density_and_selectors(spark):
+    rows = [(1, "u", "<main><div id='d'>aaaa bbbb</div><div class='x y'>c</div><div class='y'>d</div></main>"), (2, "u", "<div class='sidebar'>only noise in here</div>"), (3, "u", None)]
+    elements = dom.explode_elements(spark.createDataFrame(rows, "k int, url string, html string"), ["k"])
+    assert [(r.k, r.tag, r.text_len) for r in dom.densest(elements, ["k"], 5).collect()] == [(1, "div", 9)]
+    got = {(r.k, r.pos): r.selector for r in dom.direct_selectors(elements, ["k"]).collect()}
+    assert got == {(1, 0): "main", (1, 1): "div#d", (1, 2): "div.x", (2, 0): "div.sidebar"}
 
 
 def test_fingerprint_ignores_noise_and_small_pages():
-    assert dom.parse("<div class='nav'><ul><li>x</li></ul></div><p>a</p>").fingerprint() == []
-    assert dom.parse("<div class='wow fade'><h1>x</h1><p>a</p></div>").fingerprint() == ["div.wow", "h1", "p"]
+    assert dom.parse("<aside class='sidebar'><dl><dt>k<dd>v</dl></aside><p>one</p>").fingerprint() == []
+    assert dom.parse("<main class='page two'><h2>t</h2><figure>f</figure></main>").fingerprint() == ["figure", "h2", "main.page"]
 
 
 def test_candidates():
-    c = dom.parse(ARTICLE).candidates()
-    assert ("body", "div.wp_articlecontent") in c and ("title", "h1.arti_title") in c and ("date", "span.date") in c and ("department", "span.dept") in c
-    assert {s for f, s in dom.parse(FILES).candidates() if f == "attachment"} == {'div.files a[href$=".pdf"]'}  # .docx?x=1 doesn't end so
-    ambiguous = dom.parse("<div class='box'>导航文字</div><div class='box'>教务处</div>")
-    assert ("department", "div.box") not in ambiguous.candidates()
+    c = dom.parse(STORY).candidates()
+    assert {("body", "div.story"), ("title", "h1.headline"), ("date", "span.posted"), ("department", "span.unit")} <= c
+    assert {s for f, s in dom.parse(SHEETS).candidates() if f == "attachment"} == {'div.sheets a[href$=".xlsx"]'}  # of ends in capitals or with a query none is selected
+    twice = dom.parse("<b class='tag'>a word</b><b class='tag'>档案馆</b>")
+    assert ("department", "b.tag") not in twice.candidates()
 
 
-@pytest.mark.parametrize("value, shown", [(104, "约 100"), (37, "约 30"), (1240, "约 1200"), (7, "约 7")])
+@pytest.mark.parametrize("value, shown", [(3, "约 3"), (58, "约 50"), (99, "约 90"), (100, "约 100"), (273, "约 250"), (999, "约 950"), (4821, "约 4800")])
 def test_approximate(spark, value, shown):
     assert spark.range(1).select(numbers.approximate(F.lit(value))).first()[0] == shown
 
 
 def test_urls(spark):
-    cases = [("http://a.b/a7/60/c16807a436064/page.htm?x=1", "/#/#/#/page.htm", "http://a.b"), ("https://a.b:8/kydt/list.htm#t", "/kydt/list.htm", "https://a.b:8"), ("ftp://x/y", "/y", None), ("http://a.b", "", "http://a.b")]
+    cases = [("https://lib.town/2019/t7/b-04.html?p=2", "/#/#/#", "https://lib.town"), ("http://lib.town:81/rooms/plan.html#top", "/rooms/plan.html", "http://lib.town:81"), ("mail:x", "", None), ("https://lib.town", "", "https://lib.town")]
     got = spark.createDataFrame([(c[0],) for c in cases], "u string").select(urls.url_shape(F.col("u")), urls.origin_of(F.col("u"))).collect()
-    assert [tuple(r) for r in got] == [c[1:] for c in cases]
-    assert [urls.resolve("http://a.b/c/d.htm", h) for h in ("e.htm#x", "../f", "#t", "javascript:x()", "mailto:a", " ", None, "http://[bad")] == ["http://a.b/c/e.htm", "http://a.b/f", None, None, None, None, None, None]
-    pages = spark.createDataFrame([("list11.htm",), ("/a/b.htm",), ("javascript:go(3)",), ("/x/p2-7.htm",)], "h string").select(urls.page_number(F.col("h"))).collect()
-    assert [r[0] for r in pages] == [11, None, None, 7]
+    assert [tuple(r) for r in got][:2] == [c[1:] for c in cases][:2] and got[2][1] is None and tuple(got[3]) == cases[3][1:]
+    assert [urls.resolve("https://lib.town/a/b.html", h) for h in ("c.html#n", "/d", "../e", "#n", "javascript:f()", "tel:1", "", None)] == ["https://lib.town/a/c.html", "https://lib.town/d", "https://lib.town/e", None, None, None, None, None]
+    pages = spark.createDataFrame([("p9.html",), ("/rooms/plan.html",), ("/t/x3_12.html",)], "h string").select(urls.page_number(F.col("h"))).collect()
+    assert [r[0] for r in pages] == [9, None, 12]
 
 
 def test_text_functions(spark):
-    row = spark.createDataFrame([("发布 2026年3 月1日", "教务处", "见闽教学〔2024〕15号 与 FORM-12")], "d string, p string, n string")
-    assert tuple(row.select(text.find_date(F.col("d")), text.is_department(F.col("p")), text.extract_doc_numbers(F.col("n"))).first()) == ("2026年3 月1", True, ["见闽教学〔2024〕15号", "FORM-12"])
-    assert spark.range(1).select(text.text_norm(F.lit("　a  b\n"))).first()[0] == "a b"
+    row = spark.createDataFrame([("am 1998-7 - 4 erschienen", "音像部", "siehe 图管〔2017〕208号, AB-77 und x-1")], "d string, p string, n string")
+    assert tuple(row.select(text.find_date(F.col("d")), text.is_department(F.col("p")), text.extract_doc_numbers(F.col("n"))).first()) == ("1998-7 - 4", True, ["图管〔2017〕208号", "AB-77"])
+    assert spark.range(1).select(text.text_norm(F.lit("\u3000x \t y\u3000"))).first()[0] == "x y"
 
 
 @pytest.mark.parametrize("html, entries, items, pages, method", [
-    ("共 420 条", 0, 420, None, columns.BY_ITEMS), ("共有 88 条记录", 0, 88, None, columns.BY_ITEMS), ("总数：37", 0, 37, None, columns.BY_ITEMS),
-    ("页码 1/11", 10, 110, 11, columns.BY_PAGES), ("下一页", 10, 110, 11, columns.BY_LINKS), ("", 10, None, None, columns.BY_NOTHING), ("页码 1/11", 0, None, None, columns.BY_NOTHING),
+    ("总共 5127 篇", 7, 5127, None, columns.BY_ITEMS), ("共 63 项", 0, 63, None, columns.BY_ITEMS), ("总数 9", 7, 9, None, columns.BY_ITEMS),
+    ("3 / 14", 7, 98, 14, columns.BY_PAGES), ("older entries", 7, 63, 9, columns.BY_LINKS), ("", 7, None, None, columns.BY_NOTHING), ("3 / 14", 0, None, None, columns.BY_NOTHING),
 ])
 def test_sizes(spark, html, entries, items, pages, method):
-    row = spark.createDataFrame([(html, ["list2.htm", "list11.htm"], entries)], "paging_text string, hrefs array<string>, entries int")
+    row = spark.createDataFrame([(html, ["p2.html", "p9.html"], entries)], "paging_text string, hrefs array<string>, entries int")
     r = columns.estimate_sizes(row).first()
     assert (r["items"], r["pages"], r["method"]) == (items, pages, method)
 
 
 def test_paging_text_keeps_pieces_apart():
-    assert dom.parse("<div class='pager'>总数：37<a href='#'>2</a></div>").paging_text() == "总数：37 2"
-    assert dom.parse(LIST).paging_text().startswith("每页 10 记录 总共 104 记录")
+    assert dom.parse("<nav class='pagination'>总数 63<b>7</b><b>8</b></nav>").paging_text() == "总数 63 7 8"
+    assert dom.parse(SHELVES).paging_text() == "共 63 项 2 9 next"
 
 
 def test_column_tree(spark):
-    home = """<div class="mainnav"><ul><li><a href="/">Home</a></li><li><a href="/a/list.htm">A</a><ul><li><a href="/a/b/list2.htm">B</a></li></ul></li><li><a href="/c/"></a></li><li><a href="http://off.site/x">Off</a></li><li><a href="/d/">D</a></li></ul></div>"""
-    homes = spark.createDataFrame([("s", "http://h.x/main.htm", home), ("t", "http://t.x/", "<p><a href='/n/1'>one</a><a href='/n/2'>two</a><a href='/z'>z</a></p>")], "site string, url string, html string")
+    home = """<ul class="menu"><li><a href="/index.html">Start</a></li><li><a href="/loans/">Loans</a><ul><li><a href="/loans/fees.html">Fees</a></li><li><a href="https://else.where/z">Else</a></li></ul></li><li><a href="/rooms/"><img src="r.png"></a></li></ul>"""
+    homes = spark.createDataFrame([("a", "https://lib.town/index.html", home), ("b", "https://b.town/", "<p><a href='/y/41'>one</a><a href='/y/42'>two</a><a href='/about'>about</a></p>")], "site string, url string, html string")
     links = dom.extract_links(homes, ["site", "url"]).withColumnRenamed("url", "base_url")
     got = {(r.site, r.url): (r.name, r.depth, r.parent_url, r.needs_manual_name, r.source) for r in columns.discover_columns(homes, links).collect()}
-    assert got[("s", "http://h.x/a/b/list2.htm")] == ("B", 1, "http://h.x/a/list.htm", False, "navigation")
-    assert got[("s", "http://h.x/c/")] == ("未知", 0, None, True, "navigation") and len([k for k in got if k[0] == "s"]) == 4
-    assert {k[1] for k in got if k[0] == "t"} == {"http://t.x/n/1", "http://t.x/z"} and got[("t", "http://t.x/z")][4] == "clustering"
+    assert got[("a", "https://lib.town/loans/fees.html")] == ("Fees", 1, "https://lib.town/loans/", False, "navigation")
+    assert got[("a", "https://lib.town/rooms/")] == (columns.NAME_UNKNOWN, 0, None, True, "navigation") and len([k for k in got if k[0] == "a"]) == 3
+    assert {k[1] for k in got if k[0] == "b"} == {"https://b.town/y/41", "https://b.town/about"} and got[("b", "https://b.town/about")][4] == "clustering"
 
 
 def test_clustering_modes(spark):
@@ -117,24 +124,25 @@ def test_clustering_modes(spark):
 
 
 def test_rules_and_drafts(spark):
-    pages = spark.createDataFrame([(1, f"u{i}", ARTICLE) for i in range(3)] + [(1, "u9", FILES)], "template_id int, url string, html string")
+    pages = spark.createDataFrame([(4, f"u{i}", STORY) for i in range(3)] + [(4, "u9", SHEETS)], "template_id int, url string, html string")
     ranked = rules.infer_selectors(dom.selector_hits(pages, ["template_id", "url"]), pages)
     best = {r.field: (r.selector, r.hits, r.samples) for r in ranked.where("rank = 1").collect()}
-    assert best["body"] == ("div.wp_articlecontent", 3, 4) and best["attachment"][1:] == (1, 4)
+    assert best["body"] == ("div.story", 3, 4) and best["attachment"][1:] == (1, 4)
     fields = rules.draft_fields(ranked, pages.select("template_id").distinct())
-    sites = spark.createDataFrame([(1, "it's", ["http://a"], "me", 4)], "template_id int, name string, entry_urls array<string>, contact string, samples int")
+    sites = spark.createDataFrame([(4, "town's library", ["https://lib.town"], "desk", 4)], "template_id int, name string, entry_urls array<string>, contact string, samples int")
     r = rules.build_drafts(fields, sites).first()
-    assert "name: 'it''s'" in r.yaml_text and "  body: 'div.wp_articlecontent'  # 命中率 75%" in r.yaml_text and r.low_confidence_fields == ["attachment"]
-    assert {f.field for f in rules.missing_fields(ranked.where("field = 'body'"), pages.select("template_id").distinct()).collect()} == {"title", "date", "department", "attachment"}
-    own = spark.createDataFrame([(1, {"title": "h1.arti_title", "body": "div.none", "attachment": "a"})], "template_id int, rules map<string,string>")
+    assert "name: 'town''s library'" in r.yaml_text and "  body: 'div.story'  # 75% of the pages" in r.yaml_text and r.low_confidence_fields == ["attachment"]
+    assert {f.field for f in rules.missing_fields(ranked.where("field = 'date'"), pages.select("template_id").distinct()).collect()} == {"title", "body", "department", "attachment"}
+    own = spark.createDataFrame([(4, {"title": "h1.headline", "body": "div.none", "attachment": "a"})], "template_id int, rules map<string,string>")
     got = {x.url: x for x in dom.extract_fields(pages, own, ["url"]).collect()}
-    assert got["u0"].title == "关于放假的通知" and got["u0"].body is None and "body" in got["u0"].unknown
+    assert got["u1"].title == "Longer hours" and got["u1"].body is None and "body" in got["u1"].unknown
 
 
 def test_markdown_and_chunks(spark):
     html = "<html><body><nav>menu</nav><h1>T</h1><p>one <b>two</b></p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><table><tr><td colspan=2>m</td></tr></table><ul><li>x</li></ul><div class='footer'>f</div></body></html>"
     md, tables, merged, flat = corpus.markdown_of(dom.parse(html))
     assert md == "# T\n\none two\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n<table><tr><td colspan=\"2\">m</td></tr></table>\n\n- x" and (tables, merged, flat) == (2, 1, False)
+    assert corpus.markdown_of(dom.parse("<div>" * 3000 + "deep"))[0] == "deep"
     assert corpus.markdown_of(dom.parse("<p>a</p>"))[3] and corpus.markdown_of(None) == ("", 0, 0, True)
     para = "。".join(f"这是第{i}句话内容" for i in range(40)) + "。"
     chunks = corpus.chunks_of(f"# A\n\nshort\n\n## B\n\n{para}", 100, 20, 10)
@@ -145,3 +153,29 @@ def test_markdown_and_chunks(spark):
     assert len(pieces) > 1 and all(t.startswith("| h | k |\n| --- | --- |\n") for _, t in pieces)
     with pytest.raises(ValueError):
         corpus.chunk_documents(spark.createDataFrame([(1, "x")], "k int, markdown string"), "k", 10, 10)
+
+
+def test_sitemaps_by_an_xml_parser(spark):
+    head = '<?xml version="1.0" encoding="UTF-8"?>'
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    rows = [
+        ("a", "b", f"{head}<urlset {ns}><!-- <url><loc>no</loc></url> --><url><loc> https://lib.town/?x=1&amp;y=&#50; </loc></url><url><loc><![CDATA[https://lib.town/a&b]]></loc></url><url><loc/></url></urlset>"),
+        ("i", "b", f"<sitemapindex {ns}><sitemap><loc>https://lib.town/s.xml</loc></sitemap></sitemapindex>"), ("bad", "b", "<urlset><url>"), ("other", "b", "<html/>"), ("none", "b", None),
+    ]
+    got = [(r.site, r.pos, r.target, r.is_index) for r in sources.read_sitemaps(spark.createDataFrame(rows, "site string, base_url string, xml string")).collect()]
+    assert sorted(got) == [("a", 0, "https://lib.town/?x=1&y=2", False), ("a", 1, "https://lib.town/a&b", False), ("i", 0, "https://lib.town/s.xml", True)]
+
+
+def test_folders_and_kinds_of_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name, content in {"a.pdf": b"%PDF-1.4 x", "deep/b.html": b"<!DOCTYPE html><p>x", "deep/c.txt": b"plain", "skip.tmp": b"x"}.items():
+        (tmp_path / name).write_bytes(content)
+    files = sources.read_folder(spark, str(tmp_path), include=[r"\.(pdf|html|txt|tmp)$"], exclude=[r"\.tmp$"])
+    got = {r.path: (r.bytes, r.kind) for r in files.select("path", "bytes", sources.sniff_type(F.col("content")).alias("kind")).collect()}
+    assert got == {"a.pdf": (10, "pdf"), "deep/b.html": (19, "html"), "deep/c.txt": (5, "text")}
+
+
+def test_chunks_carry_their_documents_columns(spark):
+    docs = spark.createDataFrame([("d1", "# A\n\ntext one", "web", ["f.pdf"]), ("d2", "text two", "file", None)], "doc_id string, markdown string, source string, attachments array<string>")
+    got = corpus.with_metadata(corpus.chunk_documents(docs, "doc_id"), docs, "doc_id").collect()
+    assert {(r.doc_id, r.source, tuple(r.attachments or [])) for r in got} == {("d1", "web", ("f.pdf",)), ("d2", "file", ())}
