@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.7
+#: pages whose runs of equal fingerprints one task numbers at most
+RUN_SPAN = 1_000_000
 LEAST_TOKENS = 3
 
 
@@ -66,16 +68,21 @@ def assign_templates(pages: DataFrame, threshold: float = THRESHOLD, exact: bool
 
     Clusters are greedy in order of ``seq`` within (site, shape): a page joins the first whose common tokens are
     similar enough, which then become the intersection. By default only distinct fingerprints (at their first ``seq``)
-    are clustered and pages joined back, so a shape with a billion pages is as small as its handful of layouts;
-    ``exact`` clusters every page. They differ only where a cluster's common tokens shrink below the threshold for a
+    are clustered and pages joined back, so a shape with a billion pages is as small as its handful of layouts. With
+    ``exact`` each run of neighbouring pages with one fingerprint is clustered, which gives what page by page would: a
+    run's first page leaves its cluster more similar to the others of the run. Runs end at every RUN_SPAN of ``seq``,
+    so that no task numbers more. The two differ only where a cluster's common tokens shrink below the threshold for a
     fingerprint that it holds. Pages without tokens are templates of their own.
     """
+    key = F.concat_ws("\1", "fingerprint")
     if exact:
-        few = pages.select("site", "shape", "seq", "fingerprint").withColumn("key", F.col("seq").cast("string"))
-    else:
-        key = F.concat_ws("\1", "fingerprint")
-        pages = pages.withColumn("_key", F.when(F.size("fingerprint") > 0, key).otherwise(F.concat(F.lit("\2"), F.col("seq").cast("string"))))
-        few = pages.groupBy("site", "shape", F.col("_key").alias("key")).agg(F.min("seq").alias("seq"), F.first("fingerprint").alias("fingerprint"))
+        span = F.floor(F.col("seq") / RUN_SPAN)
+        order = Window.partitionBy("site", "shape", span).orderBy("seq")
+        changed = F.coalesce(F.lag("fingerprint").over(order) != F.col("fingerprint"), F.lit(True)).cast("int")
+        pages = pages.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(order)).drop("_changed")
+        key = F.concat_ws("/", span.cast("string"), F.col("_run").cast("string"))
+    pages = pages.withColumn("_key", F.when(F.size("fingerprint") > 0, key).otherwise(F.concat(F.lit("\2"), F.col("seq").cast("string")))).drop("_run")
+    few = pages.groupBy("site", "shape", F.col("_key").alias("key")).agg(F.min("seq").alias("seq"), F.first("fingerprint").alias("fingerprint"))
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq")
@@ -87,8 +94,6 @@ def assign_templates(pages: DataFrame, threshold: float = THRESHOLD, exact: bool
     done = full.groupBy("site", "shape").applyInPandas(cluster, f"site {kinds['site']}, shape string, key string, cluster long, common array<string>")
     alone = empty.select("site", "shape", "key", (-1 - F.col("seq")).cast("long").alias("cluster"), "fingerprint")
     placed = done.union(alone).withColumn("template_id", template_id(F.col("shape"), F.col("common")))
-    if exact:
-        return pages.withColumn("key", F.col("seq").cast("string")).join(placed, ["site", "shape", "key"]).drop("key")
     return pages.join(placed.withColumnRenamed("key", "_key"), ["site", "shape", "_key"]).drop("_key")
 
 
