@@ -124,18 +124,31 @@ def schedule_requests(requests: DataFrame, interval: float, span: float = 3600.0
     return both.withColumn("granted", granted).withColumn("delay", F.col("granted") - F.col("at")).drop("_span", "_i", "_top", "_origin", "_of", "_had", "_lead")
 
 
-def rate_violations(log: DataFrame, interval: float) -> DataFrame:
-    """Neighbouring requests of an origin that are nearer than the interval: (origin, seq, at, gap)."""
-    order = Window.partitionBy("origin").orderBy("at", "seq")
-    return log.withColumn("gap", F.col("at") - F.lag("at").over(order)).where(F.col("gap") < interval).select("origin", "seq", "at", "gap")
+def rate_violations(log: DataFrame, interval: float, span: float = 3600.0) -> DataFrame:
+    """Neighbouring requests (at in seconds) of an origin that are nearer than the interval: (origin, seq, at, gap).
 
+    Neighbours are looked for in spans, a task each; the first of a span follows the last of the span before.
+    """
+    rows = log.withColumn("_span", F.floor(F.col("at") / span))
+    last = rows.groupBy("origin", "_span").agg(F.max("at").alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("origin").orderBy("_span"))).drop("_last")
+    near = F.lag("at").over(Window.partitionBy("origin", "_span").orderBy("at", "seq"))
+    own = rows.withColumn("_near", near).join(before, ["origin", "_span"])
+    return own.withColumn("gap", F.col("at") - F.coalesce("_near", "_before")).where(F.col("gap") < interval).select("origin", "seq", "at", "gap")
+
+
+def concurrency(log: DataFrame, cap: int, span: float = 3600.0) -> DataFrame:
+    """Moments when more than ``cap`` requests (origin, at, until in seconds) of an origin run: (origin, moment, running).
 
-def concurrency(log: DataFrame, cap: int) -> DataFrame:
-    """Moments when more than ``cap`` requests (origin, at, until) of an origin run: (origin, moment, running)."""
+    Summed up in spans, a task each, on top of what the spans before leave running.
+    """
     edges = log.select("origin", F.explode(F.array(F.struct(F.col("at").alias("moment"), F.lit(1).alias("step")), F.struct(F.col("until").alias("moment"), F.lit(-1).alias("step")))).alias("e")).select("origin", "e.*")
-    each = edges.groupBy("origin", "moment").agg(F.sum("step").alias("step"))
-    running = F.sum("step").over(Window.partitionBy("origin").orderBy("moment"))
-    return each.withColumn("running", running).where(F.col("running") > cap).select("origin", "moment", "running")
+    each = edges.groupBy("origin", "moment").agg(F.sum("step").alias("step")).withColumn("_span", F.floor(F.col("moment") / span))
+    before = Window.partitionBy("origin").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    had = each.groupBy("origin", "_span").agg(F.sum("step").alias("_n")).withColumn("_had", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    running = F.sum("step").over(Window.partitionBy("origin", "_span").orderBy("moment"))
+    own = each.withColumn("_running", running).join(had, ["origin", "_span"])
+    return own.withColumn("running", F.col("_running") + F.col("_had")).where(F.col("running") > cap).select("origin", "moment", "running")
 
 
 def fetch_outcomes(attempts: DataFrame, retries: int = 3) -> DataFrame:
