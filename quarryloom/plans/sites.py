@@ -285,7 +285,7 @@ def _(spark, sf):
 
 def printed(spark, sf):
     p = site_pages(spark, sf)
-    return p.drop("html").join(dom.page_structure(p, ["page_id"]), "page_id")
+    return dom.page_structure(p, [c for c in p.columns if c != "html"])
 
 
 TEMPLATE_ID = "substr(sha256(shape || chr(0) || array_to_string(fp, chr(0))), 1, 12)"
