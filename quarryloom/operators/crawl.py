@@ -15,8 +15,15 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return a.join(b, keys, "full_outer").select(*keys, status.alias("status")).withColumn("reprocess", F.col("status").isin("new", "changed"))
 
 
-def crawl_summary(diff: DataFrame) -> DataFrame:
-    return diff.groupBy("status").agg(F.count("*").alias("n"))
+def crawl_summary(diff: DataFrame, failed: DataFrame | None = None, skipped: DataFrame | None = None, attachments: DataFrame | None = None) -> DataFrame:
+    """(status, n) of a run: pages by what became of them, those that failed or were skipped, attachments by status."""
+    out = diff.groupBy("status").agg(F.count("*").alias("n"))
+    for name, rows in (("failed", failed), ("skipped", skipped)):
+        if rows is not None:
+            out = out.unionByName(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("status"), "n"))
+    if attachments is not None:
+        out = out.unionByName(attachments.where("status is not null").groupBy(F.concat(F.lit("attachment "), "status").alias("status")).agg(F.count("*").alias("n")))
+    return out
 
 
 def removed_sources(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import host_of, is_homepage_like, origin_of, url_shape
+from ..functions.urls import host_of, is_homepage_like, origin_of, page_number, url_shape
 
 
 def filter_links(links: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] = ()) -> DataFrame:
@@ -70,8 +70,13 @@ def column_candidates(links: DataFrame) -> DataFrame:
     return links.where(keep).withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def next_frontier(links: DataFrame, fetched: DataFrame, allowed: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """Targets found and not fetched yet that robots allow and the scope's shapes hold, each once."""
+def next_frontier(links: DataFrame, fetched: DataFrame, allowed: DataFrame, scope: DataFrame | None = None, max_pages: int | None = None) -> DataFrame:
+    """Targets found and not fetched yet that robots allow and the scope's shapes hold, each once.
+
+    With ``max_pages`` the pages of a list beyond that number stay out: links say in ``paging`` whether they lead to one.
+    """
+    if max_pages is not None:
+        links = links.where(~F.coalesce("paging", F.lit(False)) | (F.coalesce(page_number(F.col("target")), F.lit(1)) <= max_pages))
     new = links.select("site", "target").where("target is not null").distinct().join(fetched.select("target"), "target", "left_anti").join(allowed.select("target"), "target", "left_semi")
     new = new.withColumn("shape", url_shape(F.col("target")))
     return new if scope is None else new.join(scope.select("site", "shape").distinct(), ["site", "shape"], "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -203,15 +204,37 @@ def embed_texts(df: DataFrame, embed: Callable[[list[str]], list[list[float]]],
     return df.mapInPandas(run, schema)
 
 
-KERNELS: dict[str, Callable[..., DataFrame]] = {}
+def ingest(index: DataFrame, documents: DataFrame) -> DataFrame:
+    """An index (kb_id, source, ...) after documents of the same columns came in: those of a source replace its old ones."""
+    return index.join(documents.select("kb_id", "source").distinct(), ["kb_id", "source"], "left_anti").unionByName(documents.select(index.columns))
 
 
-def register_kernel(name: str, kernel: Callable[..., DataFrame]) -> None:
-    KERNELS[name] = kernel
+def delete(index: DataFrame, sources: DataFrame) -> DataFrame:
+    """An index without the rows of (kb_id, source)."""
+    return index.join(sources.select("kb_id", "source").distinct(), ["kb_id", "source"], "left_anti")
 
 
-def get_kernel(name: str) -> Callable[..., DataFrame]:
-    """A retrieval kernel (a function of DataFrames) by name; an unknown name fails at once."""
+@dataclass(frozen=True)
+class Kernel:
+    """What callers use of a knowledge base, whatever stands behind it: functions of DataFrames. Calling it retrieves."""
+
+    retrieve: Callable[..., DataFrame]
+    ingest: Callable[[DataFrame, DataFrame], DataFrame] = ingest
+    delete: Callable[[DataFrame, DataFrame], DataFrame] = delete
+
+    def __call__(self, **inputs) -> DataFrame:
+        return self.retrieve(**inputs)
+
+
+KERNELS: dict[str, Kernel] = {}
+
+
+def register_kernel(name: str, kernel: Kernel | Callable[..., DataFrame]) -> None:
+    KERNELS[name] = kernel if isinstance(kernel, Kernel) else Kernel(kernel)
+
+
+def get_kernel(name: str) -> Kernel:
+    """A kernel by name; an unknown name fails at once."""
     if name == "graph":
         raise NotImplementedError("the graph kernel is not enabled")
     if name not in KERNELS:

@@ -295,6 +295,15 @@ def _(spark, sf, asked):
     return retrieval.get_kernel("vector")(vector=vectors(spark, sf, asked=asked).drop("rank")).select("query_id", "chunk_id", F.col("rank").cast("long"))
 
 
+@query("udf_kernel_store", "select lang as kb_id, source, doc_id, case when doc_id % 3 = 0 then length(text) + 1 else length(text) end as n from documents d where source is not null and lang is not null and not (lang = 'en' and source = 'src1') and (doc_id % 3 = 0 or not exists (select 1 from documents e where e.lang = d.lang and e.source = d.source and e.doc_id % 3 = 0))")
+def _(spark, sf):
+    """A third of the documents comes in anew and replaces what their sources had; one source is deleted."""
+    d = table(spark, sf, "documents").where("source is not null and lang is not null").select(F.col("lang").alias("kb_id"), "source", "doc_id", F.length("text").alias("n"))
+    kernel = retrieval.get_kernel("vector")
+    own = kernel.ingest(d, d.where("doc_id % 3 = 0").withColumn("n", F.col("n") + 1))
+    return kernel.delete(own, own.where("kb_id = 'en' and source = 'src1'").select("kb_id", "source"))
+
+
 @search("win_topk", f"with {VECTOR} select query_id, chunk_id from v where score >= 0.2 qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 5")
 def _(spark, sf, asked):
     return retrieval.top_k(vectors(spark, sf, 50, asked).drop("rank"), 5, 0.2).select("query_id", "chunk_id")

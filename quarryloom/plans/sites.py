@@ -257,6 +257,14 @@ def _(spark, sf):
     return links.next_frontier(own, fetched, own.where(~F.col("target").rlike("/[A-Z]"))).select("site", "target")
 
 
+@query("crawl_frontier_paging", f"with {PAGED}, l as (select {ORIGIN} as site, {ORIGIN} || left({PATH.format('url')}, length({PATH.format('url')}) - length(string_split({PATH.format('url')}, '/')[-1])) || 'list' || p || '.htm' as target, p from pages join paged using (page_id), lateral (select unnest([2, last]) as p)) select distinct site, target from l where p <= 20 and target not in (select url from pages)")
+def _(spark, sf):
+    """Further pages of lists, up to the twentieth of a list."""
+    p = paged(spark, sf)
+    own = dom.extract_links(p, ["page_id", "url"]).withColumns({"site": urls.origin_of(F.col("url")), "paging": F.col("href").rlike("^list[0-9]+[.]htm$")})
+    return links.next_frontier(own.where("paging"), p.select(F.col("url").alias("target")), own, max_pages=20).select("site", "target")
+
+
 @query("flt_scope", f"with {SITE_PAGES} select page_id from site_pages where col in ('en', 'fr') and length(site) % 2 = 0 and shape not like '%.html'")
 def _(spark, sf):
     p = site_pages(spark, sf).withColumn("template_id", F.col("shape")).drop("html")
@@ -518,9 +526,12 @@ def _(spark, sf):
     return crawl.diff_snapshots(*snapshots(spark, sf), ["page_id"])
 
 
-@query("agg_crawl_summary", f"with {HASHES} select status, count(*) as n from diff group by status")
+@query("agg_crawl_summary", f"with {HASHES} select status, count(*) as n from diff group by status union all select 'failed', count(*) from (select user_id from events group by user_id having arg_max(event_type, event_id) = 'error') union all select 'skipped', count(*) from pages where regexp_matches(url, '[0-9]$')")
 def _(spark, sf):
-    return crawl.crawl_summary(crawl.diff_snapshots(*snapshots(spark, sf), ["page_id"]))
+    e = table(spark, sf, "events")
+    failed = robots.fetch_outcomes(e.select(F.col("user_id").alias("url"), F.col("event_id").alias("attempt"), F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"))).where("outcome <> 'ok'")
+    skipped = table(spark, sf, "pages").where(F.col("url").rlike("[0-9]$"))
+    return crawl.crawl_summary(crawl.diff_snapshots(*snapshots(spark, sf), ["page_id"]), failed, skipped)
 
 
 @query("set_removed", f"with {HASHES} select page_id from old where page_id not in (select page_id from new)")
