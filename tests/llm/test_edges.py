@@ -127,7 +127,7 @@ def test_near_duplicates_when_all_buckets_are_large(spark):
             if near.matched(words[i], words[j], near.needed(len(words[i]) + len(words[j]), 0.8)) is not None:
                 x, y = sorted((up[i], up[j]))
                 up = [x if u == y else u for u in up]
-    got = {r.doc_id: r.class_id for r in near.near_classes(frame(spark, texts), together=1, depth=4).collect()}
+    got = {r.doc_id: r.class_id for r in near.near_classes(frame(spark, texts), together=1).collect()}
     assert [got[i] for i in range(len(texts))] == up
 
 
