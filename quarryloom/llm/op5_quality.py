@@ -6,8 +6,8 @@ training rows adds up its part of the normal equations; Spark sums the parts; th
 is the number of features. Calibration pools adjacent violators over binned scores: those of each half of the training
 rows by the weights of the other half.
 
-At most ``sample`` labelled rows train (those of least hash of their id; the bound of what is broadcast); every row is
-scored over its whole text, however long. Null and empty texts have the statistics of an empty text and get a score
+Some ``sample`` labelled rows train (by hash of their id; the bound of what is broadcast); every row is scored over its
+whole text, however long. Null and empty texts have the statistics of an empty text and get a score
 too; an empty table gives no rows. Equal texts get equal scores. Without any usable label every score is 0.5. A
 document labelled more than once counts once, with its highest label. Other columns are not read.
 """
@@ -151,8 +151,11 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, label) of the training rows. The ids that travel to all tasks are at most ``sample``."""
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """(text, label) of the training rows. The ids that travel to all tasks are ``sample`` on average, chosen by hash."""
+    own = labels.where("doc_id is not null and quality is not null")
+    rows = own.count()
+    own = own.where((F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)) < (sample / rows if rows > sample else 1.0))
+    chosen = own.groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
