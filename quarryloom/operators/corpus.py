@@ -224,11 +224,11 @@ def type_distribution(docs: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("kb_id")))
 
 
-def length_distribution(docs: DataFrame, exact: bool = False) -> DataFrame:
-    """Least, quartiles and greatest body length; exact quartiles for small tables, a bounded sketch otherwise."""
-    quartile = (lambda q: F.percentile("n", q)) if exact else (lambda q: F.percentile_approx("n", q, 10_000).cast("double"))
-    own = docs.select("kb_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    return own.groupBy("kb_id").agg(F.min("n").alias("least"), *[quartile(q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max("n").alias("most"))
+def length_distribution(docs: DataFrame) -> DataFrame:
+    """Least, quartiles and greatest body length: exact, from counts of each length (of which there are few)."""
+    each = docs.groupBy("kb_id", F.length(F.coalesce("text", F.lit(""))).alias("n")).agg(F.count("*").alias("docs"))
+    quartiles = [F.percentile("n", q, F.col("docs")).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
+    return each.groupBy("kb_id").agg(F.min("n").alias("least"), *quartiles, F.max("n").alias("most"))
 
 
 def length_histogram(docs: DataFrame, upto: int = 10_000, buckets: int = 10) -> DataFrame:
@@ -256,15 +256,17 @@ def profile(docs: DataFrame, kbs: DataFrame) -> DataFrame:
     """One row per knowledge base of (kb_id, doc_id, type, text, scanned, tables); one without documents: no_corpus."""
     own = docs.groupBy("kb_id").agg(
         F.count("*").alias("docs"), F.count_if(F.col("scanned")).alias("scanned"), F.count_if(F.col("tables") >= TABLES).alias("table_dense"),
-        F.count_if(F.size(extract_doc_numbers(F.col("text"))) > 0).alias("numbered"), F.percentile_approx(F.length("text"), 0.5, 10_000).alias("median_chars"), F.max(F.length("text")).alias("most_chars"),
+        F.count_if(F.size(extract_doc_numbers(F.col("text"))) > 0).alias("numbered"),
     )
+    kinds = type_distribution(docs).groupBy("kb_id").agg(F.array_sort(F.collect_list(F.struct("type", "n", "share"))).alias("types"))
+    lengths = length_distribution(docs).withColumnsRenamed({"least": "least_chars", "q25": "q25_chars", "q50": "median_chars", "q75": "q75_chars", "most": "most_chars"})
     copies = duplicate_groups(docs).groupBy("kb_id").agg(F.sum("n").alias("in_groups"), F.count("*").alias("groups"))
-    out = kbs.select("kb_id").distinct().join(own, "kb_id", "left").join(copies, "kb_id", "left")
+    out = kbs.select("kb_id").distinct().join(own, "kb_id", "left").join(copies, "kb_id", "left").join(kinds, "kb_id", "left").join(lengths, "kb_id", "left")
     share = lambda c: F.coalesce(c, F.lit(0)) / F.col("docs")
     none = F.col("docs").isNull()
     return out.select(
         "kb_id", F.when(none, "no_corpus").otherwise("ok").alias("status"), "docs", share(F.col("scanned")).alias("scanned_share"), share(F.col("table_dense")).alias("table_share"),
-        share(F.col("in_groups")).alias("duplicate_share"), F.when(~none, F.coalesce("groups", F.lit(0))).alias("duplicate_groups"), share(F.col("numbered")).alias("number_density"), "median_chars", "most_chars",
+        share(F.col("in_groups")).alias("duplicate_share"), F.when(~none, F.coalesce("groups", F.lit(0))).alias("duplicate_groups"), share(F.col("numbered")).alias("number_density"), "types", *lengths.columns[1:],
     )
 
 

@@ -166,7 +166,7 @@ def _(spark, sf):
 
 @query("prof_lengths", f"with {DOCS} select kb_id, min(length(text))::int as least, quantile_cont(length(text), 0.25)::double as q25, quantile_cont(length(text), 0.5)::double as q50, quantile_cont(length(text), 0.75)::double as q75, max(length(text))::int as most from docs group by kb_id")
 def _(spark, sf):
-    return corpus.length_distribution(documents(spark, sf), exact=True)
+    return corpus.length_distribution(documents(spark, sf))
 
 
 @query("prof_histogram", f"with {DOCS} select kb_id, least(length(text) // 1000 + 1, 11)::bigint as bucket, count(*) as n from docs group by all")
@@ -184,7 +184,7 @@ def _(spark, sf):
     return corpus.doc_number_density(documents(spark, sf)).select("kb_id", "docs", "with_numbers", F.round("density", 6).alias("density"), F.array_join("samples", ",").alias("samples"))
 
 
-PROFILE = f"with {DOCS}, kbs as (select distinct kb_id from docs union all select 'empty'), g as (select kb_id, sum(n) as n, count(*) as groups from (select kb_id, count(*) as n from docs group by kb_id, {KEY} having count(*) > 1) group by kb_id), d as (select kb_id, count(*) as docs, count(*) filter (scanned) as scanned, count(*) filter (tables >= 3) as dense, count(*) filter (regexp_matches(text, '{NUMBER}')) as numbered, max(length(text)) as most_chars from docs group by kb_id)"
+PROFILE = f"with {DOCS}, kbs as (select distinct kb_id from docs union all select 'empty'), g as (select kb_id, sum(n) as n, count(*) as groups from (select kb_id, count(*) as n from docs group by kb_id, {KEY} having count(*) > 1) group by kb_id), d as (select kb_id, count(*) as docs, count(*) filter (scanned) as scanned, count(*) filter (tables >= 3) as dense, count(*) filter (regexp_matches(text, '{NUMBER}')) as numbered, max(length(text)) as most_chars, quantile_cont(length(text), 0.5)::double as median from docs group by kb_id)"
 
 
 def profiles(spark, sf):
@@ -192,16 +192,16 @@ def profiles(spark, sf):
     return corpus.profile(d, d.select("kb_id").distinct().union(spark.range(1).select(F.lit("empty"))))
 
 
-@query("prof_profile", f"{PROFILE} select kb_id, case when docs is null then 'no_corpus' else 'ok' end as status, docs, round(scanned / docs, 6) as scanned_share, round(dense / docs, 6) as table_share, round(coalesce(n, 0) / docs, 6)::double as duplicate_share, case when docs is not null then coalesce(groups, 0) end as duplicate_groups, round(numbered / docs, 6) as number_density, most_chars::int as most_chars from kbs left join d using (kb_id) left join g using (kb_id)")
+@query("prof_profile", f"{PROFILE} select kb_id, case when docs is null then 'no_corpus' else 'ok' end as status, docs, round(scanned / docs, 6) as scanned_share, round(dense / docs, 6) as table_share, round(coalesce(n, 0) / docs, 6)::double as duplicate_share, case when docs is not null then coalesce(groups, 0) end as duplicate_groups, round(numbered / docs, 6) as number_density, most_chars::int as most_chars, median as median_chars, types from kbs left join d using (kb_id) left join g using (kb_id) left join (select kb_id, string_agg(type || ':' || n, ',' order by type) as types from (select kb_id, type, count(*) as n from docs group by all) group by kb_id) using (kb_id)")
 def _(spark, sf):
     p = profiles(spark, sf)
-    return p.select("kb_id", "status", "docs", *[F.round(c, 6).alias(c) for c in ("scanned_share", "table_share", "duplicate_share")], "duplicate_groups", F.round("number_density", 6).alias("number_density"), "most_chars")
+    return p.select("kb_id", "status", "docs", *[F.round(c, 6).alias(c) for c in ("scanned_share", "table_share", "duplicate_share")], "duplicate_groups", F.round("number_density", 6).alias("number_density"), "most_chars", "median_chars", F.array_join(F.transform("types", lambda t: F.concat(t["type"], F.lit(":"), t["n"].cast("string"))), ",").alias("types"))
 
 
-@query("prof_recommend", f"{PROFILE} select kb_id, setting, case when setting = 'rerank' and kb_id = 'en' then 'on' when setting = 'ocr' then case when scanned / docs >= 0.2 then 'on' else 'off' end when setting = 'retrieval_mode' then case when numbered / docs >= 0.1 then 'hybrid' else 'vector' end when setting = 'dedupe_first' then case when coalesce(n, 0) / docs >= 0.3 then 'on' else 'off' end else 'user must choose' end as value, setting = 'rerank' and kb_id = 'en' as overridden from d left join g using (kb_id), (values ('ocr'), ('retrieval_mode'), ('dedupe_first'), ('rerank'), ('top_k')) s(setting)")
+@query("prof_recommend", f"{PROFILE} select kb_id, setting, case when setting = 'rerank' and kb_id = 'en' then 'on' when setting = 'ocr' then case when scanned / docs >= 0.2 then 'on' else 'off' end when setting = 'retrieval_mode' then case when numbered / docs >= 0.1 then 'hybrid' else 'vector' end when setting = 'dedupe_first' then case when coalesce(n, 0) / docs >= 0.3 then 'on' else 'off' end when setting = 'chunk_max' then case when median < 500 then '500' when median > 5000 then '1500' else '1000' end when setting = 'chunk_overlap' then case when median < 500 then '60' when median > 5000 then '180' else '120' end else 'user must choose' end as value, setting = 'rerank' and kb_id = 'en' as overridden from d left join g using (kb_id), (values ('ocr'), ('retrieval_mode'), ('dedupe_first'), ('chunk_max'), ('chunk_overlap'), ('rerank'), ('top_k')) s(setting)")
 def _(spark, sf):
     own = profiles(spark, sf).where("kb_id = 'en'").select("kb_id", F.lit("rerank").alias("setting"), F.lit("on").alias("value"))
-    return corpus.recommend(profiles(spark, sf), own).where("setting not like 'chunk%'").select("kb_id", "setting", "value", "overridden")
+    return corpus.recommend(profiles(spark, sf), own).select("kb_id", "setting", "value", "overridden")
 
 
 # --- retrieval ---
