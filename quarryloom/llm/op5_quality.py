@@ -151,16 +151,17 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, label) of the training rows. The ids that travel to all tasks are ``sample`` on average, chosen by hash."""
+    """(doc_id, text, label) of the training rows. The ids that travel to all tasks are ``sample`` on average, chosen by hash."""
     own = labels.where("doc_id is not null and quality is not null")
     rows = own.count()
     own = own.where((F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)) < (sample / rows if rows > sample else 1.0))
     chosen = own.groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
 def measured(training: DataFrame) -> DataFrame:
-    """The statistics s0, s1, ... and the label of each row (text, label), with the half that it belongs to."""
+    """The statistics s0, s1, ... and the label of each row (text, label, ...), with the half that it belongs to (by a hash of
+    the whole row, so that copies of a text with other ids are in both)."""
 
     def run(batches):
         for batch in batches:
@@ -169,7 +170,7 @@ def measured(training: DataFrame) -> DataFrame:
                 half = part.column("half").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [part.column("label").cast(pa.float64()), pa.array(half)], names=[*NAMES, "label", "half"])
 
-    halves = training.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+    halves = training.select("text", "label", F.pmod(F.xxhash64(*training.columns), F.lit(2)).cast("int").alias("half"))
     return halves.mapInArrow(run, ", ".join(f"{n} double" for n in [*NAMES, "label"]) + ", half int")
 
 
@@ -181,7 +182,8 @@ def solve(gram: np.ndarray, ridge: float) -> np.ndarray:
 
 
 def fit(training: DataFrame, ridge: float = RIDGE) -> Model:
-    """A model of rows (text, label). Texts are measured once; each half is calibrated on the ridge of the other."""
+    """A model of rows (text, label, ...). Texts are measured once; each half is calibrated on the ridge of the other, or, if
+    one half has rows of one label only, on the ridge of all."""
     spark = training.sparkSession
     checkpoint_ready(spark)
     rows = measured(training).checkpoint()
@@ -206,7 +208,8 @@ def fit(training: DataFrame, ridge: float = RIDGE) -> Model:
     gram = np.zeros(2 * d * d)
     gram[cells.cell.to_numpy()] = cells.part.to_numpy()
     gram = gram.reshape(2, d, d)
-    others = broadcast_value(spark, [Model(kernel.value, solve(gram[1 - i], ridge)) for i in range(2)])
+    mixed = all(0 < g[-2, -1] < g[-2, -2] for g in gram)  # sum of labels, rows
+    others = broadcast_value(spark, [Model(kernel.value, solve(gram[1 - i] if mixed else gram.sum(0), ridge)) for i in range(2)])
 
     def scored(batches):
         for batch in batches:

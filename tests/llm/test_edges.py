@@ -227,6 +227,11 @@ def test_quality_against_plain_ridge(spark):
     weights = np.linalg.solve(phi.T @ phi + ridge, phi.T @ np.array(labels, float))
     assert np.allclose(model.raw(x), phi @ weights, atol=1e-6)
     assert (np.diff(model.score(x)[np.argsort(model.raw(x))]) >= 0).all()
+    # all rows of one label are copies of one text, and fall into one half
+    copies = spark.createDataFrame([("bad *** " * 9, 0.0)] * 20 + [(" ".join(random_words(rng, 40, 500)), 1.0) for _ in range(40)], "text string, label double")
+    own = quality.fit(copies)
+    scored = {r.doc_id: r.score for r in quality.score(frame(spark, ["bad *** " * 9, " ".join(random_words(rng, 40, 500))]), own).collect()}
+    assert scored[0] < 0.3 < scored[1]
 
 
 def test_damaged_streams_are_reported():
