@@ -26,7 +26,7 @@ from .bpe import LETTER, Cut, cut
 from .common import as_string_array, broadcast_value, buffer_of, checkpoint_ready, crc32_of_id, distinct_spans, key_hashes, rows_where, span_keys, table, take_spans, text_slices
 
 #: training rows of a language, on average; characters of the longest n-grams
-SAMPLE, LONGEST = 2_000, 5
+SAMPLE, LONGEST = 1_000, 5
 #: words that a score rests on at most: long texts are no surer than that
 EVIDENCE = 20
 EDGE = 32  # stands at both ends of a word
@@ -174,7 +174,7 @@ def fit(training: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Mo
     checkpoint_ready(training.sparkSession)
     words = language_words(sampled(training, sample)).checkpoint()
     known = words.toArrow()
-    return Model(known, gram_counts(words, longest).toArrow(), sorted(set(known.column("lang").to_pylist())), longest)
+    return Model(known, gram_counts(words, longest).toArrow(), sorted(pa.compute.unique(known.column("lang")).to_pylist()), longest)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
