@@ -27,9 +27,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays. Null ids stay."""
-    gone = op1_near_dedup.near_classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each class of near-duplicates the document with the least id stays, once.
+
+    Rows count by id and text: of rows with one id those of other classes stay. A null id stays, once a text, if no row
+    with an id has its class.
+    """
+    rows = op1_near_dedup.near_classes(docs).where("doc_id <=> class_id").groupBy("group", "doc_id", "version").count()
+    # an id may stand for several texts of a class; null ids have no class but their text
+    alone = F.when(F.col("group").isNull(), F.col("version"))
+    stays = rows.groupBy("group", alone.alias("alone")).agg(F.min(F.struct("version", "doc_id", "count")).alias("row"))
+    stays = stays.select(F.col("row.doc_id").alias("stays_id"), F.col("row.version").alias("stays_version"), F.col("row.count").alias("stays_rows")).checkpoint()
+    kept = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["stays_id"]) & (F.xxhash64(docs["text"]) == stays["stays_version"]), "left_semi")
+    return kept if stays.where("stays_rows > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +46,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     out = op2_substring_dedup.remove_repeats(docs, carry=docs.columns)
     text = F.when(F.col("n_removed") == 0, F.col("carried.text")).otherwise(F.col("kept"))
     own = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select([own.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
+    of = lambda c: F.col("carried").getField(c)
+    return out.select([own.get(c, of(c)).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
