@@ -7,6 +7,7 @@ slice is a slice by itself (whole texts, never prefixes).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import tempfile
@@ -37,6 +38,16 @@ def checkpoint_ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the disk of shuffles and checkpoints that nothing refers to any more.
+
+    Spark deletes their files once the driver has collected its garbage, which it may put off for half an hour; between
+    the phases of a long operator they would add up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_value(spark: SparkSession, value):
     """A broadcast of something whose size does not grow with the data (a vocabulary, a fitted model)."""
     return ship(spark).sparkContext.broadcast(value)
