@@ -1,10 +1,10 @@
-"""The queries of the ten operators and of the pipeline, by name."""
+"""The queries of the operators and of the pipeline, by name."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_near_dedup", "op2_substring_dedup", "op3_packing", "op4_nearest", "op5_quality", "op6_token_counts", "op7_language_id", "op8_media_columns", "op9_bpe_codec", "op10_main_text"]
+MODULES = ["op1_near_dedup", "op2_substring_dedup", "op3_packing", "op4_nearest", "op5_quality", "op6_token_counts", "op7_language_id", "op8_media_columns", "op9_bpe_codec", "op10_main_text", "op11_merkle_manifest"]
 
 
 def queries() -> dict:
