@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
 from ..operators import columns, crawl, dom, links, robots, rules, templates
+from ..operators.selectors import element_selectors
 from ..sources import pages as sources
 from .catalog import query, table
 
@@ -144,9 +145,42 @@ def _(spark, sf):
     return own.select("page_id", "tag", F.col("text_len").cast("long").alias("text_len"), F.round("density", 6).alias("density"))
 
 
-@query("html_selector", "select distinct page_id, case when tag = 'div' then 'div.ad' else tag end as selector from (select page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) as tag from pages)")
+#: elements of the test pages; what stands in what is known by tag, paragraphs end where the next begins
+ELEMENTS = """
+elements as (
+  select page_id, tag, pos - 1 as pos, coalesce(max(case when tag = 'html' then pos end) over w - 1, 0) as html, max(case when tag = 'head' then pos end) over w - 1 as head, max(case when tag = 'body' then pos end) over w - 1 as body,
+    max(case when tag = 'nav' then pos end) over w - 1 as nav, max(case when tag = 'ul' then pos end) over w - 1 as ul, max(case when tag = 'li' then pos end) over w - 1 as li, max(case when tag = 'article' then pos end) over w - 1 as article, max(case when tag = 'p' then pos end) over w - 1 as p, max(case when tag = 'b' then pos end) over w - 1 as b
+  from (select page_id, unnest(tags) as tag, unnest(range(1, len(tags) + 1)) as pos from (select page_id, regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1) as tags from pages))
+  window w as (partition by page_id order by pos)
+),
+placed as (
+  select page_id, pos, tag, case when tag in ('head', 'body') then html when tag in ('meta', 'title', 'style', 'script') then head when tag in ('nav', 'div', 'article', 'footer') then body when tag = 'ul' then nav when tag = 'li' then ul when tag = 'a' then li when tag in ('h1', 'p') then article when tag = 'b' then p when tag = 'br' then b end as parent
+  from elements
+),
+parts as (
+  select *, tag || case when count(*) over s > 1 then ':nth-of-type(' || row_number() over (s order by pos) || ')' else '' end as part, row_number() over (partition by page_id, tag order by pos) as nth
+  from placed window s as (partition by page_id, parent, tag)
+),
+paths as (
+  select page_id, pos, part as path from parts where parent is null
+  union all
+  select c.page_id, c.pos, p.path || ' > ' || c.part from paths p join parts c on c.page_id = p.page_id and c.parent = p.pos
+)"""
+
+
+@query("html_selector", f"with recursive {ELEMENTS} select page_id, pos, case when tag = 'div' and nth = 1 then 'div.ad' when nth = 1 then tag else path end as selector from parts join paths using (page_id, pos)")
+def _(spark, sf):
+    own = element_selectors(dom.explode_elements(table(spark, sf, "pages"), ["page_id"]), ["page_id"])
+    return own.select("page_id", F.col("pos").cast("long").alias("pos"), "selector")
+
+
+@query("html_selector_classes", f"with recursive {ELEMENTS}, own as (select *, case tag when 'p' then 'c' || nth % 3 when 'li' then 'item' when 'b' then 'lead' end as c, case tag when 'p' then 't' || nth % 5 when 'li' then 'k' || nth % 4 end as d from parts) select page_id, pos, case when tag = 'div' and nth = 1 then 'div.ad' when tag in ('p', 'li') and row_number() over (partition by page_id, tag, c, d order by pos) = 1 then tag || '.' || c || '.' || d when tag = 'b' and nth = 1 then 'b.lead' when nth = 1 then tag else path end as selector from own join paths using (page_id, pos)")
 def _(spark, sf):
-    return dom.direct_selectors(dom.explode_elements(table(spark, sf, "pages"), ["page_id"]), ["page_id"]).select("page_id", "selector")
+    """Selectors of pages whose paragraphs and entries have two classes each, of which others have one."""
+    k, n = "row_number() over (partition by page_id, tag order by pos)", dom.explode_elements(table(spark, sf, "pages"), ["page_id"])
+    n = n.withColumn("nth", F.expr(k))
+    two = F.when(F.col("tag") == "p", F.array(F.concat(F.lit("c"), (F.col("nth") % 3).cast("string")), F.concat(F.lit("t"), (F.col("nth") % 5).cast("string")))).when(F.col("tag") == "li", F.array(F.lit("item"), F.concat(F.lit("k"), (F.col("nth") % 4).cast("string")))).when(F.col("tag") == "b", F.array(F.lit("lead"))).otherwise(F.col("classes"))
+    return element_selectors(n.withColumn("classes", two).drop("nth"), ["page_id"]).select("page_id", F.col("pos").cast("long").alias("pos"), "selector")
 
 
 def paged(spark, sf):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryloom.functions import numbers, text, urls
-from quarryloom.operators import columns, corpus, dom, rules, templates
+from quarryloom.operators import columns, corpus, dom, rules, selectors, templates
 from quarryloom.sources import pages as sources
 
 SENTENCE = "The reading rooms stay open late in winter, and the loan desk moves to the ground floor. "
@@ -15,56 +15,87 @@ SHELVES = """<html><body><div class="shelf"><ol class="titles">%s</ol></div><p c
 SHEETS = """<html><body><p>Forms</p><div class="sheets"><a href="/x/loan.xlsx">Loan</a><a href="/x/room.PDF">Room</a><a href="/x/old.doc?v=2">Old</a><a href="/help">Help</a></div></body></html>"""
 
 
-def regions(html):
-    page = dom.parse(html)
-    return {kind: (selector, confidence, note) for kind, selector, confidence, note in page.regions()} if page else {}
+@pytest.fixture(scope="module")
+def regions(spark):
+    """Regions of a page; all pages below are parsed in one job."""
+    known: dict[str, dict] = {}
 
+    def of(*pages):
+        if new := [p for p in dict.fromkeys(pages) if p not in known]:
+            known.update({p: {} for p in new})
+            for r in dom.segment_pages(spark.createDataFrame([(i, "u", p) for i, p in enumerate(new)], "k int, url string, html string"), ["k"]).collect():
+                known[new[r.k]][r.type] = (r.selector, r.confidence, r.note)
+        return [known[p] for p in pages]
 
-def test_regions_of_a_story():
-    r = regions(STORY)
+    return of
+
+
+def test_regions_of_a_story(regions):
+    r = regions(STORY)[0]
     assert r["article_body"] == ("div.story", 1.0, None)
     assert r["navigation"][0] == "ul#mainmenu" and r["footer"][0] == "div#copyright" and r["footer"][1] < r["navigation"][1]
     assert r["article_meta"][0] == "span.posted" and set(r) == {"article_body", "navigation", "footer", "article_meta"}
 
 
-def test_regions_of_lists_files_and_odd_pages():
-    r = regions(SHELVES)
-    assert r["article_list"] == ("ol.titles", round(0.5 + 0.5 * 7 / 12, 2), None) and r["pagination"] == ("p.pager", round(0.7 + 0.3 * 2 / 3, 2), None)
-    assert regions(SHEETS)["attachment"] == ("div.sheets", round(0.6 + 0.4 * 3 / 4, 2), None)
+def test_regions_of_lists_files_and_odd_pages(regions):
     nested = "<section><div class='deep'>" + "".join(f"<p><a href='/{i}'>{i}</a></p>" for i in range(9)) + "</div></section>"
-    assert regions(nested)["article_list"][0] == "div.deep"
     few = "<div>" + "<p><a href='/x'>t</a></p>" * 4 + "<p>no link</p></div>"
-    assert "article_list" not in regions(few)
-    assert [regions(h) for h in ("", "\n\t", "5 < 6 and no tag")] == [{}, {}, {}]
-    assert regions("<p id='crumb'><a href='/'>up</a></p>")["article_body"] == ("body", 0.0, dom.NO_BODY)
+    shelves, sheets, deep, little, *odd, crumb = regions(SHELVES, SHEETS, nested, few, "", "\n\t", "5 < 6 and no tag", "<p id='crumb'><a href='/'>up</a></p>")
+    assert shelves["article_list"] == ("ol.titles", round(0.5 + 0.5 * 7 / 12, 2), None) and shelves["pagination"] == ("p.pager", round(0.7 + 0.3 * 2 / 3, 2), None)
+    assert sheets["attachment"] == ("div.sheets", round(0.6 + 0.4 * 3 / 4, 2), None)
+    assert deep["article_list"][0] == "div.deep" and "article_list" not in little
+    assert odd == [{}, {}, {}] and crumb["article_body"] == ("body", 0.0, dom.NO_BODY)
+
+
+def selectors_of(spark, *pages):
+    elements = dom.explode_elements(spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "k int, url string, html string"), ["k"])
+    found = {(r.k, r.pos): r.selector for r in selectors.element_selectors(elements, ["k"]).collect()}
+    return [[found[k, i] for i in range(len(dom.parse(p).tag))] for k, p in enumerate(pages)]
+
+
+def test_every_element_has_a_selector_whose_first_match_it_is(spark):
+    tiles = "<section class='tile wide'>1</section><section class='tile'><em id='e9'>2</em></section><q>3</q><q>4</q><q>5</q>"
+    wider = "<main><i class='a b c'>x</i><i class='b a'>y</i><i class='b d'>z</i><i class='a b'>w</i></main>"
+    names = "<div id='1a'><u id='x y'></u></div><div id='ok-1'></div><div class='p.q r'></div><div class='twin twin'></div>"
+    twice = "<ul><li class='on'><b>x</b></li><li class='on'><b>x</b><b>y</b></li></ul>"
+    got = selectors_of(spark, tiles, wider, names, twice)
+    assert got[0] == ["section.tile.wide", "section:nth-of-type(2)", "em#e9", "q", "q:nth-of-type(2)", "q:nth-of-type(3)"]
+    assert got[1] == ["main", "i.a.b.c", "main > i:nth-of-type(2)", "i.b.d", "main > i:nth-of-type(4)"]  # the first has both classes too
+    assert got[2] == ["div", "u", "div#ok-1", "div.r", "div.twin.twin"]
+    assert got[3] == ["ul", "li.on", "b", "ul > li:nth-of-type(2)", "ul > li:nth-of-type(2) > b:nth-of-type(1)", "ul > li:nth-of-type(2) > b:nth-of-type(2)"]
+    for page, own in ((tiles, got[0]), (twice, got[3])):
+        assert [dom.parse(page).first(s) for s in own] == list(range(len(own)))
 
 
-def test_selectors_take_the_first_match():
-    page = dom.parse("<section class='tile wide'>1</section><section class='tile'><em id='e9'>2</em></section><q>3</q><q>4</q><q>5</q>")
-    assert [page.selector(i) for i in range(6)] == ["section.tile.wide", "section:nth-of-type(2)", "em#e9", "q", "q:nth-of-type(2)", "q:nth-of-type(3)"]
-    assert [page.first(page.selector(i)) for i in range(6)] == list(range(6)) and page.first("section.none") is None
-    assert page.fingerprint() == ["em", "q", "section.tile"]
+def test_pages_without_a_key_keep_their_selectors(spark):
+    rows = spark.createDataFrame([(None, "u", "<p>a</p><p>b</p>")], "k int, url string, html string")
+    assert sorted(r.selector for r in selectors.element_selectors(dom.explode_elements(rows, ["k"]), ["k"]).collect()) == ["p", "p:nth-of-type(2)"]
+    assert [r.selector for r in dom.segment_pages(rows.withColumn("html", F.lit(f"<div class='s'>{SENTENCE}</div>")), ["k"]).collect()] == ["div.s"]
+    assert selectors.element_selectors(dom.explode_elements(rows.limit(0), ["k"]), ["k"]).collect() == []
 
 
-def test_element_rows_give_density_and_selectors(spark):
+def test_element_rows_give_density(spark):
     rows = [(1, "u", "<main><div id='d'>aaaa bbbb</div><div class='x y'>c</div><div class='y'>d</div></main>"), (2, "u", "<div class='sidebar'>only noise in here</div>"), (3, "u", None)]
     elements = dom.explode_elements(spark.createDataFrame(rows, "k int, url string, html string"), ["k"])
     assert [(r.k, r.tag, r.text_len) for r in dom.densest(elements, ["k"], 5).collect()] == [(1, "div", 9)]
-    got = {(r.k, r.pos): r.selector for r in dom.direct_selectors(elements, ["k"]).collect()}
-    assert got == {(1, 0): "main", (1, 1): "div#d", (1, 2): "div.x", (2, 0): "div.sidebar"}
 
 
 def test_fingerprint_ignores_noise_and_small_pages():
+    assert dom.parse("<section class='tile wide'>1</section><section class='tile'><em id='e9'>2</em></section><q>3</q>").fingerprint() == ["em", "q", "section.tile"]
     assert dom.parse("<aside class='sidebar'><dl><dt>k<dd>v</dl></aside><p>one</p>").fingerprint() == []
     assert dom.parse("<main class='page two'><h2>t</h2><figure>f</figure></main>").fingerprint() == ["figure", "h2", "main.page"]
 
 
-def test_candidates():
-    c = dom.parse(STORY).candidates()
-    assert {("body", "div.story"), ("title", "h1.headline"), ("date", "span.posted"), ("department", "span.unit")} <= c
-    assert {s for f, s in dom.parse(SHEETS).candidates() if f == "attachment"} == {'div.sheets a[href$=".xlsx"]'}  # of ends in capitals or with a query none is selected
-    twice = dom.parse("<b class='tag'>a word</b><b class='tag'>档案馆</b>")
-    assert ("department", "b.tag") not in twice.candidates()
+def test_candidates(spark):
+    twice, deep = "<b class='tag'>a word</b><b class='tag'>档案馆</b>", "<div class='o'><div class='i'><p><a href='/a.pdf'>x</a></p><p class='f'><a href='/b.pdf?v=1'>y</a><a href='/c.pdf'>z</a></p></div></div><a href='/d.doc'>w</a>"
+    pages = [STORY, SHEETS, twice, deep]
+    hits = dom.selector_hits(spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "k int, url string, html string"), ["k"]).collect()
+    own = [{(r.field, r.selector) for r in hits if r.k == k} for k in range(len(pages))]
+    assert {("body", "div.story"), ("title", "h1.headline"), ("date", "span.posted"), ("department", "span.unit")} <= own[0]
+    assert {s for f, s in own[1] if f == "attachment"} == {'div.sheets a[href$=".xlsx"]'}  # of ends in capitals or with a query none is selected
+    assert ("department", "b.tag") not in own[2]
+    assert {s for f, s in own[3] if f == "attachment"} == {'a[href$=".pdf"]', 'p.f a[href$=".pdf"]', 'a[href$=".doc"]'}
+    assert len(hits) == len(set(hits))
 
 
 @pytest.mark.parametrize("value, shown", [(3, "约 3"), (58, "约 50"), (99, "约 90"), (100, "约 100"), (273, "约 250"), (999, "约 950"), (4821, "约 4800")])
