@@ -2,60 +2,55 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import origin_of, path_of, query_of
 
-RULES = "origin string, seq int, agent string, allow boolean, path string, regex string, crawl_delay double"
 NO_ROBOTS = "无法获取 robots.txt，按禁止处理"
+#: ends of a line, white space at the ends of a value, and what counts as a number
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+OUTER = r"(?U)^\s+|\s+$"
+NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, OUTER, "")
 
 
-def pattern(path: str) -> str:
+def regex_of(path: Column) -> Column:
     """The regular expression of a robots path: * is anything, a final $ the end."""
-    end = path.endswith("$")
-    return "^" + ".*".join(re.sub(r"([^\w/ -])", r"\\\1", part) for part in (path[:-1] if end else path).split("*")) + ("$" if end else "")
-
-
-def rules_of(text: str) -> list[tuple[int, str, bool | None, str | None, str | None, float | None]]:
-    """Rows of one robots.txt: each directive once for each agent of its group; a row without a path for each agent."""
-    rows: list = []
-    agents: list[str] = []
-    collecting = True
-    for line in (text or "").splitlines():
-        key, colon, value = line.split("#", 1)[0].strip().partition(":")
-        key, value = key.strip().lower(), value.strip()
-        if not colon:
-            continue
-        if key == "user-agent":
-            agents = [*agents, value.lower()] if collecting else [value.lower()]
-            collecting = True
-            rows.append((len(rows), value.lower(), None, None, None, None))
-        elif agents:
-            collecting = False
-            for a in agents:
-                if key in ("allow", "disallow") and value:
-                    rows.append((len(rows), a, key == "allow", value, pattern(value), None))
-                elif key == "crawl-delay":
-                    try:
-                        rows.append((len(rows), a, None, None, None, float(value)))
-                    except ValueError:
-                        continue
-    return rows
+    body = F.regexp_replace(F.regexp_replace(path, r"\$$", ""), r"([\\^$.|?+(){}\[\]])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(path.endswith("$"), "$").otherwise(""))
 
 
-def parse_robots(texts: DataFrame) -> DataFrame:
-    """(origin, text) → rule rows; one small text per origin."""
+def literal_of(path: Column) -> Column:
+    """What a robots path begins with before its first * or final $."""
+    return F.regexp_extract(path, r"^(.*?)(?:\*.*|\$)?$", 1)
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([(o, *r) for o, t in zip(f.origin, f.text, strict=True) for r in rules_of(t)], columns=["origin", "seq", "agent", "allow", "path", "regex", "crawl_delay"])
+def parse_robots(texts: DataFrame) -> DataFrame:
+    """(origin, text) → rows (origin, seq, agent, allow, path, regex, crawl_delay).
 
-    return texts.select("origin", "text").mapInPandas(run, RULES)
+    Each directive stands once for each agent of its group, and a row without a path for each agent. A group begins with
+    an agent's line that no agent's line precedes; groups are numbered by a running sum over the lines of a text.
+    """
+    lines = texts.select("origin", "text", F.monotonically_increasing_id().alias("_text")).select("origin", "_text", F.posexplode(F.split("text", LINE_END)).alias("seq", "line"))
+    bare = F.regexp_replace("line", "#.*$", "")
+    told = lines.where(bare.contains(":")).select("origin", "_text", "seq", F.lower(_trimmed(F.substring_index(bare, ":", 1))).alias("key"), _trimmed(F.regexp_replace(bare, "^[^:]*:", "")).alias("value"))
+    in_text = Window.partitionBy("origin", "_text")
+    names = F.col("key") == "user-agent"
+    opens = names & ~F.coalesce(F.lag("key").over(in_text.orderBy("seq")) == "user-agent", F.lit(False))
+    numbered = told.withColumn("_opens", opens.cast("int")).withColumn("_group", F.sum("_opens").over(in_text.orderBy("seq")))
+    agents = F.collect_list(F.when(names, F.lower("value"))).over(Window.partitionBy("origin", "_text", "_group"))
+    grouped = numbered.where("_group > 0").withColumn("_agents", F.when(names, F.array(F.lower("value"))).otherwise(agents))
+    rule = F.col("key").isin("allow", "disallow") & (F.col("value") != "")
+    delay = (F.col("key") == "crawl-delay") & F.col("value").rlike(NUMBER)
+    path = F.when(rule, F.col("value"))
+    return grouped.where(names | rule | delay).select(
+        "origin", "seq", F.explode("_agents").alias("agent"), F.when(rule, F.col("key") == "allow").alias("allow"), path.alias("path"), regex_of(path).alias("regex"),
+        F.when(delay, F.expr("try_cast(value as double)")).alias("crawl_delay"),
+    )
 
 
 def groups_for(rules: DataFrame, user_agent: str) -> DataFrame:
@@ -72,16 +67,27 @@ def robots_path(url: Column) -> Column:
     return F.concat(F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def rules_met(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """Paths (origin, _path) with the rules (origin, _begins) that they begin with."""
+    # a path has a few thousand characters at most, so an origin has few lengths
+    lengths = rules.groupBy("origin").agg(F.collect_set(F.length("_begins")).alias("_lengths"))
+    cut = asked.join(lengths, "origin").withColumn("_n", F.explode("_lengths")).where(F.col("_n") <= F.length("_path"))
+    return cut.withColumn("_begins", F.expr("substring(_path, 1, _n)")).join(rules, ["origin", "_begins"])
+
+
 def check_robots(urls: DataFrame, rules: DataFrame, user_agent: str, status: DataFrame | None = None) -> DataFrame:
     """Adds ``allowed``, ``rule``, ``robots_url``, ``reason`` to rows of (url).
 
     Of the patterns that match the longest path wins, Allow wins ties. ``status`` (origin, status) says how robots.txt
-    was answered: 5xx or no answer closes an origin, 4xx opens it. Each distinct URL is decided once; its origin's
-    rules meet it in an equi-join, so a hot origin is split by URLs, not gathered.
+    was answered: 5xx or no answer closes an origin, 4xx opens it. Each distinct URL is decided once.
+
+    Rules are found by what they begin with: a URL is cut to the lengths that beginnings of its origin's rules have, and
+    meets the rules by (origin, beginning). Only rules with * or $ are then compared as expressions.
     """
     asked = urls.select("url").distinct().withColumns({"origin": origin_of(F.col("url")), "_path": robots_path(F.col("url"))})
-    own = groups_for(rules, user_agent).where("path is not null").select("origin", "allow", "path", "regex")
-    hit = asked.join(own, "origin").where(F.expr("_path rlike regex")).groupBy("url").agg(F.max_by(F.struct("allow", "path"), F.struct(F.length("path"), F.col("allow"))).alias("best"))
+    own = groups_for(rules, user_agent).where("path is not null").select("origin", "allow", "path", "regex", literal_of(F.col("path")).alias("_begins")).distinct()
+    fits = (F.col("_begins") == F.col("path")) | F.expr("_path rlike regex")
+    hit = rules_met(asked, own).where(fits).groupBy("url").agg(F.max_by(F.struct("allow", "path"), F.struct(F.length("path"), F.col("allow"))).alias("best"))
     out = asked.drop("_path").join(hit, "url", "left")
     closed = F.lit(False)
     if status is not None:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarryloom.functions.urls import origin_of as urls_origin
 from quarryloom.operators import answers, crawl, links, retrieval, robots
 from quarryloom.plans import catalog, knowledge, sites  # noqa: F401
 from quarryloom.sources import pages, stores
@@ -37,6 +38,27 @@ def test_robots_closed_open_and_delay(spark):
     assert robots.crawl_delays(rules, "any").first().crawl_delay == 2.0
 
 
+def test_robots_lines_groups_and_odd_values(spark):
+    text = "Allow: /no group\r\nUser-agent: A\rSitemap: x\nuser-agent :b # name\n\nUSER-AGENT: c\nDisallow:/(x)+[y]{2}|^.$ \nCrawl-delay: 1e1\nCrawl-delay: 2d\nno colon\nDisallow: \n"
+    rows = robots.parse_robots(spark.createDataFrame([("o", text), ("o", "user-agent: d\nallow: /z"), ("n", None), ("e", "")], "origin string, text string")).collect()
+    assert {(r.agent, r.path, r.crawl_delay) for r in rows} == {("a", None, None), *((a, p, d) for a in "bc" for p, d in ((None, None), ("/(x)+[y]{2}|^.$", None), (None, 10.0))), ("d", None, None), ("d", "/z", None)}
+    assert decide(spark, "User-agent: *\nDisallow: /(x)+[y]{2}|^.$", "/(x)+[y]{2}|^.") == (False, "Disallow: /(x)+[y]{2}|^.$")
+    assert decide(spark, "User-agent: *\nDisallow: /(x)+[y]{2}|^.$", "/xyy") == (True, None)
+
+
+def test_rules_are_found_by_what_they_begin_with(spark):
+    n = 3000
+    origin = F.regexp_extract(F.format_string("http://a/%d", "id"), "^(http://a)", 1).alias("origin")  # no constant that the optimizer knows
+    rules = spark.range(n).select(origin, F.col("id").cast("int").alias("seq"), F.lit("*").alias("agent"), (F.col("id") % 2 == 0).alias("allow"), F.format_string("/shelf/%05d/", "id").alias("path"), F.lit(None).cast("double").alias("crawl_delay"))
+    rules = rules.withColumn("regex", robots.regex_of(F.col("path")))
+    urls = spark.range(n).select(F.format_string("http://a/shelf/%05d/book.html", "id").alias("url"))
+    asked = urls.withColumns({"origin": urls_origin(F.col("url")), "_path": robots.robots_path(F.col("url"))})
+    assert robots.rules_met(asked, rules.withColumn("_begins", robots.literal_of(F.col("path")))).count() == n
+    plan = robots.check_robots(urls, rules, "bot")
+    assert plan.where("allowed").count() == n // 2 and "Python" not in plan._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString()
+
+
 def test_schedule_equals_the_recurrence(spark):
     at = [0.0, 0.0, 1.0, 9.0, 9.5, 30.0]
     rows = robots.schedule_requests(spark.createDataFrame([("o", t, i) for i, t in enumerate(at)], "origin string, at double, seq int"), 2.0).orderBy("seq").collect()
