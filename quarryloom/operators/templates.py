@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .similarity import similar_sets
+
 THRESHOLD = 0.7
 #: pages whose runs of equal fingerprints one task numbers at most
 RUN_SPAN = 1_000_000
@@ -39,32 +44,73 @@ def fp_intersect(a: Column, b: Column) -> Column:
 def similar_fingerprints(fps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of distinct fingerprints of one (site, shape) that are similar: (site, shape, a, b, similarity).
 
-    Few fingerprints stand in a shape however many pages it has: pages are counted before the join.
+    Few fingerprints stand in a shape however many pages it has: equal ones are one before the join, which compares
+    only those that share a rare token (``similarity.similar_sets``).
     """
-    few = fps.groupBy("site", "shape", "fingerprint").agg(F.count("*").alias("pages"))
-    a, b = (few.select("site", "shape", F.col("fingerprint").alias(x), F.col("pages").alias(f"{x}_pages")) for x in "ab")
-    pairs = a.join(b, ["site", "shape"]).where(F.concat_ws("\1", "a") < F.concat_ws("\1", "b"))
-    return pairs.withColumn("similarity", jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold)
-
-
-def greedy(rows: list[tuple[list[str], int]], threshold: float) -> tuple[list[int], list[list[str]]]:
-    """For fingerprints in order: the cluster of each, and the clusters' common tokens."""
-    own: list[int] = []
-    common: list[set[str]] = []
-    for tokens, _ in rows:
-        t = set(tokens)
-        at = next((i for i, c in enumerate(common) if c | t and len(c & t) / len(c | t) >= threshold), None)
-        if at is None:
-            at = len(common)
-            common.append(t)
-        else:
-            common[at] = common[at] & t or common[at]
-        own.append(at)
-    return own, [sorted(c) for c in common]
+    found = similar_sets(fps, ["site", "shape"], "fingerprint", threshold)
+    swapped = F.concat_ws("\1", "a") > F.concat_ws("\1", "b")
+    return found.select("site", "shape", F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"), "similarity")
 
 
-def assign_templates(pages: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
-    """Adds ``fingerprint`` of the cluster as ``common`` and ``template_id`` to (site, shape, seq, fingerprint, ...).
+class Clusters:
+    """Greedy clusters of token sets: a set joins the first cluster whose common tokens are similar enough.
+
+    Tokens have an order, rarest first. A cluster is listed under the first few of its common tokens, a set looks
+    only under its own first few (two similar sets share one of these); a cluster that shrinks is listed anew. Common
+    tokens are rows of bits, so that all clusters found, or simply all where that is no more work, are compared at once.
+    """
+
+    def __init__(self, threshold: float, sets: list[list[str]]):
+        often: dict[str, int] = {}
+        for s in sets:
+            for t in s:
+                often[t] = often.get(t, 0) + 1
+        self.rank = {t: i for i, t in enumerate(sorted(often, key=lambda t: (often[t], t)))}
+        self.names = list(self.rank)
+        self.threshold = threshold
+        self.bits = np.zeros((64, -(-len(often) // 64) or 1), np.uint64)
+        self.sizes = np.zeros(64, np.int64)
+        self.n = 0
+        self.listed: dict[int, list[int]] = {}
+
+    def put(self, at: int, bits: np.ndarray, tokens: list[int]) -> None:
+        self.bits[at], self.sizes[at] = bits, len(tokens)
+        for t in self.first_few(tokens):
+            self.listed.setdefault(t, []).append(at)
+
+    def first_few(self, tokens: list[int]) -> list[int]:
+        return tokens[: len(tokens) - math.ceil(len(tokens) * self.threshold - 1e-9) + 1]
+
+    def tokens_of(self, bits: np.ndarray) -> list[int]:
+        return np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")).tolist()
+
+    def common(self) -> list[list[str]]:
+        return [sorted(self.names[t] for t in self.tokens_of(b)) for b in self.bits[: self.n]]
+
+    def add(self, tokens: list[str]) -> int:
+        """The number of the cluster that a set joins or opens."""
+        own = sorted({self.rank[t] for t in tokens})
+        bits = np.packbits(np.bincount(own, minlength=64 * self.bits.shape[1]).astype(bool), bitorder="little").view(np.uint64)
+        lists = [self.listed.get(t, []) for t in self.first_few(own)]
+        # looking at all is less work than putting long lists together
+        some = np.arange(self.n) if 16 * sum(map(len, lists)) > self.n * self.bits.shape[1] else np.unique(np.concatenate([np.zeros(0, np.int64), *map(np.array, lists)]).astype(np.int64))
+        both = np.bitwise_count(self.bits[some] & bits).sum(1, dtype=np.int64)
+        near = np.flatnonzero((both > 0) & (both / (self.sizes[some] + len(own) - both) >= self.threshold))
+        if len(near):
+            at = int(some[near[0]])
+            if both[near[0]] < self.sizes[at]:
+                now = self.bits[at] & bits
+                self.put(at, now, self.tokens_of(now))
+            return at
+        if self.n == len(self.bits):
+            self.bits, self.sizes = np.concatenate([self.bits, np.zeros_like(self.bits)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.n += 1
+        self.put(self.n - 1, bits, own)
+        return self.n - 1
+
+
+def _keyed(pages: DataFrame, exact: bool) -> DataFrame:
+    """Adds ``_key``, the layout that a page is clustered by.
 
     Clusters are greedy in order of ``seq`` within (site, shape): a page joins the first whose common tokens are
     similar enough, which then become the intersection. By default only distinct fingerprints (at their first ``seq``)
@@ -81,34 +127,53 @@ def assign_templates(pages: DataFrame, threshold: float = THRESHOLD, exact: bool
         changed = F.coalesce(F.lag("fingerprint").over(order) != F.col("fingerprint"), F.lit(True)).cast("int")
         pages = pages.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(order)).drop("_changed")
         key = F.concat_ws("/", span.cast("string"), F.col("_run").cast("string"))
-    pages = pages.withColumn("_key", F.when(F.size("fingerprint") > 0, key).otherwise(F.concat(F.lit("\2"), F.col("seq").cast("string")))).drop("_run")
-    few = pages.groupBy("site", "shape", F.col("_key").alias("key")).agg(F.min("seq").alias("seq"), F.first("fingerprint").alias("fingerprint"))
+    return pages.withColumn("_key", F.when(F.size("fingerprint") > 0, key).otherwise(F.concat(F.lit("\2"), F.col("seq").cast("string")))).drop("_run")
+
+
+def _placed(keyed: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """(site, shape, key, *by, pages, at, cluster, common, template_id): pages are counted by layout before they are clustered."""
+    counts = keyed.groupBy("site", "shape", F.col("_key").alias("key"), *by).agg(F.count("*").alias("pages"), F.min("seq").alias("at"), F.first("fingerprint").alias("fingerprint"))
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        own, common = greedy([(list(f), 0) for f in frame.fingerprint], threshold)
-        return pd.DataFrame({"site": frame.site, "shape": frame["shape"], "key": frame.key, "cluster": own, "common": [common[i] for i in own]})
+        layouts = frame.sort_values("at").drop_duplicates("key")
+        sets = [list(f) for f in layouts.fingerprint]
+        clusters = Clusters(threshold, sets)
+        own = dict(zip(layouts.key, [clusters.add(s) for s in sets], strict=True))
+        common = clusters.common()
+        frame = frame.assign(cluster=frame.key.map(own))
+        return frame.assign(common=[common[i] for i in frame.cluster])[names]
+
+    kinds = dict(counts.dtypes)
+    names = ["site", "shape", "key", *by, "pages", "at", "cluster", "common"]
+    empty, full = counts.where(F.size("fingerprint") == 0), counts.where(F.size("fingerprint") > 0)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names[:-2]) + ", cluster long, common array<string>"
+    alone = empty.withColumns({"cluster": (-1 - F.col("at")).cast("long"), "common": F.col("fingerprint")}).select(names)
+    return full.groupBy("site", "shape").applyInPandas(cluster, schema).unionByName(alone).withColumn("template_id", template_id(F.col("shape"), F.col("common")))
 
-    kinds = dict(pages.dtypes)
-    empty, full = few.where(F.size("fingerprint") == 0), few.where(F.size("fingerprint") > 0)
-    done = full.groupBy("site", "shape").applyInPandas(cluster, f"site {kinds['site']}, shape string, key string, cluster long, common array<string>")
-    alone = empty.select("site", "shape", "key", (-1 - F.col("seq")).cast("long").alias("cluster"), "fingerprint")
-    placed = done.union(alone).withColumn("template_id", template_id(F.col("shape"), F.col("common")))
-    return pages.join(placed.withColumnRenamed("key", "_key"), ["site", "shape", "_key"]).drop("_key")
+
+def assign_templates(pages: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """Adds the cluster's common tokens as ``common``, ``cluster`` and ``template_id`` to (site, shape, seq, fingerprint, ...)."""
+    keyed = _keyed(pages, exact)
+    placed = _placed(keyed, threshold, []).select("site", "shape", F.col("key").alias("_key"), "cluster", "common", "template_id")
+    return keyed.join(placed, ["site", "shape", "_key"]).drop("_key")
 
 
 def cluster_templates(pages: DataFrame, threshold: float = THRESHOLD, exact: bool = False, samples: int = 20) -> DataFrame:
     """Templates of (site, url, seq, shape, fingerprint, column): common tokens, first sample URLs, columns, pages.
 
-    Columns are in order of first page. The list of sample URLs holds the first ``samples``.
+    Columns are in order of first page. The list of sample URLs holds the first ``samples``; each task keeps the first
+    of a layout before any page is shuffled, so no task ranks all pages of a template.
     """
-    own = assign_templates(pages, threshold, exact)
-    key = ["site", "shape", "cluster", "template_id", "common"]
-    turn = F.row_number().over(Window.partitionBy("site", "shape", "cluster", "template_id").orderBy("seq"))
-    placed = own.withColumn("_turn", turn)
-    cols = placed.groupBy(*key, "column").agg(F.min("seq").alias("at")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "column"))), lambda x: x["column"]).alias("columns"))
-    urls = placed.groupBy(*key).agg(F.count("*").alias("page_count"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_turn") <= samples, F.struct("seq", "url")))), lambda x: x["url"]).alias("sample_urls"))
-    return urls.join(cols, key).select("site", "template_id", F.col("shape").alias("url_shape"), F.col("common").alias("fingerprint"), "sample_urls", "columns", "page_count")
+    keyed, key = _keyed(pages, exact), ["site", "shape", "cluster", "template_id", "common"]
+    placed = _placed(keyed, threshold, ["column"])
+    seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "column"))), lambda x: x["column"]))
+    counted = placed.groupBy(*key).agg(F.sum("pages").alias("page_count"), seen.alias("columns"))
+    turn = F.row_number().over(Window.partitionBy("site", "shape", "_key").orderBy("seq"))
+    few = keyed.select("site", "shape", "_key", "seq", "url").withColumn("_turn", turn).where(F.col("_turn") <= samples)
+    layouts = placed.select("site", "shape", F.col("key").alias("_key"), "cluster", "template_id").distinct()
+    first = F.slice(F.array_sort(F.collect_list(F.struct("seq", "url"))), 1, samples)
+    urls = few.join(layouts, ["site", "shape", "_key"]).groupBy("site", "shape", "cluster", "template_id").agg(F.transform(first, lambda x: x["url"]).alias("sample_urls"))
+    return counted.join(urls, ["site", "shape", "cluster", "template_id"]).select("site", "template_id", F.col("shape").alias("url_shape"), F.col("common").alias("fingerprint"), "sample_urls", "columns", "page_count")
 
 
 def template_columns(pages: DataFrame) -> DataFrame:

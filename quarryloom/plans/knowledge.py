@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, corpus, retrieval
+from ..operators import answers, corpus, retrieval, similarity
+from ..session import checkpoint_ready, shared_folder
 from ..sources import pages as sources
 from ..sources import stores
 from ..streaming import jobs
@@ -77,12 +78,7 @@ def _(spark, sf):
 
 def scratch(spark) -> str:
     """A new folder in the place that the cluster shares."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/quarryloom-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/quarryloom-{uuid.uuid4().hex}"
 
 
 @query("snk_version", "select doc_id, lang from documents where lang <> 'en'")
@@ -179,6 +175,25 @@ def _(spark, sf):
     return corpus.duplicate_groups(documents(spark, sf))
 
 
+#: all pairs of texts of near sizes, by the very shingles; classes by the least document that is reached
+NEAR = """
+own as (select doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) as body from documents where regexp_replace(text, '\\s+', '', 'g') <> ''),
+texts as (select min(doc_id) as id, body, list_distinct(list_transform(range(1, greatest(2, length(body) - 7)), lambda i: substr(body, i, 9))) as s from own group by body),
+links as (
+  select a, b from (
+    select a.id as a, b.id as b, len(a.s) as x, len(b.s) as y, len(list_intersect(a.s, b.s)) as c from texts a join texts b on a.id < b.id and len(a.s) >= 0.8 * len(b.s) and len(b.s) >= 0.8 * len(a.s)
+  ) where c >= 0.8 * (x + y - c)
+),
+ways as (select a, b from links union all select b, a from links),
+reach(id, class) as (select distinct a, a from ways union select b, class from reach join ways on a = id where class < b)"""
+
+
+@query("prof_near_duplicates", f"with recursive {NEAR} select doc_id, class, doc_id = id as stands from own join texts using (body) join (select id, min(class) as class from reach group by id) using (id)")
+def _(spark, sf):
+    checkpoint_ready(spark)
+    return similarity.near_duplicates(table(spark, sf, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "class", "stands")
+
+
 @query("prof_docnum", f"with {DOCS}, n as (select kb_id, regexp_extract_all(text, '{NUMBER}', 1) as f from docs), s as (select kb_id, list_sort(list_distinct(flatten(list(f))))[1:3] as samples from n group by kb_id) select kb_id, count(*) as docs, count(*) filter (len(f) > 0) as with_numbers, round(count(*) filter (len(f) > 0) / count(*), 6) as density, any_value(array_to_string(samples, ',')) as samples from n join s using (kb_id) group by kb_id")
 def _(spark, sf):
     return corpus.doc_number_density(documents(spark, sf)).select("kb_id", "docs", "with_numbers", F.round("density", 6).alias("density"), F.array_join("samples", ",").alias("samples"))

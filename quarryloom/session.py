@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,6 +33,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names; a session on one machine gets one of its own."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.match(r"local\b(?!-cluster)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+def checkpoint_ready(spark: SparkSession) -> None:
+    """checkpoint() writes to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def local_session(cores: int | str = 4, name: str = "quarryloom", **conf: str) -> SparkSession:
     """A session for scripts and tests on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
