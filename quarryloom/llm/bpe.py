@@ -9,35 +9,37 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import distinct_spans, key_hashes, span_keys
 
-#: fixed values: code points with the Unicode property White_Space
-WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 #: words longer than this many bytes are merged one by one with a heap
 LONG_WORD = 96
 #: distinct pre-tokens that a Python worker remembers
 REMEMBERED = 400_000
 NEVER, SLOT = np.int64(1) << 60, (1 << 19) - 1
-#: at most so many characters are classified at once (a table over all of Unicode)
+#: class of every code point, and the lower case of those below 0x300 (their canonical form is themselves)
 _TABLE: list[np.ndarray] = []
+_NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
 def char_classes() -> np.ndarray:
+    """Letter, number, white space or another, as the library's own expressions tell: its tables are of another age than Python's."""
     if not _TABLE:
-        kind = {"L": LETTER, "N": NUMBER}
-        t = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-        t[WHITE_SPACE] = BLANK
-        lower = np.arange(0x300, dtype=np.uint32)
-        for c in range(0x300):
-            low = chr(c).lower()
-            lower[c] = ord(low) if len(low) == 1 else c
-        _TABLE.extend((t, lower))
+        # planes beyond the third have neither letters nor numbers nor white space
+        points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x40000)])
+        everything = "".join(map(chr, points))
+        t = np.full(0x110000, OTHER, np.uint8)
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+            has = np.ones(len(points), bool)
+            for _, (i, j) in pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(everything):
+                has[i:j] = False
+            t[points[has]] = kind
+        _TABLE.extend((t, np.array([ord(_NORMAL.normalize_str(chr(c))[:1] or "\0") for c in range(0x300)], np.uint32)))
     return _TABLE[0]
 
 
@@ -74,15 +76,23 @@ def lead_bytes(raw: np.ndarray) -> np.ndarray:
 
 
 def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, first code point of each text) after NFC and lower case, character by character."""
+    """(code points, first code point of each text) after canonical composition and lower case, as the library does them.
+
+    Texts of characters below 0x300 alone (but for one that becomes two) are mapped by a table, others by the library.
+    """
     char_classes()
-    cp = to_code_points(raw.tobytes())
-    if not len(cp) or (cp.max() < 0x300 and not (cp == 0x130).any()):
-        return _TABLE[1][cp], np.searchsorted(lead_bytes(raw), off)
-    data = raw.tobytes()
-    texts = [unicodedata.normalize("NFC", data[a:b].decode()).replace("Σ", "σ").lower() for a, b in zip(off[:-1], off[1:], strict=True)]
-    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), first
+    cp, first = to_code_points(raw.tobytes()), np.searchsorted(lead_bytes(raw), off)
+    rare = np.flatnonzero((cp >= 0x300) | (cp == 0x130))
+    low = _TABLE[1][np.minimum(cp, 0x2FF)]
+    if not len(rare):
+        return low, first
+    parts, at, data = [], 0, raw.tobytes()
+    sizes = np.diff(first)
+    for i in np.unique(np.searchsorted(first, rare, "right") - 1):
+        own = np.frombuffer(_NORMAL.normalize_str(data[off[i] : off[i + 1]].decode()).encode("utf-32-le"), np.uint32)
+        parts += [low[at : first[i]], own]
+        at, sizes[i] = first[i + 1], len(own)
+    return np.concatenate([*parts, low[at:]]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def contractions(cp: np.ndarray, kinds: np.ndarray, brk: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:

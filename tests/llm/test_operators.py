@@ -19,6 +19,7 @@ from quarryloom.llm import op7_language_id as language
 from quarryloom.llm import op8_media_columns as media
 from quarryloom.llm import op9_bpe_codec as codec
 from quarryloom.llm import op10_main_text as pages
+from quarryloom.llm import bpe
 from quarryloom.llm.bpe import VectorBPE, encode_slice
 from quarryloom.llm.common import buffer_of, slices
 
@@ -53,6 +54,23 @@ def test_bpe_equals_the_library(path):
     assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@pytest.mark.parametrize("form", ["a{}", "e{}\u0301", "{0}\u0345{0}b1"])
+def test_every_code_point_is_read_as_the_library_reads_it(path, form):
+    model, lib = VectorBPE.compile(path), Tokenizer.from_file(path)
+    texts = [form.format(chr(c)) for c in [*range(0xD800), *range(0xE000, 0x32400), *range(0x32400, 0x110000, 997)]]
+    raw, off = buffer_of(pa.array(texts))
+    got = []
+    for i, j in slices(off):
+        own, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        ids, first = encode_slice(model, own, at)
+        got += [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+        if path == WORDS:
+            assert tokens.cut_by_states(own, at).starts.tolist() == bpe.cut(own, at, False).starts.tolist()
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_token_counts_and_codec(spark):
     docs, lib = frame(spark, ODD), Tokenizer.from_file(WORDS)
     want = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(ODD)}
