@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import extract_doc_numbers
+from ..session import checkpoint_ready
 
 K1, B = 1.5, 0.75
 TOP_K, CANDIDATE_K, THRESHOLD, WEIGHT = 5, 20, 0.3, 0.5
@@ -34,49 +35,70 @@ def tokenize(c: Column) -> Column:
     return F.concat(plain, pairs, F.transform(extract_doc_numbers(c), F.lower))
 
 
-def terms_of(queries: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
-    """(query_id, kb_id, term): the distinct terms of (query_id, kb_id, text)."""
-    return queries.select("query_id", "kb_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
-
-
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a DataFrame that is counted first; beyond ``rows`` Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def build_bm25(chunks: DataFrame, tokens: Callable[[Column], Column] = words, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings (kb_id, chunk_id, term, tf, chunk_len, df), stats (kb_id, chunks, avg_len)) of (kb_id, chunk_id, text).
+def term_counts(chunks: DataFrame, tokens: Callable[[Column], Column] = words, wanted: DataFrame | None = None) -> DataFrame:
+    """(kb_id, chunk_id, chunk_len, term, tf, whole) of (kb_id, chunk_id, text): texts are tokenised once.
 
-    With ``asked`` (kb_id, term) only postings of those terms are made; all others go before any shuffle. Texts are
-    tokenised once: a chunk's empty term carries its length to the statistics, out of the same exchange.
+    A chunk's empty term (whole = 1) carries its length to the statistics, out of the same exchange. With ``wanted``
+    (term, and kb_id if it asks by kb) all other terms go before any shuffle.
     """
     own = chunks.select("kb_id", "chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
     each = own.select("kb_id", "chunk_id", F.size("t").alias("chunk_len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
-    if asked is not None:
-        wanted = asked.select("kb_id", "term").union(asked.select("kb_id", F.lit(""))).distinct()
-        each = each.join(if_small(wanted), ["kb_id", "term"], "left_semi")
-    # the filters below are on sums, so that Spark keeps them above the exchange, which all three then read
-    tf = each.groupBy("kb_id", "chunk_id", "chunk_len", "term").agg(F.count("*").alias("tf"), F.max(F.when(F.col("term") == "", 1).otherwise(0)).alias("whole"))
+    if wanted is not None:
+        keys = [c for c in ("kb_id", "term") if c in wanted.columns]
+        named = wanted.select(*(F.col(c).alias(f"_{c}") for c in keys), F.lit(True).alias("_asked")).distinct()
+        met = each.join(if_small(named), [each[c] == named[f"_{c}"] for c in keys], "left")
+        each = met.where("_asked or term = ''").drop("_asked", *(f"_{c}" for c in keys))
+    whole = F.max(F.when(F.col("term") == "", 1).otherwise(0)).alias("whole")
+    return each.groupBy("kb_id", "chunk_id", "chunk_len", "term").agg(F.count("*").alias("tf"), whole)
+
+
+def from_counts(tf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings (kb_id, chunk_id, term, tf, chunk_len, df), stats (kb_id, chunks, avg_len))."""
+    # filters and counts are on sums, so that Spark keeps them above the exchange, which all three then read
     stats = tf.where("whole = 1").groupBy("kb_id").agg(F.count_if(F.col("tf") > 0).alias("chunks"), F.avg("chunk_len").alias("avg_len"))
-    postings = tf.where("whole = 0").drop("whole")
     df = tf.where("whole = 0").groupBy("kb_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    return postings.join(df, ["kb_id", "term"]), stats
+    return tf.where("whole = 0").drop("whole").join(df, ["kb_id", "term"]), stats
+
+
+def build_bm25(chunks: DataFrame, tokens: Callable[[Column], Column] = words) -> tuple[DataFrame, DataFrame]:
+    """All postings and statistics of (kb_id, chunk_id, text)."""
+    return from_counts(term_counts(chunks, tokens))
 
 
-def bm25_search(queries: DataFrame, postings: DataFrame, stats: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
-    """(query_id, kb_id, chunk_id, score) of every chunk that holds a term of (query_id, kb_id, text).
+def terms_of(queries: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """The distinct terms of (query_id, text), with kb_id if the queries have one."""
+    own = [c for c in ("query_id", "kb_id") if c in queries.columns]
+    return queries.select(*own, F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+
+
+def bm25_search(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, kb_id, chunk_id, score) of every chunk that holds a term of (query_id, term).
 
-    Each distinct term counts once a query. Postings meet queries on (kb_id, term); a frequent term is split by AQE.
+    Each distinct term counts once a query. Terms with a kb_id are asked of that one, others of all. Postings meet the
+    terms by (kb_id, term) or term; a frequent term is split by AQE.
     """
-    hit = postings.join(if_small(terms_of(queries, tokens)), ["kb_id", "term"]).join(if_small(stats), "kb_id")
+    keys = [c for c in ("kb_id", "term") if c in terms.columns]
+    hit = postings.join(if_small(terms), keys).join(if_small(stats), "kb_id")
     idf = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chunk_len") / F.col("avg_len")))
     return hit.groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(idf * weight).alias("score"))
 
 
 def search_bm25(queries: DataFrame, chunks: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
-    """The same from (query_id, kb_id, text) and (kb_id, chunk_id, text), without postings that nobody asks for."""
-    return bm25_search(queries, *build_bm25(chunks, tokens, terms_of(queries, tokens)), tokens)
+    """The same from (query_id, text), with kb_id or for all kbs, and (kb_id, chunk_id, text).
+
+    The terms that are asked and the counts of these terms are written (checkpointed) once each: the texts are read and
+    tokenised in one pass, and no posting is made that nobody asks for.
+    """
+    checkpoint_ready(queries.sparkSession)
+    terms = terms_of(queries, tokens).checkpoint()
+    tf = term_counts(chunks, tokens, terms.drop("query_id")).checkpoint()
+    return bm25_search(terms, *from_counts(tf))
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 4096, within: str | None = None) -> DataFrame:

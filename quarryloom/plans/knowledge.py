@@ -235,15 +235,11 @@ def chunks(spark, sf):
     return table(spark, sf, "documents").select(F.col("lang").alias("kb_id"), F.col("doc_id").alias("chunk_id"), "text")
 
 
-def asked_of(spark, sf, c):
-    """Every benchmark row, asked of every kb."""
-    kbs = c.select("kb_id").where("kb_id is not null").distinct()
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(F.broadcast(kbs), F.lit(True)).select("query_id", "kb_id", "text")
-
-
 def keyword(spark, sf):
-    c = chunks(spark, sf)
-    own = retrieval.search_bm25(asked_of(spark, sf, c), c).withColumn("score", F.round("score", 9))
+    """Every benchmark row, asked of every kb."""
+    c = chunks(spark, sf).where("kb_id is not null")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    own = retrieval.search_bm25(asked, c).withColumn("score", F.round("score", 9))
     return retrieval.top_k(own, per=("query_id", "kb_id")).select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
 

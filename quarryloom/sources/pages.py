@@ -73,31 +73,41 @@ def read_sitemaps(texts: DataFrame) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """Files below a folder: (path relative to it, bytes, modified, content). An unreadable root is Spark's error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/").rpartition("://")[2]) + "/", "")
-    files = files.select(path.alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "content")
+    """Files below a folder: (path relative to it, bytes, modified, content). An unreadable root is Spark's error.
+
+    The rules are put to a listing without contents first; only files that they want are then opened. (Spark has the
+    names of all files below the folder on the driver in any case.) Of no file that is wanted no rows.
+    """
+    at = "^.*?" + re.escape(root.rstrip("/").rpartition("://")[2]) + "/"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = F.regexp_replace(F.col("path"), at, "")
+    wanted = listed.select("path", path.alias("short"))
     for p in include or []:
-        files = files.where(F.col("path").rlike(p))
+        wanted = wanted.where(F.col("short").rlike(p))
     for p in exclude or []:
-        files = files.where(~F.col("path").rlike(p))
-    return files
+        wanted = wanted.where(~F.col("short").rlike(p))
+    paths = [r.path for r in wanted.select("path").collect()] if include or exclude else [root]
+    # brackets and such in a name are no pattern
+    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths] if include or exclude else paths
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(plain) if paths else listed.limit(0)
+    return files.select(path.alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "content")
 
 
 def sniff_type(content: Column) -> Column:
-    """File type by content, ``unsupported`` if none fits."""
+    """File type by content, ``unsupported`` if none fits. Names inside an archive are looked for as bytes, in place."""
     head = F.hex(F.substring(content, 1, 8))
     text = F.lower(F.substring(content, 1, 1024).cast("string"))
-    inside = lambda name: F.instr(F.hex(content), F.hex(F.lit(name))) > 0
+    holds = lambda some: F.contains(content, F.lit(some))
+    archive = head.startswith("504B0304")
     return (
         F.when(head.startswith("25504446"), "pdf")
         .when(head.startswith("D0CF11E0A1B11AE1"), "ole")
-        .when(head.startswith("504B0304") & inside("word/"), "docx")
-        .when(head.startswith("504B0304") & inside("xl/"), "xlsx")
-        .when(head.startswith("504B0304") & inside("ppt/"), "pptx")
+        .when(archive & holds(b"word/"), "docx")
+        .when(archive & holds(b"xl/"), "xlsx")
+        .when(archive & holds(b"ppt/"), "pptx")
         .when(text.rlike(r"<!doctype html|<html"), "html")
         .when(text.startswith("{") | text.startswith("["), "json")
-        .when((F.length(content) > 0) & ~F.hex(content).rlike("^(..)*?00"), "text")
+        .when((F.length(content) > 0) & ~holds(b"\0"), "text")
         .otherwise("unsupported")
     )
 

@@ -1,10 +1,11 @@
-"""Stores: versioned tables behind a pointer, one store per knowledge base, drafts that never overwrite.
+"""Stores: versioned tables behind a log of snapshots, one store per knowledge base, drafts that never overwrite.
 
 All paths go through Hadoop's file system, so they may be on any store that Spark knows.
 """
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,29 +18,77 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def publish_version(df: DataFrame, root: str, version: str) -> tuple[int, str]:
-    """Writes a version to its own folder, checks it, then moves the pointer; a failure leaves the pointer as it is.
+class Conflict(Exception):
+    """Another writer has published since the snapshot that this one builds on."""
 
-    Returns (rows, version). Earlier versions stay.
+
+def _entry(root: str, number: int) -> str:
+    return f"{root}/_log/{number:020d}"
+
+
+def _told(spark: SparkSession, root: str, number: int) -> tuple[str, int] | None:
+    """(version, rows) of a log entry; None if there is none, or if its writer has not finished it."""
+    fs, path = _fs(spark, root)
+    if not fs.exists(path(_entry(root, number))):
+        return None
+    lines = [r.value for r in spark.read.text(_entry(root, number)).collect()]
+    version, _, rows = lines[0].partition("\t") if lines else ("", "", "")
+    rows, ended, _ = rows.partition(";")
+    return (version, int(rows)) if ended else None
+
+
+def last_snapshot(spark: SparkSession, root: str) -> int:
+    """The number of the newest finished snapshot; 0 before the first."""
+    fs, path = _fs(spark, root)
+    if not fs.exists(path(f"{root}/_log")):
+        return 0
+    numbers = sorted((int(s.getPath().getName()) for s in fs.listStatus(path(f"{root}/_log")) if s.getPath().getName().isdigit()), reverse=True)
+    return next((n for n in numbers if _told(spark, root, n)), 0)
+
+
+def publish_version(df: DataFrame, root: str, version: str, after: int | None = None) -> tuple[int, str]:
+    """Writes a version to its own folder, checks it, then appends it to the log; returns (rows, version).
+
+    The log has a file a snapshot, numbered without gaps. A number is taken by creating its file, which fails if it is
+    there: of two writers one gets it. With ``after`` (the snapshot that the version builds on) the other one gets
+    Conflict; without, it takes the next number. Nothing is moved or deleted, so readers always find a whole snapshot,
+    and a failure before the last step leaves the log as it is. Earlier versions stay.
     """
     spark = df.sparkSession
+    if after is not None and last_snapshot(spark, root) != after:
+        raise Conflict(f"snapshot {after} is not the newest")
     df.write.mode("errorifexists").parquet(f"{root}/versions/{version}")
     rows = spark.read.parquet(f"{root}/versions/{version}").count()
     if not rows:
         raise ValueError(f"version {version} is empty; the current one stays")
     fs, path = _fs(spark, root)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root}/next")
-    if fs.exists(path(f"{root}/current")):
-        fs.delete(path(f"{root}/previous"), True)
-        fs.rename(path(f"{root}/current"), path(f"{root}/previous"))
-    fs.rename(path(f"{root}/next"), path(f"{root}/current"))
-    return rows, version
+    fs.mkdirs(path(f"{root}/_log"))
+    number = (last_snapshot(spark, root) if after is None else after) + 1
+    while True:
+        try:
+            out = fs.create(path(_entry(root, number)), False)
+        except Py4JJavaError as e:
+            if not fs.exists(path(_entry(root, number))):
+                raise
+            if after is not None:
+                raise Conflict(f"snapshot {number} has been taken") from e
+            number += 1
+            continue
+        out.write(bytearray(f"{version}\t{rows};\n".encode()))
+        out.close()
+        return rows, version
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    fs, path = _fs(spark, root)
-    at = "current" if fs.exists(path(f"{root}/current")) else "previous"  # between the two renames
-    return spark.read.text(f"{root}/{at}").first().value
+    return _told(spark, root, last_snapshot(spark, root))[0]
+
+
+def read_snapshot(spark: SparkSession, root: str, number: int) -> DataFrame:
+    """A snapshot by its number, also an earlier one."""
+    told = _told(spark, root, number)
+    if told is None:
+        raise ValueError(f"no snapshot {number}")
+    return spark.read.parquet(f"{root}/versions/{told[0]}")
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:

@@ -115,10 +115,32 @@ def test_versions_and_ids(spark, tmp_path):
     assert stores.list_kbs(spark, kb) == ["a", "b"] and stores.read_kb(spark, kb, "a").first().x == 2
 
 
+def test_two_writers_and_readers_of_versions(spark, tmp_path):
+    root = str(tmp_path / "log")
+    stores.publish_version(spark.range(1), root, "a")
+    seen = stores.last_snapshot(spark, root)
+    stores.publish_version(spark.range(2), root, "b", after=seen)
+    with pytest.raises(stores.Conflict):
+        stores.publish_version(spark.range(9), root, "late", after=seen)
+    stores.publish_version(spark.range(3), root, "c")  # whoever comes without a base takes the next number
+    assert [stores.read_snapshot(spark, root, n).count() for n in (1, 2, 3)] == [1, 2, 3] and stores.last_snapshot(spark, root) == 3
+    # a writer that has taken a number and not yet told what it is
+    (tmp_path / "log" / "_log" / f"{4:020d}").write_text("half")
+    assert stores.current_version(spark, root) == "c" and stores.read_current(spark, root).count() == 3
+    stores.publish_version(spark.range(5), root, "d")
+    assert stores.last_snapshot(spark, root) == 5 and stores.read_current(spark, root).count() == 5
+    with pytest.raises(ValueError):
+        stores.read_snapshot(spark, root, 4)
+
+
 def test_numbers_stay_whole_in_keyword_search(spark):
     chunks = spark.createDataFrame([("k", 1, "依据闽教学〔2024〕15号 办理"), ("k", 2, "闽教 2024 15 学"), ("k", 3, "其他"), ("o", 4, "闽教学〔2024〕15号")], "kb_id string, chunk_id int, text string")
     q = spark.createDataFrame([(1, "k", "闽教学〔2024〕15号"), (2, "k", "闽教")], "query_id int, kb_id string, text string")
-    got = retrieval.bm25_search(q, *retrieval.build_bm25(chunks, retrieval.tokenize), retrieval.tokenize)
+    got = retrieval.bm25_search(retrieval.terms_of(q, retrieval.tokenize), *retrieval.build_bm25(chunks, retrieval.tokenize))
+    one_pass = retrieval.search_bm25(q, chunks, retrieval.tokenize)
+    assert sorted(map(tuple, got.withColumn("score", F.round("score", 9)).collect())) == sorted(map(tuple, one_pass.select(got.columns).withColumn("score", F.round("score", 9)).collect()))
+    everywhere = retrieval.search_bm25(q.drop("kb_id"), chunks, retrieval.tokenize)
+    assert {(r.query_id, r.kb_id, r.chunk_id) for r in everywhere.collect()} == {(1, "k", 1), (1, "k", 2), (1, "o", 4), (2, "k", 1), (2, "k", 2), (2, "o", 4)}
     assert [r.chunk_id for r in got.where("query_id = 1").orderBy(F.desc("score")).collect()][0] == 1
     assert {r.chunk_id for r in got.where("query_id = 2").collect()} == {1, 2}
 

@@ -202,6 +202,14 @@ def test_folders_and_kinds_of_files(spark, tmp_path):
     for name, content in {"a.pdf": b"%PDF-1.4 x", "deep/b.html": b"<!DOCTYPE html><p>x", "deep/c.txt": b"plain", "skip.tmp": b"x"}.items():
         (tmp_path / name).write_bytes(content)
     files = sources.read_folder(spark, str(tmp_path), include=[r"\.(pdf|html|txt|tmp)$"], exclude=[r"\.tmp$"])
+    (tmp_path / "odd [1]*.pdf").write_bytes(b"%PDF-1.4")
+    assert [r.path for r in sources.read_folder(spark, str(tmp_path), include=["odd"]).collect()] == ["odd [1]*.pdf"]
+    assert sources.read_folder(spark, str(tmp_path), include=["nothing"]).collect() == []
+    (tmp_path / "skip.tmp").chmod(0)  # what the rules leave out is never opened
+    files = sources.read_folder(spark, str(tmp_path), include=[r"\.(pdf|html|txt|tmp)$"], exclude=[r"\.tmp$", "odd"])
+    assert "skip.tmp" not in "".join(files.inputFiles())
+    kinds = spark.createDataFrame([(b"PK\x03\x04..word/x", ), (b"PK\x03\x04\x07xl/", ), (b"PK\x03\x04w\x06\xf7&B", ), (b"a\0b", )], "content binary")
+    assert [r[0] for r in kinds.select(sources.sniff_type(F.col("content"))).collect()] == ["docx", "xlsx", "text", "unsupported"]
     got = {r.path: (r.bytes, r.kind) for r in files.select("path", "bytes", sources.sniff_type(F.col("content")).alias("kind")).collect()}
     assert got == {"a.pdf": (10, "pdf"), "deep/b.html": (19, "html"), "deep/c.txt": (5, "text")}
 
