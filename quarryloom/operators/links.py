@@ -82,6 +82,18 @@ def next_frontier(links: DataFrame, fetched: DataFrame, allowed: DataFrame, scop
     return new if scope is None else new.join(scope.select("site", "shape").distinct(), ["site", "shape"], "left_semi")
 
 
+def remember(targets: DataFrame, seen: str, buckets: int, path: str | None = None) -> None:
+    """Adds URLs to the table ``seen``, which is kept in buckets of ``target`` (new ones only, if the caller's frontier is).
+
+    A frontier against ``spark.table(seen)`` deals its links to these buckets; the seen side, which holds all that was
+    ever fetched, is read bucket by bucket and never shuffled, as long as there are no fewer ``buckets`` than
+    spark.sql.shuffle.partitions (else Spark prefers to deal both sides anew). A wave appends a file a bucket at most for each of its
+    tasks, so it comes dealt by the same key.
+    """
+    writer = targets.select("target").where("target is not null").distinct().repartition(buckets, "target").write.mode("append").format("parquet").bucketBy(buckets, "target").sortBy("target")
+    (writer.option("path", path) if path else writer).saveAsTable(seen)
+
+
 def in_scope(pages: DataFrame, columns: DataFrame, templates: DataFrame, version: str | None = None, current: str | None = None) -> DataFrame:
     """Pages of selected columns and selected templates. A selection of another structure version must be confirmed."""
     if version != current:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import numbers, text, urls
 from ..operators import columns, crawl, dom, links, robots, rules, templates
 from ..operators.selectors import element_selectors
 from ..sources import pages as sources
+from ..session import shared_folder
 from .catalog import query, table
 
 ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
@@ -284,13 +287,27 @@ def _(spark, sf):
     return links.column_candidates(own).select(F.col("site").alias("page_id"), "target")
 
 
-@query("crawl_frontier", f"with {LINKS}, {SITE_PAGES}, fetched as (select url as target from pages union all select target from links where page_id % 3 = 0), good as (select target from links where not regexp_matches(target, '/[A-Z]')) select distinct {ORIGIN} as site, target from links where target not in (select target from fetched) and target in (select target from good)")
+FRONTIER = f"with {LINKS}, {SITE_PAGES}, fetched as (select url as target from pages union all select target from links where page_id % 3 = 0), good as (select target from links where not regexp_matches(target, '/[A-Z]')) select distinct {ORIGIN} as site, target from links where target not in (select target from fetched) and target in (select target from good)"
+
+
+@query("crawl_frontier", FRONTIER)
 def _(spark, sf):
     own = page_links(spark, sf).withColumn("site", urls.origin_of(F.col("url")))
     fetched = table(spark, sf, "pages").select(F.col("url").alias("target")).union(own.where("page_id % 3 = 0").select("target"))
     return links.next_frontier(own, fetched, own.where(~F.col("target").rlike("/[A-Z]"))).select("site", "target")
 
 
+@query("crawl_frontier_waves", FRONTIER)
+def _(spark, sf):
+    """The same against a table of seen URLs in buckets, to which two waves have been added."""
+    seen = f"seen_{uuid.uuid4().hex}"
+    own = page_links(spark, sf).withColumn("site", urls.origin_of(F.col("url")))
+    where, buckets = f"{shared_folder(spark).rstrip('/')}/{seen}", max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    links.remember(table(spark, sf, "pages").select(F.col("url").alias("target")), seen, buckets, where)
+    links.remember(own.where("page_id % 3 = 0").join(spark.table(seen), "target", "left_anti"), seen, buckets)
+    return links.next_frontier(own, spark.table(seen), own.where(~F.col("target").rlike("/[A-Z]"))).select("site", "target")
+
+
 @query("crawl_frontier_paging", f"with {PAGED}, l as (select {ORIGIN} as site, {ORIGIN} || left({PATH.format('url')}, length({PATH.format('url')}) - length(string_split({PATH.format('url')}, '/')[-1])) || 'list' || p || '.htm' as target, p from pages join paged using (page_id), lateral (select unnest([2, last]) as p)) select distinct site, target from l where p <= 20 and target not in (select url from pages)")
 def _(spark, sf):
     """Further pages of lists, up to the twentieth of a list."""

@@ -59,6 +59,23 @@ def test_rules_are_found_by_what_they_begin_with(spark):
     assert "NestedLoop" not in plan._jdf.queryExecution().toString()
 
 
+def test_the_seen_side_of_a_frontier_is_not_shuffled(spark, tmp_path):
+    found = spark.createDataFrame([("s", f"http://a/{i}") for i in range(50)] * 2 + [("s", None)], "site string, target string")
+    links.remember(found.where("target < 'http://a/3'"), "seen_by_test", 16, str(tmp_path / "seen"))
+    links.remember(spark.createDataFrame([("http://a/7",), ("http://a/7",)], "target string"), "seen_by_test", 16)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        seen = spark.table("seen_by_test")
+        plan = found.select("target").join(seen, "target", "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(target") == 1 and "Bucketed: true" in plan
+        got = links.next_frontier(found, seen, found)
+        assert sorted(r.target for r in got.collect()) == sorted(f"http://a/{i}" for i in range(50) if f"http://a/{i}" >= "http://a/3" and i != 7)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("drop table seen_by_test")
+
+
 def test_schedule_equals_the_recurrence(spark):
     at = [0.0, 0.0, 1.0, 9.0, 9.5, 30.0]
     rows = robots.schedule_requests(spark.createDataFrame([("o", t, i) for i, t in enumerate(at)], "origin string, at double, seq int"), 2.0).orderBy("seq").collect()
