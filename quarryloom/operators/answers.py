@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_QUESTION = 4000
@@ -31,7 +31,9 @@ def assemble_answers(questions: DataFrame, hits: DataFrame, used: DataFrame, ind
     sources = cited.groupBy("question_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "source"))), lambda x: F.concat_ws(" | ", x["title"], x["source"]))).alias("sources"))
     out = questions.select("question_id", "kb_id").join(indexed.select("kb_id", F.lit(True).alias("_indexed")).distinct(), "kb_id", "left").join(sources, "question_id", "left").join(answer_attachments(cited), "question_id", "left")
     if near is not None:
-        shown = near.groupBy("question_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "source"))), 1, 3), lambda x: x["source"]).alias("nearest"))
+        turn = F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "source"))
+        few = near.select("question_id", "rank", "source").withColumn("_turn", turn).where("_turn <= 3")
+        shown = few.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_turn", "source"))), lambda x: x["source"]).alias("nearest"))
         out = out.join(shown, "question_id", "left")
     else:
         out = out.withColumn("nearest", F.lit(None).cast("array<string>"))

@@ -13,11 +13,10 @@ from pyspark.sql import types as T
 
 from ..functions.text import extract_doc_numbers
 from ..session import checkpoint_ready
+from .small import if_small
 
 K1, B = 1.5, 0.75
 TOP_K, CANDIDATE_K, THRESHOLD, WEIGHT = 5, 20, 0.3, 0.5
-#: rows of (query, kb, term), or (kb, term), that are broadcast at most
-BROADCAST_ROWS = 200_000
 WORD = r"([\p{L}\p{Nd}]+)"
 CJK = r"[㐀-䶿一-鿿]"
 
@@ -35,11 +34,6 @@ def tokenize(c: Column) -> Column:
     return F.concat(plain, pairs, F.transform(extract_doc_numbers(c), F.lower))
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a DataFrame that is counted first; beyond ``rows`` Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def term_counts(chunks: DataFrame, tokens: Callable[[Column], Column] = words, wanted: DataFrame | None = None) -> DataFrame:
     """(kb_id, chunk_id, chunk_len, term, tf, whole) of (kb_id, chunk_id, text): texts are tokenised once.
 
@@ -189,7 +183,10 @@ def rerank(hits: DataFrame, scores: DataFrame, k: int = TOP_K) -> DataFrame:
 def reachability(questions: DataFrame, hits: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(question_id, outcome, best_score, best_chunk, nearest): hit, low_score or no_candidate; without questions one
     row with outcome not_run."""
-    own = hits.groupBy("query_id").agg(F.max("score").alias("best_score"), F.min_by("chunk_id", F.struct(-F.col("score"), F.col("chunk_id"))).alias("best_chunk"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_id"))), lambda x: x["chunk_id"]), 1, 3).alias("nearest"))
+    # the three best are chosen before anything is gathered
+    first = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score")))
+    own = top_k(hits.select("query_id", "chunk_id", "score"), 3).groupBy("query_id").agg(first.alias("first"))
+    own = own.select("query_id", F.col("first")[0]["score"].alias("best_score"), F.col("first")[0]["chunk_id"].alias("best_chunk"), F.transform("first", lambda x: x["chunk_id"]).alias("nearest"))
     outcome = F.when(F.col("best_score").isNull(), "no_candidate").when(F.col("best_score") < threshold, "low_score").otherwise("hit")
     out = questions.select(F.col("query_id")).join(own, "query_id", "left").select(F.col("query_id").alias("question_id"), outcome.alias("outcome"), "best_score", "best_chunk", F.coalesce("nearest", F.array().cast(f"array<{dict(hits.dtypes)['chunk_id']}>")).alias("nearest"))
     spark = questions.sparkSession

@@ -186,6 +186,15 @@ def _(spark, sf):
     return element_selectors(n.withColumn("classes", two).drop("nth"), ["page_id"]).select("page_id", F.col("pos").cast("long").alias("pos"), "selector")
 
 
+@query("dom_noise_elements", f"with recursive {ELEMENTS} select page_id, pos, tag in ('nav', 'ul', 'li', 'a') or tag = 'footer' and page_id % 2 = 0 as noise from placed")
+def _(spark, sf):
+    """Noise is inherited: of pages whose navigation has a telling class, and every second one's footer a telling id."""
+    html = F.replace("html", F.lit("<nav>"), F.lit("<nav class='Main-MENU'>"))
+    html = F.when(F.col("page_id") % 2 == 0, F.replace(html, F.lit("<footer>"), F.lit("<footer id='CopyRight-line'>"))).otherwise(html)
+    own = dom.explode_elements(table(spark, sf, "pages").withColumn("html", html), ["page_id"])
+    return own.select("page_id", F.col("pos").cast("long").alias("pos"), "noise")
+
+
 def paged(spark, sf):
     """The pages with a pager behind their article that tells a number of entries and links to further pages."""
     n = F.length("url")
@@ -235,6 +244,21 @@ def _(spark, sf):
     return dom.extract_fields(p, own, ["page_id"]).select("page_id", "title", "date")
 
 
+DRESS = "replace(html, '</h1>', '</h1><span class=''when''>发布：2024-' || lpad((page_id % 12 + 1)::varchar, 2, '0') || '-07</span> <em class=''unit''>第' || page_id || '教务处</em> <a href=''/f/' || page_id || '.PDF?v=2''>x</a><a href=''/f/b.docx''>y</a><a href=''/f/b.docx''>again</a>')"
+
+
+@query("html_extract_fields", f"with d as (select page_id, {ORIGIN} as origin, {DRESS} as html from pages) select page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) as title, '发布：2024-' || lpad((page_id % 12 + 1)::varchar, 2, '0') || '-07' as date, '第' || page_id || '教务处' as department, sha256({FLAT.format(INSIDE)}) as body, origin || '/f/' || page_id || '.PDF?v=2,' || origin || '/f/b.docx' as attachments, 'none' as unknown from d union all select page_id, null, null, null, null, '', 'body,title,date,department' from d where page_id % 5 = 0")
+def _(spark, sf):
+    """All five fields by a template's rules; a fifth of the pages is of a template whose rules hit nothing as well."""
+    when = F.concat(F.lit("</h1><span class='when'>发布：2024-"), F.lpad((F.col("page_id") % 12 + 1).cast("string"), 2, "0"), F.lit("-07</span> <em class='unit'>第"), F.col("page_id").cast("string"), F.lit("教务处</em> <a href='/f/"), F.col("page_id").cast("string"), F.lit(".PDF?v=2'>x</a><a href='/f/b.docx'>y</a><a href='/f/b.docx'>again</a>"))
+    p = table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("</h1>"), when))
+    p = p.withColumn("template_id", F.lit("all")).unionByName(p.where("page_id % 5 = 0").withColumn("template_id", F.lit("none")))
+    rule = F.when(F.col("template_id") == "all", F.create_map(*[F.lit(x) for pair in {"title": "h1", "date": "span.when", "department": "em.unit", "body": "article", "attachment": "a"}.items() for x in pair])).otherwise(F.create_map(F.lit("title"), F.lit("h1.none"), F.lit("body"), F.lit("section")))
+    own = dom.extract_fields(p, p.select("template_id").distinct().withColumn("rules", rule), ["page_id"])
+    unknown = F.when(F.size("unknown") == 0, "none").otherwise(F.array_join("unknown", ","))
+    return own.select("page_id", "title", "date", "department", F.sha2("body", 256).alias("body"), F.array_join("attachments", ",").alias("attachments"), unknown.alias("unknown"))
+
+
 @query("html_nav", f"with {LINKS}, a as (select page_id, url, unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1)) as name, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">[^<]*</a></li>', 1)) as href from pages) select page_id, {ORIGIN} || href as target, name, 0 as depth, count(*) as n from a group by all")
 def _(spark, sf):
     # the test pages' navigation has neither class nor id, so it gets one
