@@ -2,13 +2,13 @@
 
 A page is read as text blocks, each with its root-to-leaf tag path. For each path the page's text length and
 punctuation are added up and set against the number of its blocks. Both ratios are smoothed over the paths in page
-order, a neighbour counting the more the longer the part of the path that is common, and fused by multiplication; the
-blocks of paths above a threshold are content. The smallest element around most of the content (weighted by text) is
+order, a neighbour counting the more the longer the part of the path that is common, and fused by multiplication with
+each other and with a prior of the path; the blocks of paths above a threshold are content. The smallest element around most of the content (weighted by text) is
 the article; what stands between the content nodes in it, such as headings and short lists, belongs to it as well.
 Content outside it is kept if it is in no article or main element, with the headings right before it.
 
-A prior (which can be switched off) takes subtrees out before: those whose tag, class, id or role names a menu, header,
-footer, sidebar, notice, advert, form or comment by a whole word; but classes and ids of an article or main element, or
+The prior (which can be switched off) is nought for paths in subtrees whose tag, class, id or role names a menu, header,
+footer, sidebar, notice, advert, form or comment by a whole word, else one; but classes and ids of an article or main element, or
 of one that holds most of the page's text, don't count. Scripts, styles and what is hidden are never text.
 
 Time and memory grow in proportion to a page, also for deeply nested, cut off or hostile ones; pages are read whole.
@@ -73,7 +73,8 @@ class Node:
     parent: Node | None
     path: int  # the number of its tag path on this page
     depth: int
-    apart: bool  # it or something around it is no main text for sure
+    hidden: bool  # it or something around it is never shown
+    apart: bool  # it or something around it is no main text by its name
     named: bool  # apart by its own class or id, unless it holds most of the page
     under_named: bool  # it or something around it is named
     inside: bool  # in an article or main element
@@ -86,26 +87,24 @@ class Node:
 class Block:
     node: Node
     text: str
+    apart: bool = False  # the prior of its path is nought
 
 
-def is_apart(tag: str, attributes: str, inside: bool, prior: bool) -> tuple[bool, bool]:
-    """Whether an element is set apart for sure, and whether the class or id of a block does so."""
-    if prior and (tag in APART or tag == "header" and not inside):
-        return True, False
-    named = False
+def is_apart(tag: str, attributes: str, inside: bool, prior: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, is set apart for sure, and whether the class or id of a block sets it apart."""
+    apart, named = prior and (tag in APART or tag == "header" and not inside), False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True, False
+            return True, apart, False
         if prior and name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
             value = HAS.sub(" ", value)
             found = set(re.split(r"[^a-z0-9]+", value.lower() + " " + HUMP.sub(" ", value).lower())) & WORDS
             if inside and tag not in ("ul", "ol"):
                 found -= IN_ARTICLE_HEADINGS
-            if found and (name == "role" or tag not in BLOCKS):
-                return True, False
+            apart = apart or bool(found) and (name == "role" or tag not in BLOCKS)
             named = named or bool(found)
-    return False, named
+    return False, apart, named and not apart
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -153,8 +152,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def blocks_of(page: str, prior: bool = True) -> tuple[list[Block], list[Node], list[tuple[int, ...]]]:
-    """The text blocks of a page in order, without those apart; its elements, each after its parent; (parent, depth) of its paths."""
-    root = Node("", None, 0, 0, False, False, False, False, None, {})
+    """The text blocks of a page in order, marked if apart; its elements, each after its parent; (parent, depth) of its paths."""
+    root = Node("", None, 0, 0, False, False, False, False, False, None, {})
     at = home = root
     nodes, out, pending, open_tags = [root], [], [], {}
     paths: dict[tuple[int, str], int] = {}
@@ -163,8 +162,8 @@ def blocks_of(page: str, prior: bool = True) -> tuple[list[Block], list[Node], l
     def flush():
         nonlocal pending
         text = " ".join(entities.unescape("".join(pending)).split()) if pending else ""
-        if text and not home.apart:
-            out.append(Block(home, text))
+        if text and not home.hidden:
+            out.append(Block(home, text, home.apart))
         pending = []
 
     def leave(node: Node) -> None:
@@ -177,7 +176,7 @@ def blocks_of(page: str, prior: bool = True) -> tuple[list[Block], list[Node], l
     for kind, tag, more in tokens(page):
         if kind == "text" or tag == "br" or tag in RAW:
             piece = more if kind == "text" else " " if kind == "open" else ""
-            if piece and not at.apart:
+            if piece and not at.hidden:
                 if not pending:
                     home = at
                 pending.append(piece)
@@ -187,7 +186,7 @@ def blocks_of(page: str, prior: bool = True) -> tuple[list[Block], list[Node], l
                 n = at
                 while n.tag != tag:
                     n = n.parent
-                if tag in BLOCKS or n.apart or at.under_named:
+                if tag in BLOCKS or n.hidden or n.apart or at.under_named:
                     flush()
                 leave(n.parent)
             continue
@@ -201,7 +200,9 @@ def blocks_of(page: str, prior: bool = True) -> tuple[list[Block], list[Node], l
                 leave(min(ends, key=lambda n: n.depth).parent)
         if tag in VOID or (tag in ("html", "body") and open_tags.get(tag)):
             continue
-        apart, named = is_apart(tag, more, at.inside, prior)
+        hidden, apart, named = is_apart(tag, more, at.inside, prior)
+        if apart and not at.apart:
+            flush()
         items = at.items
         if any(tag in b for b in BARRIER.values()) or tag in ITEMS:
             items = {t: n for t, n in items.items() if tag not in BARRIER[t]}
@@ -209,7 +210,7 @@ def blocks_of(page: str, prior: bool = True) -> tuple[list[Block], list[Node], l
         if key not in paths:
             paths[key] = len(shape)
             shape.append((at.path, at.depth + 1))
-        node = Node(tag, at, paths[key], at.depth + 1, at.apart or apart, named, at.under_named or named, at.inside or tag in ("article", "main"), None, items)
+        node = Node(tag, at, paths[key], at.depth + 1, at.hidden or hidden, at.apart or apart, named, at.under_named or named, at.inside or tag in ("article", "main"), None, items)
         node.paragraph = node if tag == "p" else None if tag in ENDS_SEARCH else at.paragraph
         if tag in ITEMS:
             node.items = items | {tag: node}
@@ -217,7 +218,8 @@ def blocks_of(page: str, prior: bool = True) -> tuple[list[Block], list[Node], l
         open_tags[tag] = open_tags.get(tag, 0) + 1
         at = node
     flush()
-    return without_named(out, nodes), nodes, shape
+    mark_named(out, nodes)
+    return out, nodes, shape
 
 
 def add_up(blocks: list[Block], nodes: list[Node]) -> None:
@@ -230,18 +232,20 @@ def add_up(blocks: list[Block], nodes: list[Node]) -> None:
         n.parent.text += n.text
 
 
-def without_named(blocks: list[Block], nodes: list[Node]) -> list[Block]:
-    """Without what a class or id sets apart; one that holds most of the text doesn't, if no article or main is elsewhere."""
-    if not any(b.node.under_named for b in blocks):
-        return blocks
-    left = [b for b in blocks if not b.node.under_named]
-    if any(b.node.inside for b in left):
-        return left
-    add_up(blocks, nodes)
-    gone = {id(nodes[0]): False}
-    for n in nodes[1:]:
-        gone[id(n)] = gone[id(n.parent)] or n.named and 2 * n.text <= nodes[0].text
-    return [b for b in blocks if not gone[id(b.node)]]
+def mark_named(blocks: list[Block], nodes: list[Node]) -> None:
+    """Marks what a class or id sets apart; one that holds most of the text doesn't, if no article or main is elsewhere."""
+    shown = [b for b in blocks if not b.apart]
+    named = [b for b in shown if b.node.under_named]
+    if any(b.node.inside for b in shown if not b.node.under_named):
+        for b in named:
+            b.apart = True
+    elif named:
+        add_up(shown, nodes)
+        gone = {id(nodes[0]): False}
+        for n in nodes[1:]:
+            gone[id(n)] = gone[id(n.parent)] or n.named and 2 * n.text <= nodes[0].text
+        for b in named:
+            b.apart = gone[id(b.node)]
 
 
 def common_depth(a: int, b: int, shape: list[tuple[int, ...]]) -> int:
@@ -266,35 +270,49 @@ def smoothed(x: list[float], own: list[int], shape: list[tuple[int, ...]]) -> li
     return out
 
 
-def content_paths(blocks: list[Block], shape: list[tuple[int, ...]]) -> set[int]:
-    """The tag paths whose smoothed and fused ratios of text and punctuation reach the threshold."""
-    length: dict[int, int] = {}
-    marks: dict[int, int] = {}
-    count: dict[int, int] = {}
+def path_of(b: Block) -> tuple[int, bool]:
+    """The path that a block counts for. The same tags inside and outside of what is set apart are two paths."""
+    return b.node.path, b.apart
+
+
+def content_paths(blocks: list[Block], shape: list[tuple[int, ...]]) -> set[tuple[int, bool]]:
+    """The tag paths whose smoothed ratios of text and punctuation, fused with the prior, reach the threshold.
+
+    The prior is 1, or 0 for what is set apart. Paths are smoothed over neighbours of the same prior.
+    """
+    length: dict[tuple[int, bool], int] = {}
+    marks: dict[tuple[int, bool], int] = {}
+    count: dict[tuple[int, bool], int] = {}
     for b in blocks:
-        p = b.node.path
+        p = path_of(b)
         length[p] = length.get(p, 0) + len(b.text)
         marks[p] = marks.get(p, 0) + len(PUNCTUATION.findall(b.text))
         count[p] = count.get(p, 0) + 1
-    own = list(count)  # in page order
-    text = smoothed([length[p] / count[p] for p in own], own, shape)
-    stops = smoothed([marks[p] / count[p] for p in own], own, shape)
-    fused = [t * (1 + m) for t, m in zip(text, stops, strict=True)]
-    each = [(f, count[p]) for f, p in zip(fused, own, strict=True)]
+    fused: dict[tuple[int, bool], float] = {}
+    for prior in (1.0, 0.0):
+        own = [p for p in count if p[1] is not bool(prior)]  # in page order
+        paths = [p for p, _ in own]
+        text = smoothed([length[p] / count[p] for p in own], paths, shape)
+        stops = smoothed([marks[p] / count[p] for p in own], paths, shape)
+        fused |= {p: prior * t * (1 + m) for p, t, m in zip(own, text, stops, strict=True)}
+    # how far scores lie apart is told by paths that can be content
+    each = [(f, count[p]) for p, f in fused.items() if not p[1]]
+    if not each:
+        return set()
     n = sum(c for _, c in each)
     mean = sum(f * c for f, c in each) / n
     spread = math.sqrt(sum(c * (f - mean) ** 2 for f, c in each) / n)
-    threshold = min(spread, 0.5 * max(fused))
-    return {p for p, f in zip(own, fused, strict=True) if f >= threshold}
+    threshold = min(spread, 0.5 * max(f for f, _ in each))
+    return {p for p, f in fused.items() if f >= threshold and f > 0}
 
 
 def main_text(page: str, prior: bool = True) -> str:
     """The main text of one page."""
     blocks, nodes, shape = blocks_of(page, prior)
-    if not blocks:
-        return ""
     paths = content_paths(blocks, shape)
-    chosen = [b for b in blocks if b.node.path in paths]
+    chosen = [b for b in blocks if path_of(b) in paths]
+    if not chosen:
+        return ""
     add_up(chosen, nodes)
     around = max(chosen, key=lambda b: len(b.text)).node
     while around.parent is not None and around.text < 0.8 * nodes[0].text:
@@ -308,15 +326,18 @@ def main_text(page: str, prior: bool = True) -> str:
     within = {id(nodes[0]): article is nodes[0]}
     for n in nodes[1:]:
         within[id(n)] = within[id(n.parent)] or n is article
-    kept = [within[id(b.node)] for b in blocks]
+    picked = {id(b) for b in chosen}
+    # what stands among the content joins it, unless its path is set apart and so below every threshold
+    kept = [within[id(b.node)] and (not b.apart or id(b) in picked) for b in blocks]
     if not article.inside:
-        picked = {id(b) for b in chosen}
         kept = [k or id(b) in picked for k, b in zip(kept, blocks, strict=True)]
         headed = {id(nodes[0]): False}
         for n in nodes[1:]:
             headed[id(n)] = headed[id(n.parent)] or n.tag in HEADINGS
-        for i in range(len(blocks) - 2, -1, -1):  # headings right before what is kept
-            kept[i] = kept[i] or kept[i + 1] and headed[id(blocks[i].node)]
+        after = False
+        for i in range(len(blocks) - 1, -1, -1):  # headings right before what is kept
+            if not blocks[i].apart:
+                after = kept[i] = kept[i] or after and headed[id(blocks[i].node)]
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 

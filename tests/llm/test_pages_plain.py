@@ -130,3 +130,15 @@ def test_extra_columns_and_repeats(spark):
     rows = [(1, "u", "<p>x, y</p>", 5), (1, "u", "<p>x, y</p>", 6), (None, None, None, None)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, `text.n` int")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "x, y", 4), (1, "x, y", 4)]
+
+
+def test_the_ratios_of_paths_choose(monkeypatch):
+    prose = "".join(f"<p>Number {i} of some sentences, with commas; and more, and an end. Then one more of them, here.</p>" for i in range(6))
+    links = "".join(f"<li><a href='/{i}'>entry {i}</a></li>" for i in range(12))
+    page = f"<html><body><div><ul>{links}</ul></div><div>{prose}</div><div class='footer'><p>All rights, and so on, are kept. See there.</p></div></body></html>"
+    got = pages.main_text(page)
+    assert "entry" not in got and "rights" not in got and got.count("\n") == 5
+    assert "entry" not in pages.main_text(page, prior=False)
+    monkeypatch.setattr(pages, "content_paths", lambda blocks, shape: {pages.path_of(b) for b in blocks})
+    everything = pages.main_text(page)
+    assert "entry 3" in everything and "rights" in everything
