@@ -111,17 +111,26 @@ def crawl_delays(rules: DataFrame, user_agent: str) -> DataFrame:
     return groups_for(rules, user_agent).groupBy("origin").agg(F.max_by("crawl_delay", F.when(F.col("crawl_delay").isNotNull(), F.col("seq"))).alias("crawl_delay"))
 
 
-def schedule_requests(requests: DataFrame, interval: float, span: float = 3600.0) -> DataFrame:
+#: requests of an origin that one task orders; an origin with more is cut into spans of time
+SPAN_ROWS = 200_000
+
+
+def schedule_requests(requests: DataFrame, interval: float, span_rows: int = SPAN_ROWS) -> DataFrame:
     """Adds ``granted`` and ``delay`` (seconds) to (origin, at double, seq): no two grants of an origin are nearer.
 
-    g(i) = max(t(i), g(i-1) + d) in closed form: i*d plus the running maximum of t(j) - j*d. An origin's history is
-    numbered in spans of ``span`` seconds, a task each; what a span takes over from those before is their number of
-    requests and their maximum, a prefix over one row a span.
+    g(i) = max(t(i), g(i-1) + d) in closed form: i*d plus the running maximum of t(j) - j*d, from one sort. If the
+    largest origin has more than ``span_rows`` requests, histories are numbered in spans of time, a task each; what a
+    span takes over from those before is their number of requests and their maximum, a prefix over one row a span.
     """
     d = F.lit(interval)
-    rows = requests.withColumn("_span", F.floor(F.col("at") / span))
-    order = Window.partitionBy("origin", "_span").orderBy("at", "seq")
-    rows = rows.withColumn("_i", F.row_number().over(order) - 1).withColumn("_top", F.max(F.col("at") - (F.row_number().over(order) - 1) * d).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    most = requests.groupBy("origin").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    cut = (most.n or 0) > span_rows and most.hi > most.lo
+    rows = requests.withColumn("_span", F.floor((F.col("at") - most.lo) / ((most.hi - most.lo) * span_rows / most.n)) if cut else F.lit(0))
+    order = Window.partitionBy("origin", *(["_span"] if cut else [])).orderBy("at", "seq")
+    rows = rows.withColumn("_i", F.row_number().over(order) - 1)
+    rows = rows.withColumn("_top", F.max(F.col("at") - F.col("_i") * d).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if not cut:
+        return rows.withColumn("granted", F.col("_i") * d + F.col("_top")).withColumn("delay", F.col("granted") - F.col("at")).drop("_span", "_i", "_top")
     before = Window.partitionBy("origin").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = rows.groupBy("origin", "_span").agg(F.count("*").alias("_n"), F.max("_top").alias("_most")).withColumn("_had", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     spans = spans.withColumn("_lead", F.max(F.col("_most") - F.col("_had") * d).over(before)).select(F.col("origin").alias("_origin"), F.col("_span").alias("_of"), "_had", "_lead")

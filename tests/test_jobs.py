@@ -78,7 +78,10 @@ def test_the_seen_side_of_a_frontier_is_not_shuffled(spark, tmp_path):
 
 def test_schedule_equals_the_recurrence(spark):
     at = [0.0, 0.0, 1.0, 9.0, 9.5, 30.0]
-    rows = robots.schedule_requests(spark.createDataFrame([("o", t, i) for i, t in enumerate(at)], "origin string, at double, seq int"), 2.0).orderBy("seq").collect()
+    asked = spark.createDataFrame([("o", t, i) for i, t in enumerate(at)] + [(None, 1.0, 9)], "origin string, at double, seq int")
+    rows, spans = (robots.schedule_requests(asked, 2.0, n).where("origin = 'o'").orderBy("seq").collect() for n in (100, 2))
+    assert rows == spans and robots.schedule_requests(asked.limit(0), 2.0).collect() == []
+    assert [r.granted for r in robots.schedule_requests(asked, 2.0, 2).where("origin is null").collect()] == [1.0]
     last, want = None, []
     for t in at:
         last = t if last is None else max(t, last + 2.0)
