@@ -149,6 +149,15 @@ def _(spark, sf):
     return corpus.with_metadata(corpus.chunk_documents(d, "doc_id"), d, "doc_id").select("doc_id", "chunk_no", "lang", "source", "attachments")
 
 
+@query("chunk_meta_docs", "select doc_id, lang, source, source as attachments, 0 as first from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def _(spark, sf):
+    """What the chunks of each document say about it: one set of metadata, and numbers from 0 without a gap."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.array("source").alias("attachments"), F.col("text").alias("markdown"))
+    own = corpus.with_metadata(corpus.chunk_documents(d, "doc_id"), d, "doc_id")
+    each = own.groupBy("doc_id", "lang", "source", F.array_join("attachments", ",").alias("attachments")).agg(F.min("chunk_no").alias("first"), F.max("chunk_no").alias("last"), F.count("*").alias("n"))
+    return each.where("last - first + 1 = n").select("doc_id", "lang", "source", "attachments", F.col("first").cast("int").alias("first"))
+
+
 # --- profile ---
 
 KEY = "sha256(regexp_replace(lower(text), '[0-9\\s 　]+', '', 'g'))"
@@ -267,6 +276,18 @@ def _(spark, sf):
     return keyword(spark, sf)
 
 
+WHOLE = "['2024', {0}::varchar, '闽教', '教学', '号', '闽教学〔2024〕' || {0} || '号']"
+
+
+@query("ret_bm25_numbers", f"with {BM25.replace(TOKENS.format('text') + ' as t from documents', TOKENS.format('text') + ' || case when doc_id % 6 = 0 then ' + WHOLE.format('doc_id') + ' else [] end as t from documents').replace('unnest(' + TOKENS.format('text') + ') as term from benchmark', 'unnest(' + WHOLE.format('item_id') + ') as term from benchmark')} select query_id, kb_id, chunk_id, round(score, 6) as score from s qualify row_number() over (partition by query_id, kb_id order by round(score, 9) desc, chunk_id) <= 3")
+def _(spark, sf):
+    """Exact document numbers asked of documents that end with one: the whole number counts beside its pieces."""
+    c = documents(spark, sf).select("kb_id", F.col("doc_id").alias("chunk_id"), "text").where("kb_id is not null")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("闽教学〔2024〕"), F.col("item_id").cast("string"), F.lit("号")).alias("text"))
+    own = retrieval.search_bm25(asked, c, retrieval.tokenize).withColumn("score", F.round("score", 9))
+    return retrieval.top_k(own, 3, per=("query_id", "kb_id")).select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 #: the name under which the same was first registered
 query("ret_bm25_all")(keyword)
 
