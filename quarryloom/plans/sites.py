@@ -137,6 +137,13 @@ def _(spark, sf):
     return dom.segment_pages(table(spark, sf, "pages"), ["page_id", "url"])
 
 
+@query("html_regions_lists", "select page_id, 'ul' as selector, round(0.5 + 0.5 * n / (n + 5), 2) as confidence, array_to_string(names, '')[:90] as snippet from (select page_id, names, len(names) as n from (select page_id, regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1) as names from pages)) where n >= 5")
+def _(spark, sf):
+    """Of the regions the lists of links, which the test pages show in their navigation."""
+    own = dom.segment_pages(table(spark, sf, "pages"), ["page_id"]).where("type = 'article_list'")
+    return own.select("page_id", "selector", "confidence", "snippet")
+
+
 #: the text of an element of the test pages: no tags, white space as one space
 FLAT = "trim(regexp_replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 INSIDE = "regexp_extract(html, '(<article>.*</article>)', 1, 's')"
@@ -232,7 +239,7 @@ def _(spark, sf):
     return columns.classify_pages(regions).select(F.col("url").alias("page_id"), "type", "has_pagination")
 
 
-@query("html_candidates")
+@query("html_candidates", f"with e as (select page_id, 'title' as field, 'h1' as selector, regexp_extract(html, '(<h1>.*?</h1>)', 1, 's') as m from pages union all select page_id, 'body', 'div.ad', regexp_extract(html, '(<div class=\"ad\">.*?</div>)', 1, 's') from pages) select page_id, field, selector from e where case field when 'title' then length({FLAT.format('m')}) between 1 and 120 else length({FLAT.format('m')}) >= 50 end")
 def _(spark, sf):
     return dom.selector_hits(table(spark, sf, "pages"), ["page_id"])
 
