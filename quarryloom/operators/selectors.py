@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_ready
+
 #: names that a selector may hold unescaped
 PLAIN = r"^-?[A-Za-z_\x{80}-\x{10FFFF}][\w\x{80}-\x{10FFFF}-]*$"
 TITLE_TAGS = ["h1", "h2", "h3"]
@@ -50,7 +52,9 @@ def joined_firsts(elements: DataFrame, keys: list[str]) -> DataFrame:
 
 def element_selectors(elements: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, selector): one selector for every element, whose first match it is."""
-    page = elements.select(*keys, "pos", "parent", "tag", "element_id", "classes", "above").repartition(*keys)
+    checkpoint_ready(elements.sparkSession)
+    page = elements.select(*keys, "pos", "parent", "tag", "element_id", "classes", "above").checkpoint()  # pages are parsed once
+    page = page.repartition(*keys)
     simple = page.select(*keys, "pos", F.posexplode(simple_ways()).alias("turn", "selector"))
     firsts = simple.withColumn("first", F.min("pos").over(Window.partitionBy(*keys, "selector"))).where("pos = first")
     # the id comes before joined classes, these before single ones
@@ -83,7 +87,9 @@ def field_selectors(elements: DataFrame, keys: list[str]) -> DataFrame:
     A selector counts for what its first match gives. Attachments are looked for by ending inside what their parent's
     selectors match.
     """
-    page = elements.select(*keys, "pos", "parent", "tag", "element_id", "classes", "above", "fields", "ends", "end").repartition(*keys)
+    checkpoint_ready(elements.sparkSession)
+    page = elements.select(*keys, "pos", "parent", "tag", "element_id", "classes", "above", "fields", "ends", "end").checkpoint()
+    page = page.repartition(*keys)
     ways = page.select(*keys, "pos", "fields", F.explode(simple_ways(F.col("tag").isin(*TITLE_TAGS))).alias("selector"))
     first = ways.groupBy(*keys, "selector").agg(F.min_by("fields", "pos").alias("fields"))
     plain = first.select(*keys, F.explode("fields").alias("field"), "selector")
