@@ -95,6 +95,34 @@ def search_bm25(queries: DataFrame, chunks: DataFrame, tokens: Callable[[Column]
     return bm25_search(terms, *from_counts(tf))
 
 
+def one_dimension(queries: DataFrame, vectors: DataFrame) -> None:
+    sizes = [r.n for r in vectors.select(F.size("v").alias("n")).union(queries.select(F.size("v"))).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError(f"one collection has vectors of dimensions {sorted(sizes)}")
+
+
+def best_pairs(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best (chunk_id, v) of one block for each (query_id, v) of another, by cosine to nine places."""
+    out = [pd.DataFrame({"query_id": asked.query_id[:0], "chunk_id": held.chunk_id[:0], "score": np.zeros(0)})]
+    if len(asked) and len(held):
+        held = held.sort_values("chunk_id")
+        v, chunk = np.array(held.v.tolist(), float), held.chunk_id.to_numpy()
+        vn = np.linalg.norm(v, axis=1)
+        best = min(k, len(chunk))
+        for i in range(0, len(asked), 256):
+            ids, q = asked.query_id.to_numpy()[i : i + 256], np.array(asked.v.iloc[i : i + 256].tolist(), float)
+            qn = np.linalg.norm(q, axis=1)
+            score = np.round((q @ v.T) / np.where(qn > 0, qn, 1)[:, None] / np.where(vn > 0, vn, 1), 9)
+            score[:, vn == 0] = -np.inf
+            score[qn == 0] = -np.inf
+            last = np.partition(score, len(chunk) - best, axis=1)[:, len(chunk) - best, None]
+            tied = score == last  # of equal scores the least chunks, as many as there is room for
+            room = best - (score > last).sum(1, keepdims=True)
+            row, col = np.nonzero(((score > last) | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(score))
+            out.append(pd.DataFrame({"query_id": ids[row], "chunk_id": chunk[col], "score": score[row, col]}))
+    return pd.concat(out, ignore_index=True)
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 4096, within: str | None = None) -> DataFrame:
     """(query_id, chunk_id, score): cosine similarity to nine places, the k best of (query_id, v) against (chunk_id, v).
 
@@ -104,9 +132,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block:
     own k best, so k rows a query and block are shuffled. Scores are rounded before they are ranked, so that equal
     vectors tie. Vectors must have one dimension; zero vectors have no direction and take no part.
     """
-    sizes = [r.n for r in vectors.select(F.size("v").alias("n")).union(queries.select(F.size("v"))).distinct().limit(2).collect()]
-    if len(sizes) > 1:
-        raise ValueError(f"one collection has vectors of dimensions {sorted(sizes)}")
+    one_dimension(queries, vectors)
     n_asked, n_held = (max(1, -(-x.count() // block)) for x in (queries, vectors))
     kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
     own_part = [F.col(within).alias(within)] if within else []
@@ -116,24 +142,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block:
         return df.select(*own_part, key, F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), every)
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": asked.query_id[:0], "chunk_id": held.chunk_id[:0], "score": np.zeros(0)})]
-        if len(asked) and len(held):
-            held = held.sort_values("chunk_id")
-            v, chunk = np.array(held.v.tolist(), float), held.chunk_id.to_numpy()
-            vn = np.linalg.norm(v, axis=1)
-            best = min(k, len(chunk))
-            for i in range(0, len(asked), 256):
-                ids, q = asked.query_id.to_numpy()[i : i + 256], np.array(asked.v.iloc[i : i + 256].tolist(), float)
-                qn = np.linalg.norm(q, axis=1)
-                score = np.round((q @ v.T) / np.where(qn > 0, qn, 1)[:, None] / np.where(vn > 0, vn, 1), 9)
-                score[:, vn == 0] = -np.inf
-                score[qn == 0] = -np.inf
-                last = np.partition(score, len(chunk) - best, axis=1)[:, len(chunk) - best, None]
-                tied = score == last  # of equal scores the least chunks, as many as there is room for
-                room = best - (score > last).sum(1, keepdims=True)
-                row, col = np.nonzero(((score > last) | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(score))
-                out.append(pd.DataFrame({"query_id": ids[row], "chunk_id": chunk[col], "score": score[row, col]}))
-        return pd.concat(out, ignore_index=True)
+        return best_pairs(asked, held, k)
 
     left = dealt(queries, "query_id", "asked", n_asked, "held", n_held).groupBy(*([within] if within else []), "asked", "held")
     right = dealt(vectors, "chunk_id", "held", n_held, "asked", n_asked).groupBy(*([within] if within else []), "asked", "held")
