@@ -38,10 +38,9 @@ def test_the_index_gives_what_a_search_of_everything_gives(spark, tmp_path):
     everywhere = spark.createDataFrame(asked, "query_id int, text string")
     own = spark.createDataFrame([(q, k, t) for q, t in asked for k in ("hot", "k3", "none")], "query_id int, kb_id string, text string")
     whole = chunks.where("kb_id is not null")
-    for queries in (everywhere, own):
-        for k in (1, 3, 20):
-            want = retrieval.top_k(retrieval.search_bm25(queries, whole).withColumn("score", F.round("score", 9)), k, per=("query_id", "kb_id"))
-            assert found(postings.search_index(queries, index, k, buckets=16)) == found(want)
+    for queries, k in ((everywhere, 2), (everywhere, 20), (own, 3)):
+        want = retrieval.top_k(retrieval.search_bm25(queries, whole).withColumn("score", F.round("score", 9)), k, per=("query_id", "kb_id"))
+        assert found(postings.search_index(queries, index, k, buckets=16)) == found(want)
     assert found(postings.search_index(everywhere.limit(0), index, buckets=16)) == []
 
 
@@ -55,10 +54,8 @@ def test_bounds_rule_blocks_out_and_other_buckets_are_not_read(spark, tmp_path):
     lists = postings.bounded_lists(terms, index, 16)
     _, rest, blocks = postings.split_blocks(lists, postings.buckets_of(index, terms, 16), 3)
     assert 0 < rest.count() < 0.5 * blocks.count()
-    plan = lists._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:200]
-    heads = postings.buckets_of(index, terms, 16)
-    assert 0 < len(heads.inputFiles()) < len(index.inputFiles())
+    scans = postings.buckets_of(index, terms, 16)._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")
+    assert len(scans) == 2 and "bucket" in scans[1].split("]")[0] and " IN (" in scans[1].split("]")[0]
 
 
 def test_an_index_of_nothing(spark, tmp_path):
