@@ -7,9 +7,14 @@ up and added, times that ratio.
 
 Every row is encoded and every row is scored for every query, in tiles of about BLOCK candidates and TILE queries, so a
 task holds one tile whatever the table's size. Only codes and norms (some 30 bytes a row) are dealt to the tiles; vectors
-aren't. Of all tiles the ``rerank`` best estimates of a query go on (rows are dealt by hash, so a tile among many gives
-four times its share and 20 more); they meet the original vectors in blocks of PART rows, each with the queries that
-have candidates there, and are ranked by exact inner products in double precision.
+aren't. Of all tiles the best estimates of a query go on (rows are dealt by hash, so a tile among many gives four times
+its share and 20 more); they meet the original vectors in blocks of PART rows, each with the queries that have
+candidates there, and are ranked by exact inner products in double precision.
+
+How many estimates go on is measured on the table: PROBES queries, chosen by hash, are searched exactly in all rows, and
+the places of what they find in the order of their estimates are counted over all rows. So many go on that the share
+RECALL of these has a place among them, ``rerank`` at least. Where vectors have no structure that grows with the table;
+tiles and parts get smaller to the same degree, so that a task holds what it held before.
 
 Vectors that are null, zero, of another length than the commonest, or that hold null or non-finite components take no
 part; nor do null ids. Ties go to the smaller id, also among equal vectors. Repeated query ids count once (the least
@@ -26,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_value, table
+from .common import broadcast_value, checkpoint_ready, table
 
 SAMPLE, BOOKS, WORDS, BEAM, ROUNDS, SEED = 8192, 16, 128, 4, 4, 11
 BLOCK, PART, TILE, RERANK = 65_536, 8192, 1024, 400
-K = 20
+K, RECALL, PROBES = 20, 0.95, 64
 ESTIMATE, FOUND = "query_id long, vec_id long, estimate float", "query_id long, vec_id long, score double"
 
 
@@ -152,24 +157,76 @@ def fit(vectors: DataFrame, rows: int, sample: int = SAMPLE) -> Quantizer:
     return Quantizer.fit(x if len(x) else matrix(vectors.limit(1).toArrow().column("v")))
 
 
+def exact_places(coded: DataFrame, x: DataFrame, asked: DataFrame, model, k: int, probes: int) -> list[int]:
+    """For the k nearest of some queries, in rising order: how many rows have a better estimate, and k for equal ones.
+
+    To the driver come the probes, their k nearest with codes, and a count for each of these.
+    """
+    spark = x.sparkSession
+    some = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).toArrow()
+    if not len(some):
+        return []
+    probe = broadcast_value(spark, (some.column("vec_id").to_numpy(), matrix(some.column("v"))))
+
+    def nearest_of(batches):
+        ids, q = probe.value
+        best = None
+        for batch in batches:
+            if len(batch):
+                score, vid = q @ matrix(batch.column("v")).T, np.broadcast_to(batch.column("vec_id").to_numpy(), (len(q), len(batch)))
+                score = np.where(ids[:, None] == vid, -np.inf, score)
+                score, vid = (score, vid) if best is None else (np.hstack([best[0], score]), np.hstack([best[1], vid]))
+                order = np.lexsort((vid, -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, order, 1), np.take_along_axis(vid, order, 1)
+        if best is not None:
+            at, rank = np.nonzero(best[0] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(best[1][at, rank]), pa.array(best[0][at, rank])], names=["probe", "vec_id", "score"])
+
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id"))
+    truth = x.mapInArrow(nearest_of, "probe int, vec_id long, score double").withColumn("rank", rank).where(F.col("rank") <= k).select("probe", "vec_id").distinct()
+    found = truth.join(coded.groupBy("vec_id").agg(F.min(F.struct("codes", "norm")).alias("c")), "vec_id").select("probe", "c.*").orderBy("probe").toArrow()
+    if not len(found):
+        return []
+    codes = np.frombuffer(b"".join(found.column("codes").to_pylist()), np.uint8).reshape(len(found), -1)
+    own = found.column("probe").to_numpy()
+    value = model.value.estimate(probe.value[1], codes, found.column("norm").to_numpy())[own, np.arange(len(found))]
+    edges = broadcast_value(spark, (own, value))
+
+    def better(batches):
+        (ids, q), (own, value) = probe.value, edges.value
+        total = np.zeros(len(own), np.int64)
+        for batch in batches:
+            for i in range(0, len(batch), 1024):
+                part = batch.slice(i, 1024)
+                estimate = model.value.estimate(q, np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(part), -1), part.column("norm").to_numpy())
+                estimate[ids[:, None] == part.column("vec_id").to_numpy()] = -np.inf
+                total += (estimate[own] > value[:, None]).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int32)), pa.array(total)], names=["edge", "n"])
+
+    counts = coded.mapInArrow(better, "edge int, n long").groupBy("edge").agg(F.sum("n").alias("n"))
+    return sorted(r.n + k for r in counts.collect())
+
+
 def none_of(schema: str) -> pa.Table:
     kinds = {"long": pa.int64(), "float": pa.float32(), "double": pa.float64()}
     fields = [f.split() for f in schema.split(", ")]
     return pa.table([pa.array([], kinds[k]) for _, k in fields], names=[n for n, _ in fields])
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row for which ``is_query`` (a column of vec_id) holds."""
+def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, rerank: int = RERANK, block: int = BLOCK, recall: float = RECALL, probes: int = PROBES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each row for which ``is_query`` (a column of vec_id) holds.
+
+    ``rerank`` estimates go to the exact ranking at least, more if a recall of ``recall`` takes more (0: just these).
+    """
     spark = vectors.sparkSession
+    checkpoint_ready(spark)
     sizes = usable(vectors).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x, rows = usable(vectors, sizes.d), sizes["count"]
     asked = x.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks, n_parts = math.ceil(rows / block), math.ceil(rows / PART)
-    n_tiles = max(1, math.ceil(asked.count() / TILE))
+    n_blocks = math.ceil(rows / block)
     model = broadcast_value(spark, fit(x, rows, sample))
-    of_tile = min(rerank, 4 * math.ceil(rerank / n_blocks) + 20)
 
     def encode(batches):
         for batch in batches:
@@ -178,9 +235,17 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, rera
                 codes, norms = model.value.encode(matrix(part.column("v")))
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "codes", "norm"])
 
+    coded = x.mapInArrow(encode, "vec_id long, codes binary, norm float").checkpoint()
+    if recall and rerank < rows:
+        places = exact_places(coded, x, asked, model, k, probes)
+        rerank = max(rerank, places[math.ceil(recall * len(places)) - 1]) if places else rerank
+    more = max(1.0, rerank / RERANK)
+    n_parts, n_tiles = math.ceil(rows * more / PART), max(1, math.ceil(asked.count() * more / TILE))
+    of_tile = min(rerank, 4 * math.ceil(rerank / n_blocks) + 20)
+
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n, of="vec_id": F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
-    coded = x.mapInArrow(encode, "vec_id long, codes binary, norm float").withColumn("block", dealt(n_blocks)).withColumn("tile", every(n_tiles))
+    coded = coded.withColumn("block", dealt(n_blocks)).withColumn("tile", every(n_tiles))
     queries = asked.withColumn("tile", dealt(n_tiles)).withColumn("block", every(n_blocks))
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:

@@ -263,6 +263,30 @@ def test_nearest_has_high_recall_and_exact_scores(spark):
     assert nearest.nearest(df.where("vec_id < 3"), nearest.F.col("vec_id") == 0).count() == 2
 
 
+def test_nearest_reranks_as_many_as_the_recall_takes(spark):
+    rng = np.random.default_rng(14)
+    v = rng.normal(0, 1, (6000, 48))  # no structure: estimates mean little
+    v[100:400] = v[99]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    is_query = nearest.F.col("vec_id") % 60 == 0
+
+    def recall(**how):
+        of = {}
+        for r in nearest.nearest(df, is_query, 20, sample=600, rerank=40, block=2000, **how).collect():
+            of.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        hit = 0
+        for q in range(0, 6000, 60):
+            s = v @ v[q]
+            s[q] = -np.inf
+            own = sorted(of[q])
+            assert [r for r, _ in own] == list(range(1, 21))
+            hit += len({i for _, i in own} & set(np.lexsort((np.arange(6000), -s))[:20].tolist()))
+        return hit / 2000
+
+    fixed, measured = recall(recall=0), recall(recall=0.95)
+    assert fixed < 0.9 <= measured, (fixed, measured)
+
+
 def test_quality_learns_and_scores_everything(spark):
     rng = np.random.default_rng(6)
     good = [" ".join(random_words(rng, 60, 5000)) + "." for _ in range(80)]
