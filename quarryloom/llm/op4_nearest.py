@@ -14,7 +14,8 @@ candidates there, and are ranked by exact inner products in double precision.
 How many estimates go on is measured on the table: PROBES queries, chosen by hash, are searched exactly in all rows, and
 the places of what they find in the order of their estimates are counted over all rows. So many go on that the share
 RECALL of these has a place among them, ``rerank`` at least. Where vectors have no structure that grows with the table;
-tiles and parts get smaller to the same degree, so that a task holds what it held before.
+tiles hold fewer queries to the same degree, and the queries of a part are dealt to more tasks, so that a task holds
+what it held before.
 
 Vectors that are null, zero, of another length than the commonest, or that hold null or non-finite components take no
 part; nor do null ids. Ties go to the smaller id, also among equal vectors. Repeated query ids count once (the least
@@ -240,7 +241,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, rera
         places = exact_places(coded, x, asked, model, k, probes)
         rerank = max(rerank, places[math.ceil(recall * len(places)) - 1]) if places else rerank
     more = max(1.0, rerank / RERANK)
-    n_parts, n_tiles = math.ceil(rows * more / PART), max(1, math.ceil(asked.count() * more / TILE))
+    n_parts, n_slices, n_tiles = math.ceil(rows / PART), math.ceil(more), max(1, math.ceil(asked.count() * more / TILE))
     of_tile = min(rerank, 4 * math.ceil(rerank / n_blocks) + 20)
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -254,13 +255,14 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, rera
     near = queries.groupBy("block", "tile").cogroup(coded.groupBy("block", "tile")).applyInArrow(search, ESTIMATE)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id"))
     near = near.withColumn("place", place).where(F.col("place") <= rerank)
-    wanted = near.groupBy("query_id", dealt(n_parts).alias("part")).agg(F.collect_set("vec_id").alias("candidates"))
-    wanted = wanted.join(asked.withColumnRenamed("vec_id", "query_id"), "query_id").select("part", "query_id", "v", "candidates")
+    wanted = near.groupBy("query_id", dealt(n_parts).alias("part"), dealt(n_slices, "query_id").alias("slice")).agg(F.collect_set("vec_id").alias("candidates"))
+    wanted = wanted.join(asked.withColumnRenamed("vec_id", "query_id"), "query_id").select("part", "slice", "query_id", "v", "candidates")
 
     def exact(wanted: pa.Table, rows: pa.Table) -> pa.Table:
         return rank_part(wanted, rows, k) if len(wanted) and len(rows) else none_of(FOUND)
 
-    found = wanted.groupBy("part").cogroup(x.withColumn("part", dealt(n_parts)).groupBy("part")).applyInArrow(exact, FOUND)
+    rows_of = x.withColumn("part", dealt(n_parts)).withColumn("slice", every(n_slices))
+    found = wanted.groupBy("part", "slice").cogroup(rows_of.groupBy("part", "slice")).applyInArrow(exact, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
