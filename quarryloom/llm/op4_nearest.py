@@ -6,7 +6,7 @@ norm: the ratio of the vector's length to its approximation's. A query's inner p
 up and added, times that ratio.
 
 Every row is encoded and every row is scored for every query, in tiles of about BLOCK candidates and TILE queries, so a
-task holds one tile whatever the table's size. Only codes and norms (some 30 bytes a row) are dealt to the tiles; vectors
+task holds one tile whatever the table's size. Only codes and norms (some 50 bytes a row) are dealt to the tiles; vectors
 aren't. Of all tiles the best estimates of a query go on (rows are dealt by hash, so a tile among many gives four times
 its share and 20 more); they meet the original vectors in blocks of PART rows, each with the queries that have
 candidates there, and are ranked by exact inner products in double precision.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_value, checkpoint_ready, table
 
-SAMPLE, BOOKS, WORDS, BEAM, ROUNDS, SEED = 8192, 16, 128, 4, 4, 11
+SAMPLE, BOOKS, WORDS, BEAM, ROUNDS, SEED = 8192, 32, 128, 4, 4, 11
 BLOCK, PART, TILE, RERANK = 65_536, 8192, 1024, 400
 K, RECALL, PROBES = 20, 0.95, 64
 ESTIMATE, FOUND = "query_id long, vec_id long, estimate float", "query_id long, vec_id long, score double"
