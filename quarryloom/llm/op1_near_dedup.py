@@ -11,21 +11,21 @@ the links.
 No bucket is expanded into all its pairs:
 
 1. each member of a bucket is aligned with the bucket's least document, its hub, and components are formed;
-2. a bucket that still holds several classes is *open*. In an open bucket of up to ``together`` members all pairs of
-   different classes that a bound from word counts allows are aligned;
-3. a larger open bucket (say, of texts that share one passage) is split by the sketches that follow: first by one more,
-   then by three, then by seven, so that members of a part agree in a run of 2, 4 and 8 sketches. Small open parts are
-   treated as in 2. In a larger one the members of other classes are aligned with the hub of its largest class, and it is
-   split again. What is large and open after the last split is treated as in 2, whatever its size.
+2. a bucket that still holds several classes is *open*. All pairs of different classes in it are compared: up to
+   ``together`` members by a join, whose pairs a bound from word counts must allow;
+3. the members of a larger open bucket of a sketch are dealt out to blocks of some ``BLOCK`` rows or ``BLOCK_WORDS``
+   words. For every two blocks a group gets their members with their texts, compares the pairs by the same bound, aligns
+   what it allows and returns the links. A pair counts only in the first sketch in which it agrees, and not once the
+   links of its group have joined its classes.
 
-So a pair is lost only if it agrees in no run of sketches whose bucket or part is small and open or the last, and is
-linked by no hub either.
+So every pair that agrees in a sketch is compared, whatever the size of the bucket, or is already of one class.
 
 Texts of up to SHORT words share too few k-mers. They, and what can be similar to them, are bucketed by pairs of words
 instead, without loss from thresholds above 2/3 on: of n words that match in n * t / (2 - t) at least, all but so many,
 plus two, are taken in the order of their hashes, and two similar texts have two of those in common. Large open buckets
 are split by a third such word, a fourth and a fifth, again without loss: pairs that need no more common words than
-those of the bucket (one text has at most 5/4 of them) are looked at before each split.
+those of the bucket (one text has at most 5/4 of them) are looked at before each split. What is open after the last
+split is compared whole, whatever its size.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D; whole texts of any length count. Null text counts as
 empty; texts without words are one class. A row with a null doc_id gets the class of its text if another row has that
@@ -45,11 +45,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_ready, mix, release, span_hashes, spread, table, take_spans, text_slices, word_hashes, word_spans
+from .common import as_string_array, buffer_of, checkpoint_ready, mix, release, span_hashes, spread, table, take_spans, text_slices, word_hashes, word_spans
 
 SHINGLE, SIMILARITY, SKETCHES, BUCKETS, SHORT = 3, 0.8, 48, 128, 15
-#: members of an open bucket that are compared with each other, and the runs of sketches by which larger ones are split
-TOGETHER, RUNS = 32, (2, 4, 8)
+#: members of an open bucket whose pairs are joined; members, and words, of the blocks of larger ones; splits by words
+TOGETHER, BLOCK, BLOCK_WORDS, SPLITS = 32, 512, 200_000, 3
 PLACE_BITS = 24
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -165,7 +165,7 @@ def sketch(docs: DataFrame, k: int = SHINGLE, sketches: int = SKETCHES, threshol
                 own = order_sketches(h, first, k, sketches)[long]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("version"), pa.array(one), pa.array(two), pa.array(n, pa.int32()), word_counts(counts.reshape(-1, BUCKETS)),
-                     lists_of(own.ravel(), np.full(len(long), sketches), long, len(n)), first_words(h, first, threshold, 2 + len(RUNS))],
+                     lists_of(own.ravel(), np.full(len(long), sketches), long, len(n)), first_words(h, first, threshold, 2 + SPLITS)],
                     names=["doc_id", "version", *(x.split()[0] for x in NODE.split(", "))],
                 )
 
@@ -289,26 +289,11 @@ def open_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "key")
 
 
-def with_hubs(rows: DataFrame) -> DataFrame:
-    """The members of all but the largest class of each bucket, with that class's least member as ``hub``."""
-    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("own"), F.min("node").alias("hub"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("own", F.col("class").alias("hub_class"), "hub")).alias("top")).select("key", "top.hub_class", "top.hub")
-    return rows.join(largest, "key").where("class <> hub_class").select("node", "hub")
-
-
-def with_runs(rows: DataFrame, nodes: DataFrame, sketches: int) -> DataFrame:
-    """Adds ``runs``, the keys of the runs of sketches from the bucket's on, and ``words`` (null for sketches)."""
-    both = rows.join(nodes.select("node", "n_words", "sketches", "words"), "node")
-    run = lambda q: "xxhash64(" + ", ".join(["key", *(f"sketches[(-1 - last + {i}) % {sketches}]" for i in range(1, q))]) + ")"
-    return both.select("key", "node", "class", "last", "n_words", F.expr(f"if(last < 0, array({', '.join(run(q) for q in RUNS)}), null)").alias("runs"), F.expr("if(last < 0, null, words)").alias("words"))
-
-
 def split(rows: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """The same rows with the keys of the ``turn``-th split: by a run of sketches, or by one word more."""
-    by_sketch = rows.where("last < 0").withColumn("key", F.col("runs")[turn])
+    """The rows of word buckets with the keys of the ``turn``-th split: by one word more."""
     end = first_of(turn + 3, threshold)
-    by_words = rows.where(f"last >= 0 and last + 1 < {end}").select("*", F.expr(f"inline(transform(sequence(last + 1, {end} - 1), i -> struct(xxhash64(key, words[i]) as next, i as at)))"))
-    return by_sketch.union(by_words.select(F.col("next").alias("key"), "node", "class", F.col("at").alias("last"), "n_words", "runs", "words"))
+    by_words = rows.where(f"last + 1 < {end}").select("*", F.expr(f"inline(transform(sequence(last + 1, {end} - 1), i -> struct(xxhash64(key, words[i]) as next, i as at)))"))
+    return by_words.select(F.col("next").alias("key"), "node", "class", F.col("at").alias("last"), "n_words", "words")
 
 
 def across(left: DataFrame, right: DataFrame, nodes: DataFrame, threshold: float, where: str) -> DataFrame:
@@ -320,34 +305,83 @@ def across(left: DataFrame, right: DataFrame, nodes: DataFrame, threshold: float
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def second_look(member: DataFrame, nodes: DataFrame, classes: DataFrame, threshold: float, sketches: int, together: int) -> DataFrame:
-    """(a, b): pairs of different classes in open buckets, large ones split first.
+def block_links(own: pa.Table, threshold: float) -> list[tuple[int, int]]:
+    """Links between members of different classes in one bucket: of two blocks, or within one.
+
+    Rows of one class are alike here: once a link has joined two classes, their other pairs are passed over.
+    """
+    own = own.sort_by("node")  # the same links whatever the order of rows
+    node, label, n, side = (own.column(c).to_numpy() for c in ("node", "class", "n_words", "side"))
+    _, label = np.unique(label, return_inverse=True)
+    texts = [t.encode().split() for t in own.column("text").to_pylist()]
+    raw, off = buffer_of(as_string_array(own.column("text")))
+    s, e, first = word_spans(raw, off)
+    bucket = spread(first) * BUCKETS + (word_hashes(raw, s, e) >> np.uint64(57)).astype(np.int64)
+    counts = np.bincount(bucket, minlength=len(own) * BUCKETS).reshape(-1, BUCKETS).astype(np.int32)
+    counts = counts.astype(np.int16) if counts.max(initial=0) < 1 << 15 else counts
+    before = own.column("before").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+    two = side.min() < side.max()
+    out = []
+    for x in np.flatnonzero(side == side.min()):
+        y = np.flatnonzero(side > side[x]) if two else np.arange(x + 1, len(own))
+        least = threshold * (n[x] + n[y]) - 1e-9
+        y = y[(label[y] != label[x]) & (2 * np.minimum(n[x], n[y]) >= least)]
+        y = y[~(before[y] == before[x]).any(1)]
+        y = y[2 * np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) >= threshold * (n[x] + n[y]) - 1e-9]
+        for i in y:
+            if label[i] != label[x] and matched(texts[x], texts[i], needed(len(texts[x]) + len(texts[i]), threshold)) is not None:
+                out.append((min(node[x], node[i]), max(node[x], node[i])))
+                label[label == label[i]] = label[x]
+    return out
+
+
+def within_blocks(large: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between classes in buckets of sketches, found by every two blocks of a bucket."""
+    rows = large.join(nodes.select("node", "n_words"), "node")
+    # as a table of its own, so that Spark can split a large bucket in the join with its size
+    sizes = rows.groupBy("key").agg(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n_words").cast("long")) / BLOCK_WORDS).alias("x")).select("key", F.ceil("x").cast("int").alias("parts")).checkpoint()
+    rows = rows.join(sizes, "key").withColumn("own", F.expr("int(pmod(xxhash64(node, key), parts))"))
+    rows = rows.select("key", "node", "class", "n_words", "last", "own", F.expr("explode(sequence(0, parts - 1))").alias("other"))
+    facts = nodes.select("node", "doc_id", "version", "sketches").join(large.select("node").distinct(), "node", "left_semi")
+    facts = facts.join(texts.select("doc_id", "version", "text"), ["doc_id", "version"]).select("node", "sketches", "text").checkpoint()
+    rows = rows.join(facts, "node").withColumn("before", F.expr("slice(sketches, 1, -1 - last)"))
+    rows = rows.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("side"))
+
+    def run(own: pa.Table) -> pa.Table:
+        links = block_links(own, threshold)
+        return pa.table({c: pa.array([p[i] for p in links], pa.int64()) for i, c in enumerate("ab")})
+
+    return rows.drop("own", "other", "last", "sketches").groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
+
+def second_look(member: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, together: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different classes in open buckets that may be links, and links found by blocks in large ones.
 
     Each part is a job of its own: the driver keeps figures of every task of a job's stages until the job ends.
     """
     placed = member.join(classes, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"), "last")
     rows = open_buckets(placed).checkpoint()
+    release(texts.sparkSession)
     small, pairs = rows.where(F.col("n") <= together).select("key", "node", "class"), []
-    for turn in range(len(RUNS)):
+    links = within_blocks(rows.where("last < 0").where(F.col("n") > together), nodes, texts, threshold).checkpoint()
+    release(texts.sparkSession)
+    rows = rows.where("last >= 0")
+    for turn in range(SPLITS):
         large = rows.where(F.col("n") > together)
         if large.isEmpty():
             break
-        large = with_runs(large, nodes, sketches) if turn == 0 else large.drop("n")
-        # of short texts, pairs that need no more common words than the turn + 2 that they have in the bucket
-        few = large.where("last >= 0")
-        if not few.isEmpty():
-            most = int(2 * (turn + 2) / threshold + 1e-9)
-            pairs.append(across(few.where(F.col("n_words") <= most // 2), few.where(F.col("n_words") < most), nodes, threshold, f"p.n_words + q.n_words <= {most}").checkpoint())
+        large = large.join(nodes.select("node", "n_words", "words"), "node").drop("n") if turn == 0 else large.drop("n")
+        # pairs that need no more common words than the turn + 2 that they have in the bucket
+        most = int(2 * (turn + 2) / threshold + 1e-9)
+        pairs.append(across(large.where(F.col("n_words") <= most // 2), large.where(F.col("n_words") < most), nodes, threshold, f"p.n_words + q.n_words <= {most}").checkpoint())
         rows = open_buckets(split(large, turn, threshold)).checkpoint()
-        last = turn == len(RUNS) - 1
-        small = small.union((rows if last else rows.where(F.col("n") <= together)).select(F.xxhash64("key", F.lit(turn)).alias("key"), "node", "class"))
-        if not last:
-            pairs.append(with_hubs(rows.where(F.col("n") > together)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).checkpoint())
+        kept = rows if turn == SPLITS - 1 else rows.where(F.col("n") <= together)
+        small = small.union(kept.select(F.xxhash64("key", F.lit(turn)).alias("key"), "node", "class"))
     small = small.checkpoint()
     found = across(small, small, nodes, threshold, "x < y").checkpoint()
     for more in pairs:
         found = found.union(more)
-    return found.distinct()
+    return found.distinct(), links
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHINGLE, sketches: int = SKETCHES, together: int = TOGETHER) -> DataFrame:
@@ -384,7 +418,8 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY, k: int = SHINGL
     links = linked(member.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     release(docs.sparkSession)
     classes = components(links)
-    more = linked(second_look(member.select("key", "node", "last"), nodes, classes, threshold, sketches, together))
+    pairs, more = second_look(member.select("key", "node", "last"), nodes, classes, docs, threshold, together)
+    more = linked(pairs).union(more)
     release(docs.sparkSession)
     if not more.isEmpty():
         classes = components(links.union(more))

@@ -131,6 +131,31 @@ def test_near_duplicates_when_all_buckets_are_large(spark):
     assert [got[i] for i in range(len(texts))] == up
 
 
+def test_near_duplicates_in_large_buckets_lose_no_pair(spark, monkeypatch):
+    """Every pair that agrees in any sketch is compared, however many texts share that sketch."""
+    rng = np.random.default_rng(15)
+    passage, texts = random_words(rng, 40, 10**6), []
+    for _ in range(60):
+        own = random_words(rng, 20, 10**6)
+        texts.append(" ".join(own + passage))
+        w = own + passage
+        for k in rng.permutation(20)[:11]:
+            w[k] = f"new{rng.integers(0, 10**9)}"
+        texts.append(" ".join(w))
+    words, up = [t.split() for t in texts], list(range(len(texts)))
+    agree = {r.doc_id: np.array(r.sketches) for r in near.sketch(frame(spark, texts).selectExpr("doc_id", "xxhash64(text) as version", "text")).collect()}
+    for i in range(len(texts)):
+        for j in range(i):
+            if (agree[i] == agree[j]).any() and near.matched(words[i], words[j], near.needed(len(words[i]) + len(words[j]), 0.8)) is not None:
+                x, y = sorted((up[i], up[j]))
+                up = [x if u == y else u for u in up]
+    assert 0 < sum(u != i for i, u in enumerate(up)) <= 70
+    for block in (512, 16):
+        monkeypatch.setattr(near, "BLOCK", block, raising=False)
+        got = {r.doc_id: r.class_id for r in near.near_classes(frame(spark, texts), together=2).collect()}
+        assert [got[i] for i in range(len(texts))] == up
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rng = np.random.default_rng(14)
     t, u = (" ".join(random_words(rng, 60, 10**6)) for _ in range(2))
