@@ -8,9 +8,10 @@ in it. Consecutive windows with the same minimiser form a super-k-mer. Equal win
 2. they travel, each packed as one string, to their minimiser's bucket, where windows are sorted by 128 bits of hashes,
    neighbours with equal hashes are compared word by word, and each run of equal windows gives the least document it
    starts in;
-3. a minimiser with more than ``hot`` super-k-mers isn't one task's work: its strings are dealt out by document, its
-   windows are aggregated by their own 128 bits (pre-aggregated before the shuffle) and joined back in up to ``PARTS``
-   parts, so that a window held by very many documents isn't one task's work either;
+3. a minimiser with more than ``hot`` super-k-mers isn't one task's work: its strings are dealt out by document. Equal
+   strings (by SHA-256) are one: it is kept for its least document, and goes whole from all others. The windows of the
+   different strings are aggregated by their own 128 bits (pre-aggregated before the shuffle) and joined back. Both joins
+   are in up to ``PARTS`` parts, so that what is held by very many documents isn't one task's work either;
 4. the ranges of words to remove are gathered for each document and taken out of its text.
 
 Documents are shuffled once (both joins read the same exchange). A word is a maximal run of bytes other than 0x20 and
@@ -198,6 +199,18 @@ def ranges_by_window(strings: DataFrame, window: int) -> DataFrame:
     return each.join(least, ["a", "b", "part"]).where("doc_id > least").select("doc_id", "version", "from", (F.col("from") + window).cast("int").alias("to"))
 
 
+def equal_strings(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of hot minimisers: the ranges of strings that a smaller document holds as well, and all other strings."""
+    own = strings.where("parts > 0").withColumn("digest", F.unhex(F.sha2("packed", 256))).withColumn("part", F.expr("int(pmod(doc_id, parts))"))
+    # equal strings have one minimiser, so one number of parts
+    copies = own.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("parts").alias("parts")).where("least < most")
+    copies = copies.select("digest", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = own.join(copies, ["digest", "part"], "left")
+    words = F.length("packed") - F.length(F.replace("packed", F.lit(" "), F.lit(""))) + 1
+    ranges = both.where("doc_id > least").select("doc_id", "version", F.col("start").alias("from"), (F.col("start") + words).cast("int").alias("to"))
+    return ranges, both.where("least is null or doc_id = least").select(*strings.columns)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text) for each row of (doc_id, text); ``carry`` adds a struct ``carried``."""
     quoted = lambda c: "`" + c.replace("`", "``") + "`"
@@ -207,7 +220,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, ho
     shared = marks.groupBy("minimiser").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most")
     wanted = marks.join(shared, "minimiser").select("doc_id", "version", "start", "windows", "minimiser", F.when(F.col("n") > hot, F.least(F.lit(PARTS), F.ceil(F.col("n") / max(hot, 1)))).otherwise(0).cast("int").alias("parts"))
     strings = packed(docs, wanted, window)
-    ranges = ranges_by_bucket(strings, window).unionByName(ranges_by_window(strings, window))
+    whole, others = equal_strings(strings)
+    ranges = ranges_by_bucket(strings, window).unionByName(ranges_by_window(others, window)).unionByName(whole)
     of_doc = ranges.groupBy("doc_id", "version").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
     fields = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept", "string")
     if carry:

@@ -81,6 +81,23 @@ def test_repeats_of_twin_sequences_and_hot_windows(spark):
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute_repeats(list(enumerate(texts)), 12)
 
 
+def test_repeats_look_at_equal_hot_strings_once(spark, monkeypatch):
+    """Copies of a text make no windows of their own; what they lose stays the same."""
+    rng = np.random.default_rng(16)
+    text, part = random_words(rng, 60, 10**6), random_words(rng, 6, 10**6)
+    texts = [" ".join(text)] * 30 + [" ".join(text[:30] + part)] + [" ".join(part + text[20:])] + [" ".join(text)] * 10
+    seen, by_window = [], repeats.ranges_by_window
+
+    def counted(strings, window):
+        seen.append(strings.count())
+        return by_window(strings, window)
+
+    monkeypatch.setattr(repeats, "ranges_by_window", counted)
+    got = repeats.remove_repeats(frame(spark, texts), 12, 4, 5).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute_repeats(list(enumerate(texts)), 12)
+    assert 0 < seen[0] <= 3 * 60
+
+
 def classes_of(df):
     return {(r.doc_id, r.version): r.class_id for r in df.collect()}
 
