@@ -16,7 +16,8 @@ No bucket is expanded into all its pairs:
 3. the members of a larger open bucket of a sketch are dealt out to blocks of some ``BLOCK`` rows or ``BLOCK_WORDS``
    words. For every two blocks a group gets their members with their texts, compares the pairs by the same bound, aligns
    what it allows and returns the links. A pair counts only in the first sketch in which it agrees, and not once the
-   links of its group have joined its classes.
+   links of its group have joined its classes. A node's text is fetched once, with the list of its buckets, and copied
+   from there to the groups; a bucket of one block needs no more copies than it has members.
 
 So every pair that agrees in a sketch is compared, whatever the size of the bucket, or is already of one class.
 
@@ -45,11 +46,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_string_array, buffer_of, checkpoint_ready, mix, release, span_hashes, spread, table, take_spans, text_slices, word_hashes, word_spans
+from .common import as_string_array, buffer_of, checkpoint_ready, mix, release, slices, span_hashes, spread, table, take_spans, text_slices, word_hashes, word_spans
 
 SHINGLE, SIMILARITY, SKETCHES, BUCKETS, SHORT = 3, 0.8, 48, 128, 15
 #: members of an open bucket whose pairs are joined; members, and words, of the blocks of larger ones; splits by words
-TOGETHER, BLOCK, BLOCK_WORDS, SPLITS = 32, 512, 200_000, 3
+TOGETHER, BLOCK, BLOCK_WORDS, SPLITS = 32, 1024, 1_000_000, 3
 PLACE_BITS = 24
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -313,11 +314,14 @@ def block_links(own: pa.Table, threshold: float) -> list[tuple[int, int]]:
     own = own.sort_by("node")  # the same links whatever the order of rows
     node, label, n, side = (own.column(c).to_numpy() for c in ("node", "class", "n_words", "side"))
     _, label = np.unique(label, return_inverse=True)
-    texts = [t.encode().split() for t in own.column("text").to_pylist()]
     raw, off = buffer_of(as_string_array(own.column("text")))
-    s, e, first = word_spans(raw, off)
-    bucket = spread(first) * BUCKETS + (word_hashes(raw, s, e) >> np.uint64(57)).astype(np.int64)
-    counts = np.bincount(bucket, minlength=len(own) * BUCKETS).reshape(-1, BUCKETS).astype(np.int32)
+    words = lambda i: raw[off[i] : off[i + 1]].tobytes().split()  # noqa: E731  the words of all texts at once would take ten times their bytes
+    counts = np.zeros((len(own), BUCKETS), np.int32)
+    for i, j in slices(off):
+        part = raw[off[i] : off[j]]
+        s, e, first = word_spans(part, off[i : j + 1] - off[i])
+        bucket = spread(first) * BUCKETS + (word_hashes(part, s, e) >> np.uint64(57)).astype(np.int64)
+        counts[i:j] = np.bincount(bucket, minlength=(j - i) * BUCKETS).reshape(-1, BUCKETS)
     counts = counts.astype(np.int16) if counts.max(initial=0) < 1 << 15 else counts
     before = own.column("before").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
     two = side.min() < side.max()
@@ -328,8 +332,9 @@ def block_links(own: pa.Table, threshold: float) -> list[tuple[int, int]]:
         y = y[(label[y] != label[x]) & (2 * np.minimum(n[x], n[y]) >= least)]
         y = y[~(before[y] == before[x]).any(1)]
         y = y[2 * np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64) >= threshold * (n[x] + n[y]) - 1e-9]
+        own_words = words(x) if len(y) else []
         for i in y:
-            if label[i] != label[x] and matched(texts[x], texts[i], needed(len(texts[x]) + len(texts[i]), threshold)) is not None:
+            if label[i] != label[x] and matched(own_words, words(i), needed(int(n[x]) + int(n[i]), threshold)) is not None:
                 out.append((min(node[x], node[i]), max(node[x], node[i])))
                 label[label == label[i]] = label[x]
     return out
@@ -337,21 +342,23 @@ def block_links(own: pa.Table, threshold: float) -> list[tuple[int, int]]:
 
 def within_blocks(large: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links between classes in buckets of sketches, found by every two blocks of a bucket."""
-    rows = large.join(nodes.select("node", "n_words"), "node")
+    # by node, with the list of its buckets (one of each sketch at most): joins with nodes and texts make a row a node
+    own = large.groupBy("node").agg(F.min("class").alias("class"), F.collect_list(F.struct("key", "last")).alias("buckets"))
+    own = own.join(nodes.select("node", "doc_id", "version", "n_words", "sketches"), "node").checkpoint()
     # as a table of its own, so that Spark can split a large bucket in the join with its size
-    sizes = rows.groupBy("key").agg(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n_words").cast("long")) / BLOCK_WORDS).alias("x")).select("key", F.ceil("x").cast("int").alias("parts")).checkpoint()
-    rows = rows.join(sizes, "key").withColumn("own", F.expr("int(pmod(xxhash64(node, key), parts))"))
-    rows = rows.select("key", "node", "class", "n_words", "last", "own", F.expr("explode(sequence(0, parts - 1))").alias("other"))
-    facts = nodes.select("node", "doc_id", "version", "sketches").join(large.select("node").distinct(), "node", "left_semi")
-    facts = facts.join(texts.select("doc_id", "version", "text"), ["doc_id", "version"]).select("node", "sketches", "text").checkpoint()
-    rows = rows.join(facts, "node").withColumn("before", F.expr("slice(sketches, 1, -1 - last)"))
-    rows = rows.select("*", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias("side"))
+    sizes = own.select("n_words", F.explode("buckets.key").alias("key")).groupBy("key").agg(F.greatest(F.count("*") / BLOCK, F.sum(F.col("n_words").cast("long")) / BLOCK_WORDS).alias("x"))
+    sizes = sizes.select("key", F.ceil("x").cast("int").alias("parts")).checkpoint()
+    placed = own.select("node", F.inline("buckets")).join(sizes, "key").groupBy("node").agg(F.collect_list(F.struct("key", "last", "parts")).alias("buckets"))
+    own = own.drop("buckets").join(placed, "node").join(texts.select("doc_id", "version", "text"), ["doc_id", "version"])
+    rows = own.select("node", "class", "n_words", "sketches", "text", F.inline("buckets")).withColumn("side", F.expr("int(pmod(xxhash64(node, key), parts))"))
+    rows = rows.withColumn("before", F.expr("slice(sketches, 1, -1 - last)")).withColumn("other", F.expr("explode(sequence(0, parts - 1))"))
+    rows = rows.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "class", "n_words", "side", "before", "text")
 
     def run(own: pa.Table) -> pa.Table:
         links = block_links(own, threshold)
         return pa.table({c: pa.array([p[i] for p in links], pa.int64()) for i, c in enumerate("ab")})
 
-    return rows.drop("own", "other", "last", "sketches").groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def second_look(member: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, together: int) -> tuple[DataFrame, DataFrame]:

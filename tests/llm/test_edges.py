@@ -173,6 +173,35 @@ def test_near_duplicates_in_large_buckets_lose_no_pair(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == up
 
 
+def rows_of_joins(spark, since: int) -> int:
+    """Rows that joins have made in the executions from number ``since`` on."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(int(since), runs.size())):
+        plan, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (plan.apply(i) for i in range(plan.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if "Join" in node.name() else []
+            found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            total += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return total
+
+
+def test_near_duplicates_fetch_a_node_of_large_buckets_once(spark, monkeypatch):
+    """Twice the members of a bucket make about twice the rows in joins, however many blocks they are dealt out to."""
+    monkeypatch.setattr(near, "BLOCK", 4)
+    rng = np.random.default_rng(16)
+    passage, made = random_words(rng, 60, 10**6), []
+    for n in (40, 80):
+        texts = [" ".join(random_words(rng, 30, 10**6) + passage) for _ in range(n)]
+        rows = spark.createDataFrame([(i, i) for i in range(n)], "node long, class long").withColumn("key", near.F.lit(7)).withColumn("last", near.F.lit(-1))
+        docs = frame(spark, texts).selectExpr("doc_id", "xxhash64(text) as version", "text")
+        nodes = near.sketch(docs).withColumn("node", near.F.col("doc_id"))
+        before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+        assert near.within_blocks(rows, nodes, docs, 0.8).collect() == []
+        made.append(rows_of_joins(spark, before))
+    assert 0 < made[1] <= 2.5 * made[0], made
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rng = np.random.default_rng(14)
     t, u = (" ".join(random_words(rng, 60, 10**6)) for _ in range(2))
