@@ -5,6 +5,10 @@ import pyarrow.parquet as pq
 import pyarrow as pa
 
 import corpus_pipeline
+from quarryloom.llm import op1_near_dedup as near
+
+from .test_edges import rows_of_joins
+from .test_operators import frame, random_words
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -33,3 +37,16 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert {r.doc_id for r in kept["packing"].collect()} == set(last)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in whole.collect()} == set(last)
+
+
+def test_near_duplicates_of_large_buckets_join_in_proportion(spark, monkeypatch):
+    """The stage keeps texts that share a passage only, and twice of them make about twice the rows in its joins."""
+    monkeypatch.setattr(near, "BLOCK", 4)
+    rng = np.random.default_rng(17)
+    passage, made = random_words(rng, 60, 10**6), []
+    for n in (40, 80):
+        docs = frame(spark, [" ".join(random_words(rng, 20, 10**6) + passage) for _ in range(n)])
+        before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+        assert corpus_pipeline.near_duplicates(spark, docs, "").count() == n
+        made.append(rows_of_joins(spark, before))
+    assert 0 < made[1] <= 2.6 * made[0], made
