@@ -218,3 +218,14 @@ def test_chunks_carry_their_documents_columns(spark):
     docs = spark.createDataFrame([("d1", "# A\n\ntext one", "web", ["f.pdf"]), ("d2", "text two", "file", None)], "doc_id string, markdown string, source string, attachments array<string>")
     got = corpus.with_metadata(corpus.chunk_documents(docs, "doc_id"), docs, "doc_id").collect()
     assert {(r.doc_id, r.source, tuple(r.attachments or [])) for r in got} == {("d1", "web", ("f.pdf",)), ("d2", "file", ())}
+
+
+def test_named_characters_need_their_semicolon(spark):
+    html = "<html><body><h1>Fish &amp; chips &ampx; &copy 5 &#169; &lt;b&gt; &notit; R&D &amp</h1><a href='/p?a=1&copy=2&amp;b=3'>x</a><script>a &amp b</script><article><p>%s&amp</p></article></body></html>" % SENTENCE
+    page = dom.parse(html)
+    assert page.text(page.first("h1")) == "Fish & chips &ampx; &copy 5 © <b> &notit; R&D &amp"
+    assert page.attrs[page.anchors[0]]["href"] == "/p?a=1&copy=2&b=3" and page.text(page.first("script")) == "a &amp b"
+    assert [html[page.mark_from[i] : page.mark_to[i]][:3] for i in range(3)] == ["<ht", "<bo", "<h1"] and html[: page.mark_to[2]].endswith("</h1>")
+    own = dom.densest(dom.explode_elements(spark.createDataFrame([(1, "u", html)], "k int, url string, html string"), ["k"]), ["k"]).first()
+    assert own.text_len == len((SENTENCE + "&amp").strip())
+    assert corpus.to_markdown(spark.createDataFrame([(1, html)], "k int, html string"), ["k"]).first().markdown.endswith("&amp")
