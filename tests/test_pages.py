@@ -47,6 +47,14 @@ def test_regions_of_lists_files_and_odd_pages(regions):
     assert odd == [{}, {}, {}] and crumb["article_body"] == ("body", 0.0, dom.NO_BODY)
 
 
+def test_a_short_article_is_the_body(spark, regions):
+    short = "<body><div class='ad'>Not this one</div><article><h1>Closed.</h1><p><b>Closed.<br></article></body>"
+    nothing, menu = "<body><div>Not this one</div><article> </article></body>", "<body><main class='menu'>Up</main></body>"
+    assert [r["article_body"] for r in regions(short, nothing, menu)] == [("article", 1.0, None), ("body", 0.0, dom.NO_BODY), ("body", 0.0, dom.NO_BODY)]
+    own = columns.classify_pages(dom.segment_pages(spark.createDataFrame([("u", short), ("v", nothing)], "url string, html string"), ["url"])).collect()
+    assert {r.url: (r.type, r.confidence) for r in own} == {"u": ("single", 1.0), "v": ("unknown", 0.0)}
+
+
 def selectors_of(spark, *pages):
     elements = dom.explode_elements(spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "k int, url string, html string"), ["k"])
     found = {(r.k, r.pos): r.selector for r in selectors.element_selectors(elements, ["k"]).collect()}
