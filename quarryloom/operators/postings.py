@@ -26,7 +26,7 @@ from .small import if_small
 BUCKETS, BLOCK = 64, 16
 PLACE = ["kb_id", "batch", "block"]
 #: scores are ranked by nine places; a bound must be lower by more than that and the noise of a sum to rule a block out
-SLACK = 1e-8
+PLACES, SLACK = 9, 1e-8
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -90,7 +90,7 @@ def scored(lists: DataFrame, which: DataFrame, postings: DataFrame) -> DataFrame
     """(query_id, kb_id, chunk_id, score) of every chunk in the blocks ``which`` (query_id, kb_id, batch, block)."""
     needed = lists.join(which.select("query_id", *PLACE), ["query_id", *PLACE]).select("query_id", *PLACE, "term", "idf", "avg_len")
     hits = needed.join(postings.select(*PLACE, "term", "hits"), [*PLACE, "term"]).select("query_id", "kb_id", "idf", "avg_len", F.inline("hits"))
-    return hits.groupBy("query_id", "kb_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * weight("tf", "chunk_len")), 9).alias("score"))
+    return hits.groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(F.col("idf") * weight("tf", "chunk_len")).alias("score"))
 
 
 def split_blocks(lists: DataFrame, postings: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,13 +99,13 @@ def split_blocks(lists: DataFrame, postings: DataFrame, k: int) -> tuple[DataFra
     order = F.row_number().over(Window.partitionBy("query_id", "kb_id").orderBy(F.desc("upper"), "batch", "block"))
     first = blocks.withColumn("place", order).where(F.col("place") <= k)
     scores = scored(lists, first, postings).checkpoint()
-    reached = top_k(scores, k, per=("query_id", "kb_id")).groupBy("query_id", "kb_id").agg(F.min("score").alias("reached"))
+    reached = top_k(scores, k, per=("query_id", "kb_id"), places=PLACES).groupBy("query_id", "kb_id").agg(F.min("score").alias("reached"))
     rest = blocks.join(first.select("query_id", *PLACE), ["query_id", *PLACE], "left_anti")
     return scores, rest.join(if_small(reached), ["query_id", "kb_id"]).where(F.col("upper") + SLACK >= F.col("reached")), blocks
 
 
 def search_index(queries: DataFrame, index: DataFrame, k: int = TOP_K, tokens: Callable[[Column], Column] = words, buckets: int = BUCKETS) -> DataFrame:
-    """(query_id, kb_id, chunk_id, score to nine places, rank): the k best chunks of every kb for (query_id, text).
+    """(query_id, kb_id, chunk_id, score, rank): the k best, by nine places, chunks of every kb for (query_id, text).
 
     Queries with a kb_id ask that one. A query without a term that a kb holds has no rows there; ties go to the lesser chunk.
     """
@@ -114,4 +114,4 @@ def search_index(queries: DataFrame, index: DataFrame, k: int = TOP_K, tokens: C
     lists = bounded_lists(terms, index, buckets).checkpoint()
     postings = buckets_of(index, terms, buckets)
     scores, rest, _ = split_blocks(lists, postings, k)
-    return top_k(scores.unionByName(scored(lists, rest, postings)), k, per=("query_id", "kb_id"))
+    return top_k(scores.unionByName(scored(lists, rest, postings)), k, per=("query_id", "kb_id"), places=PLACES)

@@ -149,9 +149,13 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block:
     return top_k(left.cogroup(right).applyInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double"), k)
 
 
-def top_k(scored: DataFrame, k: int = TOP_K, threshold: float | None = None, per: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Adds ``rank``: per query the k best by score, ties by chunk, none below the threshold."""
-    rank = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("score"), "chunk_id"))
+def top_k(scored: DataFrame, k: int = TOP_K, threshold: float | None = None, per: tuple[str, ...] = ("query_id",), places: int | None = None) -> DataFrame:
+    """Adds ``rank``: per query the k best by score, ties by chunk, none below the threshold.
+
+    With ``places`` scores that are equal to so many places tie; the scores themselves stay as they are.
+    """
+    score = F.col("score") if places is None else F.round("score", places)
+    rank = F.row_number().over(Window.partitionBy(*per).orderBy(score.desc(), "chunk_id"))
     own = scored if threshold is None else scored.where(F.col("score") >= threshold)
     return own.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -242,3 +242,9 @@ def test_keyword_search_asks_every_row_of_every_kb(spark):
                 want[q.item_id, kb, d] = scores[d]
     got = {(r.query_id, r.kb_id, r.chunk_id): r.score for r in catalog.QUERIES["ret_bm25_all"](spark, sf).collect()}
     assert len({k[1] for k in want}) > 1 and got == pytest.approx(want, abs=2e-6)
+
+
+def test_scores_are_ranked_by_places_and_rounded_once(spark):
+    rows = [(1, 7, 34.7292464999), (1, 3, 34.7292464998), (1, 9, 34.7)]
+    best = retrieval.top_k(spark.createDataFrame(rows, "query_id int, chunk_id int, score double"), 2, places=9)
+    assert sorted((r["rank"], r.chunk_id, r.s) for r in best.select("rank", "chunk_id", F.round("score", 6).alias("s")).collect()) == [(1, 3, 34.729246), (2, 7, 34.729246)]
