@@ -19,6 +19,8 @@ K1, B = 1.5, 0.75
 TOP_K, CANDIDATE_K, THRESHOLD, WEIGHT = 5, 20, 0.3, 0.5
 WORD = r"([\p{L}\p{Nd}]+)"
 CJK = r"[㐀-䶿一-鿿]"
+#: a letter or digit of a word; a document number isn't looked for inside one
+IN_WORD = r"[\p{L}\p{Nd}&&[^㐀-䶿一-鿿]]"
 
 
 def words(c: Column) -> Column:
@@ -27,11 +29,12 @@ def words(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """Words, pairs of neighbouring CJK characters, and document numbers whole besides their pieces."""
+    """Words, pairs of neighbouring CJK characters, and document numbers whole besides their pieces. What looks like a
+    number inside a longer word (a key in hex digits, say) isn't one: the word is whole already."""
     plain = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"((?:(?![㐀-䶿一-鿿])[\p{L}\p{Nd}])+)"), F.lit(1)), lambda w: w != "")
     runs = F.regexp_extract_all(c, F.lit(f"({CJK}+)"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
-    return F.concat(plain, pairs, F.transform(extract_doc_numbers(c), F.lower))
+    return F.concat(plain, pairs, F.transform(extract_doc_numbers(c, alone=IN_WORD), F.lower))
 
 
 def term_counts(chunks: DataFrame, tokens: Callable[[Column], Column] = words, wanted: DataFrame | None = None) -> DataFrame:

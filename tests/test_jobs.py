@@ -244,6 +244,15 @@ def test_keyword_search_asks_every_row_of_every_kb(spark):
     assert len({k[1] for k in want}) > 1 and got == pytest.approx(want, abs=2e-6)
 
 
+def test_numbers_inside_a_word_are_none(spark):
+    lines = ["token 82BC439E93", "见FORM-12号 AB12", "xAB12 AB12x AB123", "éAB12 AB12é", "82BC439E93闽教学〔2024〕15号"]
+    own = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, c string").select("i", retrieval.tokenize(F.col("c")).alias("t"))
+    got = {r.i: sorted(r.t) for r in own.collect()}
+    assert got[0] == ["82bc439e93", "token"] and got[1] == sorted(["见", "form", "12", "号", "form-12", "ab12", "ab12"])
+    assert got[2] == sorted(["xab12", "ab12x", "ab123", "ab123"]) and got[3] == ["ab12é", "éab12"]
+    assert "闽教学〔2024〕15号" in got[4] and "bc439" not in got[4]
+
+
 def test_scores_are_ranked_by_places_and_rounded_once(spark):
     rows = [(1, 7, 34.7292464999), (1, 3, 34.7292464998), (1, 9, 34.7)]
     best = retrieval.top_k(spark.createDataFrame(rows, "query_id int, chunk_id int, score double"), 2, places=9)
