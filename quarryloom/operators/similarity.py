@@ -1,10 +1,17 @@
-"""Similar sets: a join by prefixes, and near-equal texts by banded minima of shingles."""
+"""Similar sets: a join by prefixes or blocks of all pairs, and near-equal texts by banded minima of shingles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_ready
+
 
 def prefix_length(size: Column, threshold: float) -> Column:
     """How many of a set's rarest tokens suffice to meet every set that is similar enough."""
@@ -16,28 +23,57 @@ def least_overlap(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
 
 
-def similar_sets(sets: DataFrame, group: list[str], tokens: str, threshold: float) -> DataFrame:
+#: sets of a block at most, and tokens of a block's sets; columns of a slice in which common tokens are counted
+BLOCK, TOKENS, SLICE = 512, 500_000, 4096
+#: a pair of a prefix join is joined, shuffled and made one with others: so many pairs of a block are less work
+JOINED = 16
+
+
+def similar_sets(sets: DataFrame, group: list[str], tokens: str, threshold: float, name: Callable[[Column], Column] | None = None) -> DataFrame:
     """(group, a, b, similarity): pairs of distinct non-empty sets (group, tokens) of a group with Jaccard ``threshold`` or more.
 
-    Tokens of a set are put in rising order of how many sets of the group hold them. Similar sets share one of the first
-    few tokens (``prefix_length``), their sizes are near each other, and behind the place of the shared token enough
-    tokens must be left on either side; only pairs that pass all of this are compared. Hot tokens stand last, so they
-    join no sets but those that have little else. ``tokens`` are sorted sets. Groups and sets that are null take no part.
+    Of two sets a is the one whose tokens, joined, come first. With ``name`` a and b are that of the sets, made once a set
+    where many pairs are found. ``tokens`` are sorted sets. Groups and sets that are null take no part.
+
+    Two ways, by what a group has. Tokens of a set are put in rising order of how many sets of the group hold them. Similar
+    sets share one of the first few tokens (``prefix_length``), their sizes are near each other, and behind the place of
+    the shared token enough tokens must be left on either side; only pairs that pass all of this are compared. Hot tokens
+    stand last, so they join no sets but those that have little else. Where sets are made of so few tokens that such a join
+    would meet more pairs than there are, all pairs of the group are compared by blocks: common tokens of two blocks are a
+    product of their bits.
     """
-    met = candidates(sets, group, tokens, threshold)
+    checkpoint_ready(sets.sparkSession)
+    name = name or (lambda c: c)
+    rows = distinct_sets(sets, group, tokens)
+    met = prefixes(rows, group, threshold).groupBy(*group, "token").agg(F.count("*").alias("n")).groupBy(*group).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("met"))
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.size("set")).alias("tokens"))
+    way = sizes.join(met, group).withColumn("dense", F.col("n").cast("double") * F.col("n") <= JOINED * F.col("met"))
+    way = way.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("tokens") / TOKENS)).cast("int")).select(*group, "dense", "blocks").checkpoint()
+    few = rows.join(way.where("not dense").select(group), group, "left_semi")
     common = F.size(F.array_intersect("a", "b"))
-    return met.withColumn("similarity", common / (F.size("a") + F.size("b") - common)).where(F.col("similarity") >= threshold)
+    found = candidates(few, group, "set", threshold).withColumn("similarity", common / (F.size("a") + F.size("b") - common)).where(F.col("similarity") >= threshold)
+    swapped = F.concat_ws("\1", "a") > F.concat_ws("\1", "b")
+    found = found.select(*group, *(name(F.when(swapped, F.col(y)).otherwise(F.col(x))).alias(x) for x, y in ("ab", "ba")), "similarity")
+    return found.unionByName(similar_in_blocks(rows.join(way.where("dense").drop("dense"), group), group, threshold, name))
 
 
-def candidates(sets: DataFrame, group: list[str], tokens: str, threshold: float) -> DataFrame:
-    """The pairs (group, a, b) that ``similar_sets`` compares."""
-    rows = sets.where(F.size(tokens) > 0).select(*group, F.col(tokens).alias("set")).distinct()
+def distinct_sets(sets: DataFrame, group: list[str], tokens: str) -> DataFrame:
+    return sets.where(F.size(tokens) > 0).select(*group, F.col(tokens).alias("set")).distinct()
+
+
+def prefixes(rows: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """(group, set, size, place, token): the rarest tokens of each set, as many as it takes to meet every similar one."""
     each = rows.select(*group, "set", F.explode("set").alias("token"))
     often = each.groupBy(*group, "token").agg(F.count("*").alias("sets"))
     rare = F.array_sort(F.collect_list(F.struct("sets", "token")))
     ordered = each.join(often, [*group, "token"]).groupBy(*group, "set").agg(F.transform(rare, lambda x: x["token"]).alias("by_rarity"))
     size = F.size("set")
-    ahead = ordered.select(*group, "set", size.alias("size"), F.posexplode(F.slice("by_rarity", F.lit(1), prefix_length(size, threshold))).alias("place", "token"))
+    return ordered.select(*group, "set", size.alias("size"), F.posexplode(F.slice("by_rarity", F.lit(1), prefix_length(size, threshold))).alias("place", "token"))
+
+
+def candidates(sets: DataFrame, group: list[str], tokens: str, threshold: float) -> DataFrame:
+    """The pairs (group, a, b) that ``similar_sets`` compares where it joins prefixes."""
+    ahead = prefixes(distinct_sets(sets, group, tokens), group, threshold)
     a, b = (ahead.select(*group, "token", F.col("set").alias(x), F.col("size").alias(f"{x}_size"), F.col("place").alias(f"{x}_place")) for x in "ab")
     near = (F.col("a_size") <= F.col("b_size")) & (F.col("a_size") >= F.ceil(F.col("b_size") * threshold - F.lit(1e-9)))
     # of two sets of one size the lesser comes first
@@ -49,6 +85,55 @@ def candidates(sets: DataFrame, group: list[str], tokens: str, threshold: float)
     return met.where(F.col("m.left") >= least_overlap(F.col("m.a_size"), F.col("m.b_size"), threshold)).drop("m")
 
 
+def bits_of(lists: pa.ListArray, codes: np.ndarray, first: int) -> np.ndarray:
+    """A row a set, a column a token with a code from ``first`` on, SLICE at most: 1 where the set holds it."""
+    out = np.zeros((len(lists), SLICE), np.float32)
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    here = (codes >= first) & (codes < first + SLICE)
+    out[owner[here], codes[here] - first] = 1
+    return out
+
+
+def common_tokens(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """How many tokens each set of one block has in common with each of another."""
+    x, y = pc.unique(a.flatten()), pc.unique(b.flatten())
+    both = x.filter(pc.is_in(x, value_set=y))
+    codes = [pc.fill_null(pc.index_in(z.flatten(), value_set=both), -1).to_numpy(zero_copy_only=False) for z in (a, b)]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, len(both), SLICE):
+        width = min(SLICE, len(both) - first)
+        out += bits_of(a, codes[0], first)[:, :width] @ bits_of(b, codes[1], first)[:, :width].T
+    return out
+
+
+def similar_in_blocks(rows: DataFrame, group: list[str], threshold: float, name: Callable[[Column], Column]) -> DataFrame:
+    """The pairs of (group, set, blocks), all of a group compared: its sets are dealt in ``blocks``, a task holds two."""
+    own = rows.withColumns({"name": name(F.col("set")), "joined": F.concat_ws("\1", "set"), "own": F.pmod(F.xxhash64("set"), "blocks").cast("int")})
+    what = [F.col(c).alias(c) for c in (*group, "set", "name", "joined")]  # columns of its own for either side
+    left = own.select(*what, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = own.select(*what, F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    kinds = dict(own.dtypes)
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), f"a {kinds['name']}, b {kinds['name']}, similarity double"])
+
+    def run(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        whole = key[-1].as_py() == key[-2].as_py()
+        x, y = (t.select(["set", "name", "joined"]).combine_chunks() for t in (x, x if whole else y))
+        a, b = (t.column("set").combine_chunks() if len(t) else pa.array([], t.schema.field("set").type) for t in (x, y))
+        both = common_tokens(a, b).astype(float)
+        found = both / (np.diff(a.offsets.to_numpy())[:, None] + np.diff(b.offsets.to_numpy()) - both)
+        every = pa.concat_tables([x, y])
+        order = np.empty(len(every), np.int64)
+        order[pc.sort_indices(every.column("joined")).to_numpy()] = np.arange(len(every))
+        row, col = np.nonzero(np.triu(found >= threshold, 1) if whole else found >= threshold)
+        swapped = order[row] > order[len(x) + col]
+        first, second = np.where(swapped, len(x) + col, row), np.where(swapped, row, len(x) + col)
+        names = every.column("name").combine_chunks()
+        out = [pa.array([k.as_py()] * len(row), k.type) for k in key[:-2]]
+        return pa.table([*out, names.take(pa.array(first)), names.take(pa.array(second)), pa.array(found[row, col])], names=[*group, "a", "b", "similarity"])
+
+    return left.groupBy(*group, "i", "j").cogroup(right.groupBy(*group, "i", "j")).applyInArrow(run, schema)
+
+
 # --- texts -----------------------------------------------------------------------------------------------------
 
 #: characters of a shingle, and bands x rows of minima: a pair of similarity 0.8 shares a band with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS > 0.9999

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -41,15 +42,13 @@ def fp_intersect(a: Column, b: Column) -> Column:
     return F.when(F.size(both) > 0, both).otherwise(a)
 
 
-def similar_fingerprints(fps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_fingerprints(fps: DataFrame, threshold: float = THRESHOLD, name: Callable[[Column], Column] | None = None) -> DataFrame:
     """Pairs of distinct fingerprints of one (site, shape) that are similar: (site, shape, a, b, similarity).
 
-    Few fingerprints stand in a shape however many pages it has: equal ones are one before the join, which compares
-    only those that share a rare token (``similarity.similar_sets``).
+    Few fingerprints stand in a shape however many pages it has: equal ones are one before any pair is made
+    (``similarity.similar_sets``). With ``name`` a and b are that of the fingerprints.
     """
-    found = similar_sets(fps, ["site", "shape"], "fingerprint", threshold)
-    swapped = F.concat_ws("\1", "a") > F.concat_ws("\1", "b")
-    return found.select("site", "shape", F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"), "similarity")
+    return similar_sets(fps, ["site", "shape"], "fingerprint", threshold, name)
 
 
 class Clusters:

@@ -44,6 +44,28 @@ def test_similar_sets_compare_few_pairs_and_lose_none(spark):
         assert similarity.candidates(frame, ["site"], "tokens", threshold).count() < 0.2 * pairs
 
 
+def test_sets_of_few_tokens_are_compared_by_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "SLICE", 7)
+    names = [f"{c}{i}" for c in "abcde" for i in range(4)]
+    sets = [(rng.choice("gh"), sorted(rng.sample(names, rng.randint(12, 20)))) for _ in range(120)] + [("g", ["a\1b"]), ("g", ["a", "b"]), ("g", []), (None, ["a0"]), ("only", ["a0"])]
+    frame = spark.createDataFrame(sets, "site string, tokens array<string>").repartition(3)
+    distinct = sorted({(g, tuple(s)) for g, s in sets if s and g})
+    key = "\1".join
+    want = {}
+    for i, (g, a) in enumerate(distinct):
+        for h, b in distinct[i + 1 :]:
+            x = len(set(a) & set(b)) / len(set(a) | set(b))
+            if g == h and x >= 0.7:
+                want[(g, *sorted(map(key, (a, b))))] = x
+    got = similarity.similar_sets(frame, ["site"], "tokens", 0.7).collect()
+    assert {(r.site, key(r.a), key(r.b)): r.similarity for r in got} == want and len(got) == len(want) > 500
+    named = similarity.similar_sets(frame, ["site"], "tokens", 0.7, lambda c: F.sha2(F.array_join(c, "\1"), 256))
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("sha2") <= 4  # once a set of blocks, not once a pair
+    assert named.count() == len(want) and "FlatMapCoGroupsInArrow" in named._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_near_equal_texts(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(500)]
