@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_ready
+from ..session import checkpoint_ready, ship
 
 
 def prefix_length(size: Column, threshold: float) -> Column:
@@ -145,10 +145,67 @@ def squeezed(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
 
 
-def shingles_of(body: Column, size: int = SHINGLE) -> Column:
-    """The distinct runs of ``size`` characters of a squeezed text; of a shorter text the whole."""
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(body) - size + 1))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(body, i, F.lit(size))))
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64 bits spread over 64 bits (the end of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def letters(body: str) -> np.ndarray:
+    return np.frombuffer(body.encode("utf-32-le"), np.uint32)
+
+
+def band_values(body: str, bands: int, rows: int) -> np.ndarray:
+    """A number for each band of a text's signature, with the band in it; a text of less than a shingle has none."""
+    c = letters(body).astype(np.uint64)
+    n = len(c) - SHINGLE + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + n]
+    h, each = mixed(h), mixed(np.arange(1, bands * rows + 1, dtype=np.uint64))
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, n, 512):
+        np.minimum(least, ((h[i : i + 512, None] ^ each) * (each | np.uint64(1))).min(0), out=least)
+    value = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + column)
+    return value.view(np.int64)
+
+
+def shingles(*bodies: str) -> list[np.ndarray]:
+    """The distinct shingles of each of some texts, as sorted numbers that are equal where the shingles are."""
+    parts = [letters(b) for b in bodies]
+    known, codes = np.unique(np.concatenate(parts), return_inverse=True)
+    bits = max(1, int(len(known) - 1).bit_length())
+    held = max(1, 64 // bits)  # letters in a word of 64 bits: with few different ones a shingle is one word, else several
+    out, words = [], []
+    for at, part in zip(np.cumsum([0, *map(len, parts)]), parts, strict=False):
+        c = codes[at : at + len(part)].astype(np.uint64)
+        n = max(0, len(c) - SHINGLE + 1)
+        own = []
+        for first in range(0, SHINGLE, held):
+            w = np.zeros(n, np.uint64)
+            for i in range(first, min(first + held, SHINGLE)):
+                w = (w << np.uint64(bits)) | c[i : i + n]
+            own.append(w)
+        words.append(own)
+    if len(words[0]) == 1:
+        return [np.unique(w[0]) for w in words]
+    every = np.unique(np.concatenate([np.stack(w, 1) for w in words]), axis=0, return_inverse=True)[1].ravel()
+    for at, w in zip(np.cumsum([0, *(len(w[0]) for w in words)]), words, strict=False):
+        out.append(np.unique(every[at : at + len(w[0])]))
+    return out
+
+
+def near_equal(a: str, b: str, threshold: float) -> bool:
+    x, y = shingles(a, b)
+    if not len(x) or not len(y) or max(len(x), len(y)) * threshold > min(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= (len(x) + len(y) - common) * threshold
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -158,38 +215,49 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     Near-equal are texts whose shingles have a Jaccard similarity of ``threshold`` or more; a class is what such pairs
     connect. Texts equal but for case and white space are one text (of its least key), so a thousand copies are one row
     before any pair is made. A signature is ``bands`` x ``rows`` minima over the hashes of a text's shingles, each
-    hashed once more with another number, all from one aggregation. Texts that agree on a band meet in a bucket: every text
+    hashed once more with another number, made in one pass over the text. Texts that agree on a band meet in a bucket: every text
     meets the bucket's least one, and only texts that are not near-equal to that meet all others, so a bucket of near
     copies makes as many pairs as it has texts. Texts that meet are compared by their true shingles. A bucket of texts
     that don't resemble its least one makes pairs of these texts with the whole bucket.
 
-    Null and empty texts have no shingles and are in no class; null keys take no part.
+    Null and empty texts have no shingles and are in no class; null keys take no part. A text shorter than a shingle
+    resembles no other text.
     """
+    ship(docs.sparkSession)
     own = docs.select(F.col(key).alias("key"), squeezed(F.col(text)).alias("body")).where("body <> '' and key is not null").withColumn("print", F.sha2("body", 256))
-    texts = own.groupBy("print").agg(F.min("key").alias("key"), F.first("body").alias("body")).select("key", shingles_of(F.col("body")).alias("s")).checkpoint()
-    hashes = texts.select("key", F.explode("s").alias("s")).select("key", F.xxhash64("s").alias("h"))
-    minima = [F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(bands * rows)]
-    values = [F.struct(F.lit(i).alias("band"), F.xxhash64(*[f"m{i * rows + j}" for j in range(rows)]).alias("value")) for i in range(bands)]
-    buckets = hashes.groupBy("key").agg(*minima).select("key", F.explode(F.array(*values)).alias("b")).select("key", "b.*")
-    least = buckets.groupBy("band", "value").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = buckets.join(least, ["band", "value"]).where("key <> hub").checkpoint()
+    texts = own.groupBy("print").agg(F.min("key").alias("key"), F.first("body").alias("body")).checkpoint()
+    kind = dict(texts.dtypes)["key"]
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [band_values(b, bands, rows) for b in batch.column("body").to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(v) for v in found])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["key", "value"])
+
+    buckets = texts.select("key", "body").mapInArrow(values, f"key {kind}, value long").checkpoint()
+    least = buckets.groupBy("value").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = buckets.join(least, "value").where("key <> hub").checkpoint()
     first = compared(met.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), texts, threshold).checkpoint()
-    apart = met.join(first.select(F.col("a").alias("hub"), F.col("b").alias("key")), ["hub", "key"], "left_anti").select("band", "value", F.col("key").alias("other"))
-    more = apart.join(met.drop("hub"), ["band", "value"]).where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    apart = met.join(first.select(F.col("a").alias("hub"), F.col("b").alias("key")), ["hub", "key"], "left_anti").select("value", F.col("key").alias("other"))
+    more = apart.join(met.drop("hub"), "value").where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
     links = first.unionByName(compared(more, texts, threshold)).checkpoint()
     classes = connected(links)
-    stands = texts.select("key").join(classes, "key")
-    found = own.groupBy("print").agg(F.min("key").alias("stands")).join(stands.withColumnRenamed("key", "stands"), "stands")
+    found = texts.select("print", F.col("key").alias("stands")).join(classes.withColumnRenamed("key", "stands"), "stands")
     return own.select("key", "print").join(found, "print").select("key", "class", (F.col("key") == F.col("stands")).alias("stands"))
 
 
 def compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of keys whose shingles are similar enough. The texts of a pair are looked up by either key."""
-    a, b = (texts.select(F.col("key").alias(x), F.col("s").alias(f"{x}_s")) for x in "ab")
-    common = F.size(F.array_intersect("a_s", "b_s"))
-    wide = F.greatest(F.size("a_s"), F.size("b_s")) * threshold <= F.least(F.size("a_s"), F.size("b_s"))
-    both = pairs.join(a, "a").join(b, "b").where(wide).withColumn("common", common)
-    return both.where(F.col("common") >= (F.size("a_s") + F.size("b_s") - F.col("common")) * threshold).select("a", "b")
+    """Pairs (a, b) of keys whose texts are near-equal. The texts (key, body) of a pair are looked up by either key."""
+    a, b = (texts.select(F.col("key").alias(x), F.col("body").alias(f"{x}_body")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [near_equal(x.as_py(), y.as_py(), threshold) for x, y in zip(batch.column("a_body"), batch.column("b_body"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = dict(pairs.dtypes)["a"]
+    return both.select("a", "b", "a_body", "b_body").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -102,3 +102,24 @@ def test_long_chains_are_one_class(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(1000, 1010).select("id", F.lit(2000)))
     got = {r.key: r["class"] for r in similarity.connected(links).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in [*range(1000, 1010), 2000]}}
+
+
+def test_shingles_are_compared_truly_and_signatures_agree():
+    rng = random.Random(7)
+    plain = lambda t: {t[i : i + 9] for i in range(len(t) - 8)}
+    for alphabet in ("ab", "abcdefghij ", [chr(i) for i in range(0x4E00, 0x5200)], [chr(i) for i in range(0x1F300, 0x1F3FF)] + ["a"]):
+        for _ in range(20):
+            a = "".join(rng.choice(alphabet) for _ in range(rng.randint(5, 300)))
+            at = rng.randint(0, len(a))
+            b = rng.choice([a[:at] + rng.choice(alphabet) + a[at:], a[at:] + a[:at], a[:8], a + a])
+            x, y = similarity.shingles(a, b)
+            assert (len(x), len(y), len(set(x.tolist()) & set(y.tolist()))) == (len(plain(a)), len(plain(b)), len(plain(a) & plain(b)))
+            both = plain(a) | plain(b)
+            assert similarity.near_equal(a, b, 0.8) == (bool(plain(a) and plain(b)) and len(plain(a) & plain(b)) >= 0.8 * len(both))
+    shared = 0
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefghijklmnop") for _ in range(900))
+        b = a[:405] + "".join(rng.choice("qrst") for _ in range(90)) + a[495:]
+        shared += bool(set(similarity.band_values(a, 20, 4).tolist()) & set(similarity.band_values(b, 20, 4).tolist()))
+        assert not set(similarity.band_values(a, 20, 4).tolist()) & set(similarity.band_values(a[::-1], 20, 4).tolist())
+    assert shared >= 299 and len(similarity.band_values("abcdefgh", 20, 4)) == 0  # a similarity of 0.8: a chance above 0.9999 each
