@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import extract_doc_numbers
 from ..session import checkpoint_ready
+from .blocks import BLOCK, search_blocks
 from .small import if_small
 
 K1, B = 1.5, 0.75
@@ -98,10 +99,12 @@ def search_bm25(queries: DataFrame, chunks: DataFrame, tokens: Callable[[Column]
     return bm25_search(terms, *from_counts(tf))
 
 
-def one_dimension(queries: DataFrame, vectors: DataFrame) -> None:
+def one_dimension(queries: DataFrame, vectors: DataFrame) -> int:
+    """The dimension that all vectors have, 0 without any."""
     sizes = [r.n for r in vectors.select(F.size("v").alias("n")).union(queries.select(F.size("v"))).distinct().limit(2).collect()]
     if len(sizes) > 1:
         raise ValueError(f"one collection has vectors of dimensions {sorted(sizes)}")
+    return sizes[0] if sizes else 0
 
 
 def best_pairs(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -126,29 +129,32 @@ def best_pairs(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = 4096, within: str | None = None) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: int = BLOCK, within: str | None = None) -> DataFrame:
     """(query_id, chunk_id, score): cosine similarity to nine places, the k best of (query_id, v) against (chunk_id, v).
 
     ``within`` names a column of both: a query is then scored against the vectors of its own value only, say its kb.
 
-    Both sides are dealt in blocks of about ``block``; a task holds one block of each, and each pair of blocks keeps its
-    own k best, so k rows a query and block are shuffled. Scores are rounded before they are ranked, so that equal
-    vectors tie. Vectors must have one dimension; zero vectors have no direction and take no part.
+    Both sides are dealt in blocks of about ``block``; a task holds one block of each. Without ``within`` every pair of
+    blocks is read where it is scored (``blocks.search_blocks``), so nothing but the blocks and the result is written;
+    with it the blocks of a value are shuffled to their pairs, each of which keeps its own k best. Scores are rounded
+    before they are ranked, so that equal vectors tie. Vectors must have one dimension; zero vectors have no direction
+    and take no part.
     """
-    one_dimension(queries, vectors)
+    dim = one_dimension(queries, vectors)
+    if within is None:
+        return search_blocks(queries, queries.count(), vectors, vectors.count(), k, dim, block)
     n_asked, n_held = (max(1, -(-x.count() // block)) for x in (queries, vectors))
     kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
-    own_part = [F.col(within).alias(within)] if within else []
 
     def dealt(df: DataFrame, key: str, own: str, n: int, other: str, others: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
-        return df.select(*own_part, key, F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), every)
+        return df.select(F.col(within).alias(within), key, F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own), every)
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         return best_pairs(asked, held, k)
 
-    left = dealt(queries, "query_id", "asked", n_asked, "held", n_held).groupBy(*([within] if within else []), "asked", "held")
-    right = dealt(vectors, "chunk_id", "held", n_held, "asked", n_asked).groupBy(*([within] if within else []), "asked", "held")
+    left = dealt(queries, "query_id", "asked", n_asked, "held", n_held).groupBy(within, "asked", "held")
+    right = dealt(vectors, "chunk_id", "held", n_held, "asked", n_asked).groupBy(within, "asked", "held")
     return top_k(left.cogroup(right).applyInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double"), k)
 
 
