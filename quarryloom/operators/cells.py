@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_ready, ship
-from .retrieval import TOP_K, best_pairs, one_dimension, top_k, vector_search
+from .blocks import search_blocks
+from .retrieval import TOP_K, one_dimension, vector_search
 from .small import if_small
 
 #: sampled vectors a model is fitted to, sampled vectors a cell at least, queries that are searched in all rows
@@ -43,6 +44,12 @@ def fit_cells(vectors: DataFrame, rows: int, cells: int | None = None, sample: i
     return centres / np.maximum(np.linalg.norm(centres, axis=1), 1e-300)[:, None]
 
 
+def nearest(v: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest cells of each vector, the nearest first."""
+    near = v @ centres.T if len(centres) > 1 else np.zeros((len(v), 1))
+    return np.argsort(-near, axis=1, kind="stable")[:, :n]
+
+
 def in_cells(df: DataFrame, key: str, centres: np.ndarray, n: int) -> DataFrame:
     """(key, v, cell, place): the n nearest cells of each row, the nearest with place 0."""
     model = ship(df.sparkSession).sparkContext.broadcast(centres)
@@ -52,9 +59,7 @@ def in_cells(df: DataFrame, key: str, centres: np.ndarray, n: int) -> DataFrame:
             c = model.value
             if not len(frame):
                 continue
-            near = np.array(frame.v.tolist()) @ c.T if len(c) > 1 else np.zeros((len(frame), 1))
-            order = np.argsort(-near, axis=1, kind="stable")[:, :n]
-            yield frame.assign(cells=order.tolist())
+            yield frame.assign(cells=nearest(np.array(frame.v.tolist()), c, n).tolist())
 
     kind = dict(df.dtypes)[key]
     own = df.mapInPandas(run, f"{key} {kind}, v array<double>, cells array<int>")
@@ -65,7 +70,8 @@ def cells_for(queries: DataFrame, held: DataFrame, centres: np.ndarray, k: int,
     """How many cells a query needs so that the share ``recall`` of the k nearest, over all rows, is in them."""
     some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(probes).checkpoint()
     truth = vector_search(some, held.select("chunk_id", "v"), k).select("query_id", "chunk_id")
-    at = truth.join(held.select("chunk_id", "cell"), "chunk_id")
+    found = held.select("chunk_id", "v").join(if_small(truth.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    at = truth.join(in_cells(found, "chunk_id", centres, 1).select("chunk_id", "cell"), "chunk_id")
     order = in_cells(some, "query_id", centres, len(centres)).select("query_id", "cell", "place")
     counts = {r.place: r["count"] for r in at.join(order, ["query_id", "cell"]).groupBy("place").count().collect()}  # a row a cell at most
     total = np.cumsum([counts.get(i, 0) for i in range(len(centres))])
@@ -75,33 +81,25 @@ def cells_for(queries: DataFrame, held: DataFrame, centres: np.ndarray, k: int,
 def cell_search(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, recall: float = RECALL, cells: int | None = None, sample: int = SAMPLE, probes: int = PROBES, part: int = PART) -> DataFrame:
     """(query_id, chunk_id, score, rank) as vector_search() gives them, from the cells that a query needs.
 
-    Scores are exact; what is missing of the k nearest is 1 - ``recall`` on average, by measurement. The rows of a cell are
-    dealt out in parts of ``part`` vectors and queries, so that a cell with a third of all rows is many tasks' work. On
-    vectors without structure nearly all cells are needed, and the work is that of all pairs again. Null vectors and those
-    without a direction take no part; empty tables give no rows.
+    Scores are exact; what is missing of the k nearest is 1 - ``recall`` on average, by measurement. The rows of a cell
+    stand together in blocks of ``part`` vectors at most, so that a cell with a third of all rows is many blocks. Every
+    block of queries reads every block (``blocks.search_blocks``) but scores those cells only that its queries need, so
+    neither vectors nor queries are copied to cells. On vectors without structure nearly all cells are needed, and the work
+    is that of all pairs again. Null vectors and those without a direction take no part; empty tables give no rows.
     """
     spark = queries.sparkSession
     checkpoint_ready(spark)
     asked, held = with_direction(queries, "query_id"), with_direction(vectors, "chunk_id")
-    one_dimension(asked, held)
-    rows = held.count()
+    dim, rows = one_dimension(asked, held), held.count()
     centres = fit_cells(held, max(rows, 1), cells, sample)
-    held = in_cells(held, "chunk_id", centres, 1).drop("place").checkpoint()
     n = cells_for(asked, held, centres, k, recall, probes) if len(centres) > 1 else 1
-    asked = in_cells(asked, "query_id", centres, n).drop("place")
-
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
-
-    sizes = if_small(parts(asked, "asked_parts").join(parts(held, "held_parts"), "cell"))
-
-    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(other)
-        return df.join(sizes, "cell").select("cell", key, "v", F.pmod(F.xxhash64(key), F.col(f"{own}_parts")).cast("int").alias(own), every)
+    model = ship(spark).sparkContext.broadcast(centres)
 
-    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return best_pairs(asked, held, k)
+    def near(v: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(v), len(model.value)), bool)
+        np.put_along_axis(out, nearest(v, model.value, n), True, axis=1)
+        return out
 
-    kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["chunk_id"]
-    left, right = (x.groupBy("cell", "asked", "held") for x in (dealt(asked, "query_id", "asked", "held"), dealt(held, "chunk_id", "held", "asked")))
-    return top_k(left.cogroup(right).applyInPandas(run, f"query_id {kind[0]}, chunk_id {kind[1]}, score double"), k)
+    # cells stand together, large ones in several partitions, small ones with others
+    own = in_cells(held, "chunk_id", centres, 1).drop("place").hint("rebalance", "cell").sortWithinPartitions("cell", "chunk_id")
+    return search_blocks(asked, asked.count(), own, rows, k, dim, part, near)
