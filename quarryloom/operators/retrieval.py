@@ -7,16 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import extract_doc_numbers
-from ..session import checkpoint_ready
+from ..session import checkpoint_ready, ship
 from .blocks import BLOCK, search_blocks
-from .small import if_small
+from .small import BROADCAST_ROWS, if_small
 
 K1, B = 1.5, 0.75
+#: scores of queries and chunks that a task holds at once
+CELLS = 2_000_000
 TOP_K, CANDIDATE_K, THRESHOLD, WEIGHT = 5, 20, 0.3, 0.5
 WORD = r"([\p{L}\p{Nd}]+)"
 CJK = r"[㐀-䶿一-鿿]"
@@ -74,6 +78,14 @@ def terms_of(queries: DataFrame, tokens: Callable[[Column], Column] = words) ->
     return queries.select(*own, F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
 
 
+def idf() -> Column:
+    return F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def weight() -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chunk_len") / F.col("avg_len")))
+
+
 def bm25_search(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
     """(query_id, kb_id, chunk_id, score) of every chunk that holds a term of (query_id, term).
 
@@ -82,9 +94,7 @@ def bm25_search(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> Data
     """
     keys = [c for c in ("kb_id", "term") if c in terms.columns]
     hit = postings.join(if_small(terms), keys).join(if_small(stats), "kb_id")
-    idf = F.log(1 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chunk_len") / F.col("avg_len")))
-    return hit.groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(idf * weight).alias("score"))
+    return hit.groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(idf() * weight()).alias("score"))
 
 
 def search_bm25(queries: DataFrame, chunks: DataFrame, tokens: Callable[[Column], Column] = words) -> DataFrame:
@@ -99,6 +109,62 @@ def search_bm25(queries: DataFrame, chunks: DataFrame, tokens: Callable[[Column]
     return bm25_search(terms, *from_counts(tf))
 
 
+def top_bm25(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, tokens: Callable[[Column], Column] = words, places: int = 9) -> DataFrame:
+    """(query_id, kb_id, chunk_id, score, rank): the k best chunks of every kb for (query_id, text), ranked by ``places``.
+
+    The scores are those of ``search_bm25``. A common word of many queries is in most chunks, so chunks times queries times
+    shared words are summed: not as rows, but in tasks that hold a chunk's asked terms with their weights and all the
+    queries' terms; each batch of chunks gives its k best. Queries with more terms than are broadcast, and queries that
+    ask one kb each, go the way of rows.
+    """
+    terms = terms_of(queries, tokens)
+    few = terms.select("query_id", "term").limit(BROADCAST_ROWS + 1).toArrow() if "kb_id" not in queries.columns else None
+    if few is None or len(few) > BROADCAST_ROWS:
+        return top_k(search_bm25(queries, chunks, tokens), k, per=("query_id", "kb_id"), places=places)
+    checkpoint_ready(queries.sparkSession)
+    ship(queries.sparkSession)
+    tf = term_counts(chunks, tokens, terms.drop("query_id")).checkpoint()
+    postings, stats = from_counts(tf)
+    weighed = postings.join(if_small(stats), "kb_id").select("kb_id", "chunk_id", F.struct("term", (idf() * weight()).alias("weight")).alias("p"))
+    held = weighed.groupBy("kb_id", "chunk_id").agg(F.collect_list("p").alias("p"))
+    asked, of = few.column("query_id").combine_chunks().dictionary_encode(), few.column("term").combine_chunks().dictionary_encode()
+    ids, known = asked.dictionary, of.dictionary
+    by_term = np.argsort(of.indices.to_numpy(), kind="stable")
+    query, at = asked.indices.to_numpy()[by_term], np.searchsorted(of.indices.to_numpy()[by_term], np.arange(len(known) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, CELLS // max(len(ids), 1))
+        for batch in batches:
+            for first in range(0, len(batch), size):
+                part = pa.Table.from_batches([batch.slice(first, size)])
+                part = part.take(pc.sort_indices(part.select(["kb_id", "chunk_id"]), sort_keys=[("kb_id", "ascending"), ("chunk_id", "ascending")], null_placement="at_start")).combine_chunks()
+                hits = part.column("p").combine_chunks()
+                term = pc.index_in(hits.flatten().field("term"), value_set=known).to_numpy()
+                n = at[term + 1] - at[term]  # the queries of each term
+                chunk = np.repeat(np.repeat(np.arange(len(part)), pc.list_value_length(hits).to_numpy()), n)
+                own = query[np.repeat(at[term] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                score = np.bincount(own * len(part) + chunk, np.repeat(hits.flatten().field("weight").to_numpy(), n), len(ids) * len(part)).reshape(len(ids), len(part))
+                kb = part.column("kb_id").combine_chunks().dictionary_encode().indices.to_numpy()
+                edges = np.flatnonzero(np.diff(kb, prepend=-1, append=-1))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    row, col = k_best(np.where(score[:, a:b] > 0, np.round(score[:, a:b], places), -np.inf), k)
+                    where = pa.array(a + col)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), part.column("kb_id").combine_chunks().take(where), part.column("chunk_id").combine_chunks().take(where), pa.array(score[row, a + col])], names=["query_id", "kb_id", "chunk_id", "score"])
+
+    kinds = dict(terms.dtypes)["query_id"], dict(held.dtypes)["kb_id"], dict(held.dtypes)["chunk_id"]
+    best = held.mapInArrow(run, f"query_id {kinds[0]}, kb_id {kinds[1]}, chunk_id {kinds[2]}, score double")
+    return top_k(best, k, per=("query_id", "kb_id"), places=places)
+
+
+def k_best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k best of each row that are finite; of equal ones the first, as many as there is room for."""
+    best = min(k, score.shape[1])
+    last = np.partition(score, score.shape[1] - best, axis=1)[:, score.shape[1] - best, None]
+    tied = score == last
+    room = best - (score > last).sum(1, keepdims=True)
+    return np.nonzero(((score > last) | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(score))
+
+
 def one_dimension(queries: DataFrame, vectors: DataFrame) -> int:
     """The dimension that all vectors have, 0 without any."""
     sizes = [r.n for r in vectors.select(F.size("v").alias("n")).union(queries.select(F.size("v"))).distinct().limit(2).collect()]
@@ -114,17 +180,13 @@ def best_pairs(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
         held = held.sort_values("chunk_id")
         v, chunk = np.array(held.v.tolist(), float), held.chunk_id.to_numpy()
         vn = np.linalg.norm(v, axis=1)
-        best = min(k, len(chunk))
         for i in range(0, len(asked), 256):
             ids, q = asked.query_id.to_numpy()[i : i + 256], np.array(asked.v.iloc[i : i + 256].tolist(), float)
             qn = np.linalg.norm(q, axis=1)
             score = np.round((q @ v.T) / np.where(qn > 0, qn, 1)[:, None] / np.where(vn > 0, vn, 1), 9)
             score[:, vn == 0] = -np.inf
             score[qn == 0] = -np.inf
-            last = np.partition(score, len(chunk) - best, axis=1)[:, len(chunk) - best, None]
-            tied = score == last  # of equal scores the least chunks, as many as there is room for
-            room = best - (score > last).sum(1, keepdims=True)
-            row, col = np.nonzero(((score > last) | (tied & (np.cumsum(tied, axis=1) <= room))) & np.isfinite(score))
+            row, col = k_best(score, k)  # of equal scores the least chunks
             out.append(pd.DataFrame({"query_id": ids[row], "chunk_id": chunk[col], "score": score[row, col]}))
     return pd.concat(out, ignore_index=True)
 

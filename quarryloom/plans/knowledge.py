@@ -248,7 +248,7 @@ def keyword(spark, sf):
     """Every benchmark row, asked of every kb."""
     c = chunks(spark, sf).where("kb_id is not null")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.top_k(retrieval.search_bm25(asked, c), per=("query_id", "kb_id"), places=9).select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.top_bm25(asked, c).select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("ret_tokens", f"select doc_id, len(t)::bigint as n, sha256(array_to_string(t, ' ')) as digest from (select doc_id, {TOKENS.format('text')} as t from documents)")
@@ -283,7 +283,7 @@ def _(spark, sf):
     """Exact document numbers asked of documents that end with one: the whole number counts beside its pieces."""
     c = documents(spark, sf).select("kb_id", F.col("doc_id").alias("chunk_id"), "text").where("kb_id is not null")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("闽教学〔2024〕"), F.col("item_id").cast("string"), F.lit("号")).alias("text"))
-    return retrieval.top_k(retrieval.search_bm25(asked, c, retrieval.tokenize), 3, per=("query_id", "kb_id"), places=9).select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.top_bm25(asked, c, 3, retrieval.tokenize).select("query_id", "kb_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("ret_bm25_index", f"with {BM25} select query_id, kb_id, chunk_id, round(score, 6) as score from s qualify row_number() over (partition by query_id, kb_id order by round(score, 9) desc, chunk_id) <= 5")

@@ -50,3 +50,26 @@ def test_a_block_takes_half_the_room_where_single_precision_holds_it():
     single = blocks.packed(ids, v.astype(np.float32).astype(float))
     assert len(single) < 0.6 * len(blocks.packed(ids, v))
     assert (blocks.unpacked(single)[1] == v.astype(np.float32)).all() and (blocks.unpacked(blocks.packed(ids, v))[1] == v).all()
+
+
+def test_the_best_chunks_are_found_without_a_row_for_every_pair(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    monkeypatch.setattr(retrieval, "CELLS", 60)
+    names = [f"w{i}" for i in range(40)]
+    rows = [(rng.choice(["a", "b", None]), i, " ".join(rng.choices(names, k=rng.randint(0, 12)))) for i in range(400)] + [("a", 1000 + i, "w1 w2") for i in range(30)] + [("c", 5, None)]
+    chunks = spark.createDataFrame(rows, "kb_id string, chunk_id long, text string").where("kb_id is not null").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(names, k=6))) for i in range(9)] + [(20, "w1 w2"), (21, None), (22, "nothing")], "query_id int, text string")
+    want = retrieval.top_k(retrieval.search_bm25(asked, chunks), 4, per=("query_id", "kb_id"), places=9)
+    own = retrieval.top_bm25(asked, chunks, 4)
+    found = lambda df: sorted((r.query_id, r.kb_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert found(own) == found(want) and len(found(own)) > 70
+    assert "query_id" not in own._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[-1].split("\n", 1)[1]  # queries meet chunks in the task only
+    assert retrieval.top_bm25(asked.limit(0), chunks).collect() == [] and retrieval.top_bm25(asked, chunks.limit(0)).collect() == []
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 5)
+    assert found(retrieval.top_bm25(asked, chunks, 4)) == found(want)
+    by_kb = asked.withColumn("kb_id", F.lit("b"))
+    assert {r.kb_id for r in retrieval.top_bm25(by_kb, chunks).collect()} == {"b"}
